@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import eval_leaks, shared_spans, site_lines
+from lectern.llm import eval_leaks, shared_spans, site_lines, truncation
 from lectern.llm.tables import chapters, documents
 from lectern.session import table
 
@@ -43,6 +43,18 @@ def p6_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("covered_chars").alias("most_covered"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(documents(spark, folder)).select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_rates(documents(spark, folder))
+
+
+def p8_limits(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.length_spikes(documents(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit() and callable(f)}
 
