@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import eval_leaks, shared_spans, site_lines, truncation
-from lectern.llm.tables import chapters, documents
+from lectern.llm import eval_leaks, lookalikes, shared_spans, site_lines, truncation
+from lectern.llm.tables import chapters, documents, elements
 from lectern.session import table
 
 
@@ -34,6 +34,25 @@ def p4_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines.without_repeated_lines(chapters(spark, folder), table(spark, folder, "books"))
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Content elements of chapters and of footnotes: kind, record, index, text."""
+    notes = table(spark, folder, "footnotes").where("footnote_id is not null")
+    parts = [
+        elements(frame, id_column).select(F.lit(kind).alias("kind"), F.col(id_column).alias("record"), F.col("paragraph_index").alias("index"), "text")
+        for kind, frame, id_column in (("chapter", chapters(spark, folder), "chapter_id"), ("footnote", notes, "footnote_id"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalikes.same_looking(_texts(spark, folder)).select("record_a", "index_a", "record_b", "index_b")
+
+
+def p5_consistent(spark: SparkSession, folder: str) -> DataFrame:
+    changed = lookalikes.consistent(_texts(spark, folder))
+    return changed.where("form <> text").select("kind", "record", "index", "form").distinct()
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return eval_leaks.leaks(documents(spark, folder), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
