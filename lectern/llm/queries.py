@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import eval_leaks, lookalikes, shared_spans, site_lines, truncation
+from lectern.llm import eval_leaks, lookalikes, mojibake, shared_spans, site_lines, truncation
 from lectern.llm.tables import chapters, documents, elements
 from lectern.session import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mojibake.damaged(chapters(spark, folder)).select("chapter_id", "paragraph_index").distinct()
+
+
+def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return mojibake.damaged(chapters(spark, folder)).select("chapter_id", "paragraph_index", "restored", "channel")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = shared_spans.shared_pairs(chapters(spark, folder).withColumnRenamed("chapter_id", "record"))
     return pairs.select(F.col("record_a").alias("chapter_id_a"), F.col("record_b").alias("chapter_id_b"))
