@@ -67,7 +67,7 @@ class Rolling:
             terms = mix(points.astype(np.uint64) + np.uint64(0x9E37)) * powers
             self._sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
 
-    def at(self, starts: np.ndarray, length: int) -> np.ndarray:
+    def at(self, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix((self._sums[starts + length] - self._sums[starts]) * self._back[starts])
 
