@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import cut_lineage
+
 # Cyrillic and Greek letters and the Latin letters they look like.
 _CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХҮаеѕіјорсухһԁԛԝѵ", "ABESIJKMHOPCTXYaesijopcyxhdqwv"))
 _GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυ", "ABEZHIKMNOPTYXaivopu"))
@@ -30,12 +32,12 @@ _GREEK_OF = {v: k for k, v in reversed(_GREEK.items())}
 _UNSEEN = "­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿"
 _SPACES = "   -   　"
 #: Characters that may have another usual form; a text without any is its own form.
-AFFECTED = f"[{_UNSEEN}{_SPACES}̀-ͯͰ-ԯᄀ-ᇿẛΩKÅ⺀-⿕豈-﫿ﬀ-ﬆ！-～\U0002f800-\U0002fa1f]"
+AFFECTED = f"[{_UNSEEN}{_SPACES}\u0591-\u05c7\u0610-\u06ed\u0900-\u0fff\u1f00-\u1fff\u2329\u232a\u2adc\u3099\u309a\ufb1d-\ufb4f̀-ͯͰ-ԯᄀ-ᇿẛΩKÅ⺀-⿕豈-﫿ﬀ-ﬆ＃-＆＊＋－／-９＝＠-Ｚａ-ｚ\U0002f800-\U0002fa1f]"
 # the same in Java's notation
 _AFFECTED_JAVA = AFFECTED.replace("\U0002f800-\U0002fa1f", r"\x{2F800}-\x{2FA1F}")
 # joiners carry meaning between letters of these scripts, and in emoji
 _JOINING = re.compile("[؀-෿က-႟ក-៿‍️\U0001f000-\U0001faff]")
-_WIDE_LETTERS = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F) if chr(c - 0xFEE0).isalnum() or chr(c - 0xFEE0) in "#$%&*+-/<=>@\\^_`|~"}
+_WIDE = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F) if chr(c - 0xFEE0).isalnum() or chr(c - 0xFEE0) in "#$%&*+-/=@"}
 _TOKEN = re.compile("[A-Za-zª-ɏͰ-ԯḀ-῿]+")
 _TOKEN_JAVA = "[A-Za-zÀ-ɏͰ-ԯḀ-῿]+"
 
@@ -43,7 +45,7 @@ _TOKEN_JAVA = "[A-Za-zÀ-ɏͰ-ԯḀ-῿]+"
 @functools.cache
 def _usual() -> dict[int, str]:
     """Code point → its usual form, for single characters."""
-    table: dict[int, str] = dict(_WIDE_LETTERS)
+    table: dict[int, str] = dict(_WIDE)
     for cp in [*range(0x2E80, 0x2FD6), *range(0xF900, 0xFB00), *range(0x2F800, 0x2FA20)]:
         table[cp] = unicodedata.normalize("NFKC", chr(cp))
     for cp in range(0xFB00, 0xFB07):  # Latin ligatures
@@ -125,7 +127,8 @@ def consistent(texts: DataFrame) -> DataFrame:
     """
     texts = texts.select("kind", "record", "index", "text").where("record is not null and text is not null")
     affected = texts.where(F.col("text").rlike(_AFFECTED_JAVA)).distinct()
-    formed = affected.mapInArrow(_forms, "kind string, record string, index int, text string, form string, repairs array<struct<raw:string,fixed:string>>")
+    # used four times below: written once, instead of scanning the texts again for each
+    formed = cut_lineage(affected.mapInArrow(_forms, "kind string, record string, index int, text string, form string, repairs array<struct<raw:string,fixed:string>>"))
     wanted = formed.select(F.explode("repairs").alias("r")).select("r.raw", "r.fixed")
     words = texts.where(F.col("text").rlike("[A-Za-zͰ-ԯ]")).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TOKEN_JAVA), F.lit(0)))).alias("fixed"))
     spelled = wanted.groupBy("fixed").agg(F.count(F.lit(1)).alias("n"))
@@ -146,10 +149,12 @@ def same_looking(texts: DataFrame) -> DataFrame:
     """
     texts = texts.select("kind", "record", "index", "text").where("record is not null and text is not null")
     of = lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(c, F.lit(1)).alias("b"))
-    affected = consistent(texts).select("kind", "record", "index", of("form").alias("form"), of("text").alias("string")).where("form is not null")
+    affected = consistent(texts).select("kind", "record", "index", of("form").alias("form"), of("text").alias("string"))
     forms = affected.select("kind", "form").distinct()
     plain = texts.where(~F.col("text").rlike(_AFFECTED_JAVA)).select("kind", "record", "index", of("text").alias("form")).join(forms, ["kind", "form"], "left_semi").withColumn("string", F.col("form"))
     members = affected.unionByName(plain).distinct()
+    several = members.groupBy("kind", "form").agg(F.min("string").alias("x"), F.max("string").alias("y")).where("x <> y").select("kind", "form")
+    members = cut_lineage(members.join(several, ["kind", "form"], "left_semi"))
     classes = members.select("kind", "form", "string").distinct()
     pairs = classes.withColumnRenamed("string", "string_a").join(classes.withColumnRenamed("string", "string_b"), ["kind", "form"]).where("string_a.a <> string_b.a or string_a.b <> string_b.b")
     side = lambda s: members.select("kind", "form", F.col("string").alias(f"string_{s}"), F.col("record").alias(f"record_{s}"), F.col("index").alias(f"index_{s}"))
