@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import eval_leaks, lookalikes, mojibake, shared_spans, site_lines, truncation
+from lectern.llm import eval_leaks, lookalikes, mojibake, page_body, shared_spans, site_lines, source_mix, truncation
 from lectern.llm.tables import chapters, documents, elements
 from lectern.session import table
 
@@ -20,6 +20,14 @@ def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.damaged(chapters(spark, folder)).select("chapter_id", "paragraph_index", "restored", "channel")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return page_body.around(chapters(spark, folder)).select("chapter_id", "paragraph_index").distinct()
+
+
+def p2_main_body(spark: SparkSession, folder: str) -> DataFrame:
+    return page_body.main_body(chapters(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = shared_spans.shared_pairs(chapters(spark, folder).withColumnRenamed("chapter_id", "record"))
     return pairs.select(F.col("record_a").alias("chapter_id_a"), F.col("record_b").alias("chapter_id_b"))
@@ -70,6 +78,14 @@ def p6_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("covered_chars").alias("most_covered"))
 
 
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return source_mix.Mix(documents(spark, folder), table(spark, folder, "mix_targets")).copies()
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return source_mix.Mix(documents(spark, folder), table(spark, folder, "mix_targets")).shares()
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncated(documents(spark, folder)).select("doc_id").distinct()
 
