@@ -18,6 +18,7 @@ def local_session(cores: int = 8, app: str = "lectern", shuffle_partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LECTERN_DRIVER_MEMORY", "6g"))
         .config("spark.driver.host", "127.0.0.1")
     )
