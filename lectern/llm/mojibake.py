@@ -345,6 +345,32 @@ _LOST = re.compile("锟斤拷|锟斤锟斤|�{2,}|烫烫烫|屯屯屯")
 _AGAIN = [c for c in CHANNELS if c[1] == "utf-8" and c[0] in ("latin-1", "cp1252")]
 
 
+def _undone(text: str, read: str) -> str:
+    """Every sequence that may be UTF-8 read as a single-byte encoding, decoded, whatever comes out."""
+
+    def decode(m: re.Match) -> str:
+        raw = [_bytes_of(read, c) for c in m.group()]
+        try:
+            return b"".join(b or b"?" for b in raw).decode()
+        except UnicodeDecodeError:
+            return m.group()
+
+    return _gate(read, "utf-8").sub(decode, text)
+
+
+def _twice(text: str, model: Model) -> tuple[float, str, str] | None:
+    """UTF-8 taken for Latin twice, where the corpus doesn't know what lies between."""
+    best = None
+    for read, written in _AGAIN:
+        once = _undone(text, read)
+        for again, _ in _AGAIN if once != text else ():
+            if _gate(again, written).search(once):
+                gain, fixed, spans = _repair(once, again, written, model)
+                if spans and (best is None or gain > best[0]):
+                    best = (gain, fixed, f"{read}>{written}+{again}>{written}")
+    return best
+
+
 def restore(text: str, model: Model, rare: bool = True) -> tuple[str, str] | None:
     """(restored text, channels) of a text with damage; None for a sound one.
 
@@ -363,6 +389,8 @@ def restore(text: str, model: Model, rare: bool = True) -> tuple[str, str] | Non
                 gain, fixed, spans = _repair(text, read, written, model)
                 if spans and fixed != text and (best is None or gain > best[0]):
                     best = (gain, fixed, f"{read}>{written}")
+        if best is None and channels is CHANNELS:
+            best = _twice(text, model)
         if best is None:
             break
         text = best[1]

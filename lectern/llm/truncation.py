@@ -44,9 +44,9 @@ _ENDINGS = (
 
 
 def _openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the first two characters of all sentences of a task's texts."""
-    ends = np.array([ord(c) for c in "。！？\n”"], np.uint32)
-    space = np.array([ord(c) for c in " 　\r\t"], np.uint32)
+    """Counts of the first two characters of all sentences of a task's texts; those of lines aren't counted, as closing lines are not sentences."""
+    ends = np.array([ord(c) for c in "。！？”"], np.uint32)
+    space = np.array([ord(c) for c in " 　\r\t\n"], np.uint32)
     total: dict[int, int] = {}
     for batch in batches:
         points, offsets = codepoints(strings(batch.column("text")))
