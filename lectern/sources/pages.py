@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import re
 import zipfile
@@ -33,6 +34,7 @@ def decode_page(raw: bytes | None, declared: str | None = None) -> tuple[str, st
         wide = {"gb2312": "gb18030", "gbk": "gb18030"}.get((name or "").lower(), name)
         try:
             if wide:
+                codecs.lookup(wide)
                 return raw.decode(wide), wide.lower()
         except (UnicodeDecodeError, LookupError):
             continue

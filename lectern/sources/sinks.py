@@ -32,7 +32,7 @@ def swap_in(rows: DataFrame, path: str, fingerprint: str) -> bool:
     """
     spark = rows.sparkSession
     fs, table = _fs(spark, path)
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_fingerprint={fingerprint}")
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_fingerprint-{fingerprint}")
     if fs.exists(mark):
         return False
     staged = f"{path}.staged"

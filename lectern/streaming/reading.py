@@ -33,7 +33,7 @@ def capped(events: DataFrame, most: float) -> DataFrame:
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """(user_id, started, ended, events, total): runs of events with gaps under ``gap``; ended is the last event's time plus the gap."""
+    """(user_id, started, ended, events, total): runs of events at most ``gap`` apart; ended is the last event's time plus the gap."""
     g = events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 6).alias("total"))
     return g.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "events", "total")
 
