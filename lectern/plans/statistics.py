@@ -41,7 +41,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Top 8 books: total, then latest start, then latest session; the limit comes before the ranking, so no window sees all books."""
     top = R.book_rank(R.distinct_sessions(t.reading_sessions)).orderBy(F.desc("total_millis"), F.desc("last_started_at"), F.desc("last_session_id")).limit(8)
-    place = F.row_number().over(Window.orderBy(F.desc("total_millis"), F.desc("last_started_at"), F.desc("last_session_id")))
+    place = F.row_number().over(Window.orderBy(F.desc("total_millis"), F.desc("last_started_at"), F.desc("last_session_id"))).cast("bigint")
     return top.select("book_id", "total_millis", place.alias("place"))
 
 
