@@ -121,8 +121,40 @@ WITH sites AS (
 """
 
 
+_WINDOWS = """
+WITH elements AS (SELECT DISTINCT chapter_id, unnest(content) AS text FROM chapters WHERE chapter_id IS NOT NULL),
+ long AS (SELECT chapter_id, text, unnest(generate_series(1, length(text) - 99)) AS i FROM elements WHERE length(text) >= 100),
+ held AS (SELECT DISTINCT chapter_id, substr(text, i, 100) AS w FROM long),
+ shared AS (SELECT w FROM held GROUP BY w HAVING count(*) > 1),
+ members AS (SELECT chapter_id, w FROM held JOIN shared USING (w))
+SELECT DISTINCT a.chapter_id AS chapter_id_a, b.chapter_id AS chapter_id_b FROM members a JOIN members b ON a.w = b.w AND a.chapter_id < b.chapter_id
+"""
+
+_WIDE = "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９"
+_NARROW = "abcdefghijklmnopqrstuvwxyz" * 2 + "0123456789"
+_LEAKS = f"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_replace(lower(translate(text, '{_WIDE}', '{_NARROW}')), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+ e AS (SELECT DISTINCT item_id, regexp_replace(lower(translate(text, '{_WIDE}', '{_NARROW}')), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS t FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+ dg AS (SELECT DISTINCT doc_id, substr(t, i, 30) AS g FROM (SELECT doc_id, t, unnest(generate_series(1, length(t) - 29)) AS i FROM d WHERE length(t) >= 30)),
+ eg AS (SELECT item_id, i, substr(t, i, 30) AS g FROM (SELECT item_id, t, unnest(generate_series(1, length(t) - 29)) AS i FROM e WHERE length(t) >= 30)),
+ hits AS (SELECT doc_id, item_id, i, lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS p FROM eg JOIN dg USING (g)),
+ covered AS (SELECT doc_id, item_id, sum(CASE WHEN p IS NULL THEN 30 ELSE least(30, i - p) END) AS n FROM hits GROUP BY doc_id, item_id)
+SELECT doc_id, item_id FROM covered JOIN e USING (item_id) WHERE 2 * n >= length(t)
+"""
+
+_LIMITS = """
+WITH m AS (SELECT source, unnest([{'measure': 'chars', 'size': length(text)}, {'measure': 'bytes', 'size': octet_length(encode(text))}], recursive := true) FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+ top AS (SELECT source, measure, max(size) AS high FROM m GROUP BY ALL)
+SELECT source, measure, CAST(high - 3 AS INTEGER) AS low, CAST(high AS INTEGER) AS high, count(*) FILTER (size >= high - 3) AS n FROM m JOIN top USING (source, measure) GROUP BY source, measure, high
+HAVING count(*) FILTER (size >= high - 3) >= 3 AND count(*) FILTER (size >= high - 3) >= 3 * count(*) FILTER (size < high - 3 AND size >= high - 43)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _WINDOWS,
         "p4_found": _LINES + "SELECT DISTINCT chapter_id, CAST(paragraph_index AS INTEGER) AS paragraph_index FROM marked JOIN repeated USING (site, template)",
         "p4_templates": _LINES + "SELECT site, template, chapters FROM repeated",
+        "p6_found": _LEAKS,
+        "p8_limits": _LIMITS,
     }
