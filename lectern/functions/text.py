@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns that decide what counts as a heading, a letter, a year, a row of a table.
+CHAPTER_NUMBER = "第[一二三四五六七八九十百0-9]+"
+LETTER_WORDS = "(?:致|给).{0,25}(?:信|复信|书)|书信|通告信"
+WORK_WORDS = "论|批判|宣言|原理|纲领|手稿|战争|革命和反革命|起源|怎么办"
+YEAR = "(?<![0-9])((?:18|19|20)[0-9]{2})(?![0-9])"
+NAVIGATION_WORDS = "上一篇|下一篇|回目录|返回目录|上一页|下一页|目录"
+NUMBERS_ONLY = r"^[0-9 .,，、:：;%％+\-−—–/()（）]+$"
+
 #: White space by name, for SQL dialects without a Unicode class.
 SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -29,7 +37,7 @@ def clean_title(x: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(t, rf"{SPACES}+", " "), "^[ ·…]+|[ ·…]+$", "")
     pieces = F.split(t, " ")
     t = F.when((F.size(pieces) > 1) & F.forall(pieces, lambda p: F.length(p) == 1), F.array_join(pieces, "")).otherwise(t)
-    t = F.regexp_replace(t, rf"^(第[一二三四五六七八九十百0-9]+章)(?!{SPACES}|$)", "$1 ")
+    t = F.regexp_replace(t, rf"^({CHAPTER_NUMBER}章)(?!{SPACES}|$)", "$1 ")
     return F.when(t != "", t).otherwise(trim(x))
 
 
@@ -64,8 +72,8 @@ def marker_key(x: Column) -> Column:
 def category(title: Column) -> Column:
     """Letter, work or article, by the words of a title."""
     return (
-        F.when(title.rlike("(?:致|给).{0,25}(?:信|复信|书)|书信|通告信"), "书信")
-        .when(title.rlike("论|批判|宣言|原理|纲领|手稿|战争|革命和反革命|起源|怎么办"), "著作")
+        F.when(title.rlike(LETTER_WORDS), "书信")
+        .when(title.rlike(WORK_WORDS), "著作")
         .otherwise("文章")
     )
 
@@ -80,7 +88,7 @@ def suspicious_title(x: Column) -> Column:
         | t.rlike(rf"(?:^|[0-9][、．。.]{SPACES}*)(?:18|19|20)[0-9]{{2}}年") | t.rlike(r"^[0-9]{1,3} +[^0-9]")
     )
     row = t.rlike("^[0-9]") & (groups >= 2) & (digits / F.greatest(F.length(t), F.lit(1)) >= 0.35) & ~t.rlike(r"^[0-9]{1,2}[、．。)] *[^0-9]")
-    return F.when(t == "", "empty title").when(fine, None).when((digits > 0) & t.rlike(r"^[0-9 .,，、:：;%％+\-−—–/()（）]+$"), "numeric-only title").when(row, "probable table row")
+    return F.when(t == "", "empty title").when(fine, None).when((digits > 0) & t.rlike(NUMBERS_ONLY), "numeric-only title").when(row, "probable table row")
 
 
 def credible_heading(x: Column) -> Column:
@@ -90,16 +98,16 @@ def credible_heading(x: Column) -> Column:
 def heading_level(x: Column) -> Column:
     """2 or 3 for a line that reads as a heading, else null."""
     open_end = (F.length(x) > 1) & (F.length(x) <= 72) & ~x.rlike("[。！？；;]$")
-    return F.when(~(open_end & credible_heading(x)), None).when(x.rlike(rf"^第[一二三四五六七八九十百0-9]+[篇章节部卷](?:{SPACES}|$)"), 2).when(x.rlike("^[一二三四五六七八九十]{1,4}[、．.]"), 2).when(x.rlike("^[（(][一二三四五六七八九十0-9]{1,4}[）)]"), 3).when(x.rlike(r"^[0-9]{1,2}[．.、] *(?=.*\p{L})\S"), 3)
+    return F.when(~(open_end & credible_heading(x)), None).when(x.rlike(rf"^{CHAPTER_NUMBER}[篇章节部卷](?:{SPACES}|$)"), 2).when(x.rlike("^[一二三四五六七八九十]{1,4}[、．.]"), 2).when(x.rlike("^[（(][一二三四五六七八九十0-9]{1,4}[）)]"), 3).when(x.rlike(r"^[0-9]{1,2}[．.、] *(?=.*\p{L})\S"), 3)
 
 
 def navigation_line(x: Column) -> Column:
-    return x.rlike(rf"^(?:(?:上一篇|下一篇|回目录|返回目录|上一页|下一页|目录){SPACES}*[（(]?[^）)]{{0,30}}[）)]?{SPACES}*)+$") | (F.contains(x, F.lit("回目录")) & (F.length(x) <= 60))
+    return x.rlike(rf"^(?:(?:{NAVIGATION_WORDS}){SPACES}*[（(]?[^）)]{{0,30}}[）)]?{SPACES}*)+$") | (F.contains(x, F.lit("回目录")) & (F.length(x) <= 60))
 
 
 def local_year(label: Column, context: Column) -> Column:
     """The one year of a label, else the one year of a context not much longer; "" where neither is unambiguous."""
-    years = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit("(?<![0-9])((?:18|19|20)[0-9]{2})(?![0-9])"), F.lit(1)))
+    years = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(YEAR), F.lit(1)))
     a, b = years(label), years(context)
     return F.when(F.size(a) == 1, F.get(a, F.lit(0))).when(F.size(a) > 1, "").when((F.length(context) <= F.length(label) + 80) & (F.size(b) == 1), F.get(b, F.lit(0))).otherwise("")
 
