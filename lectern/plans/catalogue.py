@@ -303,7 +303,7 @@ def _(t: Tables) -> DataFrame:
     return r.select("device_id", "book_id", k.cast("bigint").alias("place")).where("place <= 8")
 
 
-@query("p16_shelf_filter", _WC + f", {_NOTES} SELECT n.id FROM nt n LEFT JOIN bk USING (book_id) LEFT JOIN chap c ON c.chapter_id = n.chapter_id WHERE contains(lower(concat_ws(' ', coalesce(title_zh, ''), coalesce(c.title, ''), coalesce(n.note_text, ''), coalesce(n.excerpt, ''))), '工') AND note_kind IS NOT NULL AND highlight_color IS NOT NULL")
+@query("filter_shelf", _WC + f", {_NOTES} SELECT n.id FROM nt n LEFT JOIN bk USING (book_id) LEFT JOIN chap c ON c.chapter_id = n.chapter_id WHERE contains(lower(concat_ws(' ', coalesce(title_zh, ''), coalesce(c.title, ''), coalesce(n.note_text, ''), coalesce(n.excerpt, ''))), '工') AND note_kind IS NOT NULL AND highlight_color IS NOT NULL")
 def _(t: Tables) -> DataFrame:
     """A case-insensitive substring over title, chapter, note and excerpt, with kind and colour."""
     n = _notes(t).where("note_kind is not null and highlight_color is not null")
