@@ -65,9 +65,14 @@ def migrated(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, key: str, content: str, *group: str) -> DataFrame:
-    """SHA-256 over the sorted (key, digest of content) of each group: equal contents, equal fingerprint."""
-    lines = F.concat_ws("\u0000", key, F.sha2(F.coalesce(content, F.lit("")), 256))
-    return rows.groupBy(*group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), "\u0000"), 256).alias("fingerprint"))
+    """Digest of the (key, content) rows of each group, whatever their order: SHA-256 over the sums of their digests' parts.
+
+    Sums are partial aggregates, so a group of any size is never gathered.
+    """
+    digest = F.sha2(F.concat_ws("\u0000", key, F.sha2(F.coalesce(content, F.lit("")), 256)), 256)
+    part = lambda i: F.sum(F.conv(F.substring("_d", 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+    sums = rows.select(*group, digest.alias("_d")).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *(part(i).alias(f"_{i}") for i in range(5)))
+    return sums.select(*group, F.sha2(F.concat_ws(",", "_n", *(F.col(f"_{i}").cast("string") for i in range(5))), 256).alias("fingerprint"))
 
 
 def catalog_projection(chapters: DataFrame) -> DataFrame:

@@ -25,16 +25,32 @@ def paragraph_offsets(chapters: DataFrame) -> DataFrame:
     return sized.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0).cast("bigint")))
 
 
+#: Chapters of a book, by number, whose prefix sums one task takes.
+BUCKET = 512
+
+
 def chapter_offsets(chapters: DataFrame) -> DataFrame:
-    """(book_id, chapter_id, place, length, start, book_length): prefix sums of chapter lengths within each book."""
+    """(book_id, chapter_id, place, length, start, book_length): prefix sums of chapter lengths within each book.
+
+    A book may hold a third of all chapters, so none is sorted whole: sums of
+    BUCKET chapters each are added up first, then chapters within each bucket.
+    Chapters without a number come last, by id.
+    """
     length = F.aggregate(F.coalesce("content", F.array().cast("array<string>")), F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(F.length(x), F.lit(0)))
-    sized = chapters.select("book_id", "chapter_id", "chapter_ord", length.alias("length"))
-    w = Window.partitionBy("book_id").orderBy(F.asc_nulls_last("chapter_ord"), "chapter_id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return sized.select(
-        "book_id", "chapter_id", (F.row_number().over(w) - 1).alias("place"), "length", F.coalesce(F.sum("length").over(before), F.lit(0).cast("bigint")).alias("start"),
-        F.sum("length").over(Window.partitionBy("book_id")).alias("book_length"),
-    )
+    bucket = F.coalesce(F.floor(F.col("chapter_ord") / BUCKET), F.lit(1 << 40)).cast("bigint")
+    sized = chapters.select("book_id", "chapter_id", "chapter_ord", length.alias("length"), bucket.alias("bucket"))
+    key = ["book_id", "bucket"]
+    earlier = Window.partitionBy("book_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    buckets = sized.groupBy(*key).agg(F.sum("length").alias("sum"), F.count(F.lit(1)).alias("n")).select(
+        *key, F.coalesce(F.sum("sum").over(earlier), zero).alias("chars_before"), F.coalesce(F.sum("n").over(earlier), zero).alias("places_before"), F.sum("sum").over(Window.partitionBy("book_id")).alias("book_length")
+    )
+    w = Window.partitionBy(*key).orderBy(F.asc_nulls_last("chapter_ord"), "chapter_id")
+    within = w.rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("place", F.row_number().over(w) - 1).withColumn("start", F.coalesce(F.sum("length").over(within), zero))
+    # a chapter without a book has no place in one
+    joined = placed.join(buckets, key)
+    return joined.select("book_id", "chapter_id", (F.col("place") + F.col("places_before")).cast("int").alias("place"), "length", (F.col("start") + F.col("chars_before")).alias("start"), "book_length")
 
 
 def clamp(value: Column, low: Column, high: Column) -> Column:

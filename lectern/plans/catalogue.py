@@ -178,8 +178,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("a15_by_url", _W + "SELECT source_url, array_to_string(list_sort(list_distinct(flatten(list(author_ids)))), ',') AS author_ids, min(nullif(pub_year, '')) AS pub_year FROM bk WHERE source_url IS NOT NULL GROUP BY source_url")
 def _(t: Tables) -> DataFrame:
-    b = _books(t).where("source_url is not null")
-    return b.groupBy("source_url").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("author_ids")))), ",").alias("author_ids"), F.min(F.nullif("pub_year", F.lit(""))).alias("pub_year"))
+    """A set of authors for each URL is no longer than the table of authors."""
+    b = _books(t).where("source_url is not null").select("source_url", "pub_year", F.explode_outer("author_ids").alias("author_id"))
+    return b.groupBy("source_url").agg(F.array_join(F.array_sort(F.collect_set("author_id")), ",").alias("author_ids"), F.min(F.nullif("pub_year", F.lit(""))).alias("pub_year"))
 
 
 @query("a18_short_books", _WC + "SELECT book_id, CAST(coalesce(sum(list_sum(list_transform(content, lambda x: length(x)))), 0) AS BIGINT) AS characters FROM bk LEFT JOIN chap USING (book_id) GROUP BY book_id HAVING coalesce(sum(list_sum(list_transform(content, lambda x: length(x)))), 0) < 1000")
@@ -235,7 +236,11 @@ def _(t: Tables) -> DataFrame:
     return C.migrated(old, {"range_end": (F.col("selection_start") + F.length("excerpt")).cast("int"), "state": F.lit("EXACT")})
 
 
-@query("k15_book_fingerprints", CHAPTERS + ", l AS (SELECT book_id, concat_ws(chr(0), chapter_id, sha256(array_to_string(content, chr(10)))) AS line FROM chap WHERE book_id IS NOT NULL) SELECT book_id, sha256(array_to_string(list_sort(list(line)), chr(0))) AS fingerprint FROM l GROUP BY book_id")
+@query(
+    "k15_book_fingerprints",
+    CHAPTERS + ", l AS (SELECT book_id, sha256(concat_ws(chr(0), chapter_id, sha256(coalesce(array_to_string(content, chr(10)), '')))) AS d FROM chap WHERE book_id IS NOT NULL) SELECT book_id, sha256(concat_ws(',', count(*), "
+    + ", ".join(f"sum(CAST(('0x' || substr(d, {1 + 12 * i}, 12)) AS BIGINT))" for i in range(5)) + ")) AS fingerprint FROM l GROUP BY book_id",
+)
 def _(t: Tables) -> DataFrame:
     c = _chapters(t).where("book_id is not null").withColumn("body", F.array_join("content", "\n"))
     return C.fingerprint(c, "chapter_id", "body", "book_id")
