@@ -6,6 +6,8 @@ cost is a few passes over its text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,31 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+#: Bytes of text that one pass of array code takes; a worker's memory is some thirty times that, however long the texts.
+SLICE_BYTES = 8 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices with at most SLICE_BYTES of text in the columns (strings or lists of them), or of one row."""
+    for batch in batches:
+        sizes = np.ones(len(batch), np.int64)
+        for name in columns:
+            column = batch.column(name)
+            if pa.types.is_list(column.type):
+                lengths = np.asarray(pc.fill_null(pc.binary_length(column.flatten()), 0), np.int64)
+                sizes += np.bincount(np.asarray(pc.list_parent_indices(column), np.int64), weights=lengths, minlength=len(batch)).astype(np.int64)
+            else:
+                sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+        first, total = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if total + n > SLICE_BYTES and i > first:
+                yield batch.slice(first, i - first)
+                first, total = i, 0
+            total += n
+        if first < len(batch) or not len(batch):
+            yield batch.slice(first)
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One contiguous array of nullable strings; null becomes the empty text."""
     if isinstance(column, pa.ChunkedArray):
