@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.codepoints import Rolling, codepoints, sliding_min, strings
+from lectern.functions.codepoints import Rolling, codepoints, sliced, sliding_min, strings
 
 #: Letters and digits of the shortest run that counts; k-gram and window with GRAM + WINDOW - 1 = RUN.
 RUN, GRAM, WINDOW = 30, 15, 16
@@ -103,7 +103,7 @@ def _leaks_small(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, by_mark, folded, ids = known.value
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             out: list[tuple[int, int, int, int]] = []
             points, offsets = fold(strings(batch.column("text")))
             got, of = fingerprints(points, offsets)
@@ -130,7 +130,7 @@ def _batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
 
 def _marks(id_column: str, text_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text_column):
             marks, of = fingerprints(*fold(strings(batch.column(text_column))))
             yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), batch.column(id_column).take(pa.array(of))], ["mark", id_column])
 
@@ -143,7 +143,7 @@ def _leaks_joined(documents: DataFrame, items: DataFrame) -> DataFrame:
     candidates = doc_marks.join(item_marks, "mark").select("doc_id", "item_id").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text", "item"):
             out = []
             text_points, text_offsets = fold(strings(batch.column("text")))
             item_points, item_offsets = fold(strings(batch.column("item")))

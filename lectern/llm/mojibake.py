@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.codepoints import codepoints, strings
+from lectern.functions.codepoints import codepoints, sliced, strings
 
 #: Slots of the pair table: pairs are counted by hash in a table of fixed size, over all texts.
 PAIR_BITS = 20
@@ -66,7 +66,7 @@ def pair_slot(a, b):
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's counts: code points as (code point), pairs as (-1 - slot)."""
     single, pairs = np.zeros(0x110000, np.int64), np.zeros(1 << PAIR_BITS, np.int64)
-    for batch in batches:
+    for batch in sliced(batches, "title", "content"):
         for name in ("title", "content"):
             column = batch.column(name)
             texts = strings(column.flatten() if name == "content" else column)
@@ -428,7 +428,7 @@ def damaged(chapters: DataFrame, model: Model | None = None) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value.prepare()
         log = model.dense()
-        for batch in batches:
+        for batch in sliced(batches, "title", "content"):
             content = batch.column("content")
             rows = np.concatenate((np.arange(len(batch)), np.asarray(pa.compute.list_parent_indices(content), np.int64)))
             inner = np.asarray(pa.compute.list_parent_indices(content), np.int64)

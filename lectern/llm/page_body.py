@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.codepoints import Rolling, codepoints, mix, strings
+from lectern.functions.codepoints import Rolling, codepoints, mix, sliced, strings
 from lectern.llm.labelled_pages import AROUND, WORK, lines
 
 #: Share of a text's tokens known from the lines around works from which it doesn't count as text of works.
@@ -155,7 +155,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's counts of the labelled words and pairs, and of all, over texts that don't consist largely of them."""
     words, pairs = _known()
     total = np.zeros(len(words.ids) + len(pairs.ids) + 2, np.int64)
-    for batch in batches:
+    for batch in sliced(batches, "content"):
         texts = strings(batch.column("content").flatten())
         t = Tokens.read(texts)
         if not len(t.of):
@@ -258,7 +258,7 @@ def around(chapters: DataFrame, weights: Weights | None = None) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        for batch in batches:
+        for batch in sliced(batches, "content"):
             content = batch.column("content")
             rows = np.asarray(pc.list_parent_indices(content), np.int64)
             texts = strings(content.flatten())
@@ -285,7 +285,7 @@ def main_body(chapters: DataFrame) -> DataFrame:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        for batch in batches:
+        for batch in sliced(batches, "content"):
             content = batch.column("content")
             texts = strings(content.flatten())
             hit = scan_texts(texts, weights) >= LEVEL

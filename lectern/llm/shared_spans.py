@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.codepoints import Rolling, codepoints, flatten, sliding_min, strings
+from lectern.functions.codepoints import Rolling, codepoints, flatten, sliced, sliding_min, strings
 
 
 #: Characters of the shortest run that counts, and of the span hashed from each beginning.
@@ -65,7 +65,7 @@ def span_starts(points: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> tu
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of records (key, content): (span hash, key) for each span of an element of at least SPAN characters."""
-    for batch in batches:
+    for batch in sliced(batches, "content"):
         texts, rows, _ = flatten(batch.column("content"))
         points, offsets = codepoints(texts)
         starts, of = span_starts(points, offsets, rolling := Rolling(points))
@@ -78,7 +78,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of records (record, content, spans): every window of SPAN characters that holds a span of the list."""
-    for batch in batches:
+    for batch in sliced(batches, "content"):
         texts, rows, index = flatten(batch.column("content"))
         points, offsets = codepoints(texts)
         starts, of = span_starts(points, offsets, rolling := Rolling(points))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.codepoints import codepoints, strings
+from lectern.functions.codepoints import codepoints, sliced, strings
 
 #: Lengths below the maximum that belong to its spike: a cut inside a character of up to 4 bytes, a mark after the cut.
 BAND = 3
@@ -48,7 +48,7 @@ def _openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ends = np.array([ord(c) for c in "。！？”"], np.uint32)
     space = np.array([ord(c) for c in " 　\r\t\n"], np.uint32)
     total: dict[int, int] = {}
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         points, offsets = codepoints(strings(batch.column("text")))
         n = len(points)
         if n < 2:
