@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.codepoints import codepoints, sliced, strings
@@ -92,21 +92,30 @@ def length_spikes(documents: DataFrame) -> DataFrame:
     return bands.where((F.col("n") >= LEAST) & (F.col("n") >= RATIO * F.col("before"))).select("source", "measure", (F.col("high") - BAND).alias("low"), "high", "n")
 
 
-def _ends_open(text: Column, openings: list[str]) -> tuple[Column, Column, Column]:
-    """Whether a text ends in debris, in terminal punctuation, in an allowed ending."""
+def _with_ends(docs: DataFrame, openings: list[str]) -> DataFrame:
+    """doc_id, source, chars, bytes, and whether the text is empty, ends in debris, in terminal punctuation, in an allowed ending.
+
+    Step by step, as each step's columns are used several times by the next.
+    """
     # only the end decides; the length tests see the whole text
-    tail = F.regexp_replace(F.substring(text, -400, 400), r"(?U)[\s\x{FEFF}\x{200B}]+$", "")
-    line = F.regexp_replace(F.regexp_extract(tail, r"([^\r\n]*)$", 1), r"(?U)^\s+", "")
-    above = F.regexp_extract(tail, r"(?U)([^\r\n]*)[\r\n][\s]*[^\r\n]*$", 1)
-    has_line_above = F.regexp_like(tail, F.lit(r"[\r\n][^\r\n]*$"))
-    debris = F.regexp_like(tail, F.lit(_DEBRIS))
-    terminal = F.regexp_like(tail, F.lit(_TERMINAL)) | F.regexp_like(line, F.lit(_GERMAN_QUOTE)) | F.regexp_like(line, F.lit(_BRACKETED))
-    finished_above = F.regexp_like(above, F.lit(r"[。！？.!?”“）】〕)\]]\s*$"))
-    bare = (F.length(line) <= CLOSING) & F.regexp_like(line, F.lit(r"^[\p{IsHan}·]+$")) & ~F.contains(line, F.lit("的")) & ~F.contains(line, F.lit("了"))
-    begins = F.substring(line, 1, 2).isin(openings) if openings else F.lit(False)
-    signature = has_line_above & bare & ((finished_above & ~begins) | F.regexp_like(above, F.lit(r"^\s*(?:敬礼|此致)\s*$")))
-    ending = F.regexp_like(line, F.lit(_ENDINGS)) & has_line_above
-    return debris, terminal, ending | signature
+    tails = docs.select(
+        "doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), (F.length(F.trim("text")) == 0).alias("empty"), F.regexp_replace(F.substring("text", -400, 400), r"(?U)[\s\x{FEFF}\x{200B}]+$", "").alias("tail")
+    )
+    at = F.greatest(F.length("tail") - F.instr(F.reverse("tail"), F.lit("\n")) + 1, F.lit(0))
+    broken = F.contains("tail", F.lit("\n"))
+    lines = tails.select(
+        "doc_id", "source", "chars", "bytes", "empty", "tail", broken.alias("broken"),
+        F.when(broken, F.regexp_replace(F.substring("tail", at + 1, F.length("tail")), r"(?U)^\s+", "")).otherwise(F.regexp_replace("tail", r"(?U)^\s+", "")).alias("line"),
+        F.when(broken, F.substring_index(F.regexp_replace(F.substring("tail", F.lit(1), at), r"(?U)\s+$", ""), "\n", -1)).otherwise("").alias("above"),
+    )
+    like = lambda c, pattern: F.regexp_like(c, F.lit(pattern))
+    terminal = like("tail", _TERMINAL) | like("line", _GERMAN_QUOTE) | like("line", _BRACKETED)
+    finished_above = like("above", r"[。！？.!?”“）】〕)\]]\s*$")
+    bare = (F.length("line") <= CLOSING) & like("line", r"^[\p{IsHan}·]+$") & ~F.contains("line", F.lit("的")) & ~F.contains("line", F.lit("了"))
+    begins = F.substring("line", 1, 2).isin(openings) if openings else F.lit(False)
+    signature = bare & ((finished_above & ~begins) | like("above", r"^\s*(?:敬礼|此致)\s*$"))
+    ending = F.col("broken") & (signature | like("line", _ENDINGS))
+    return lines.select("doc_id", "source", "chars", "bytes", "empty", like("tail", _DEBRIS).alias("debris"), terminal.alias("terminal"), ending.alias("ending"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:
@@ -117,9 +126,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     """
     docs = documents.select("doc_id", "source", "text").where("doc_id is not null and text is not null")
     spikes = length_spikes(documents).groupBy("source").agg(F.collect_list(F.struct("measure", "low", "high")).alias("limits"))
-    debris, terminal, ending = _ends_open(F.col("text"), sentence_openings(documents))
-    chars, size = F.length("text"), F.octet_length("text")
-    marked = docs.select("doc_id", "source", chars.alias("chars"), size.alias("bytes"), debris.alias("debris"), terminal.alias("terminal"), ending.alias("ending"), (F.length(F.trim("text")) == 0).alias("empty"))
+    marked = _with_ends(docs, sentence_openings(documents))
     # a row for each source: a few bytes for each value of a column, joined by size as AQE sees fit
     at_limit = F.exists(F.coalesce("limits", F.array().cast("array<struct<measure:string,low:int,high:int>>")), lambda s: F.when(s.measure == "chars", F.col("chars").between(s.low, s.high)).otherwise(F.col("bytes").between(s.low, s.high)))
     judged = marked.join(spikes, "source", "left").withColumn("limit", at_limit)
