@@ -74,7 +74,7 @@ def test_years(spark):
     assert value(spark, X.local_year, "1848到1850", "") == "" and value(spark, X.local_year, "论", "论 1850 年") == "1850"
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=25, deadline=None, derandomize=True)
 @given(st.lists(st.text("ab。. ", min_size=1, max_size=9), max_size=12).map("".join))
 def test_packs(spark, text):
     """Nothing but white space is lost, long pieces are single sentences, and no piece could take in the next one's beginning."""
