@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import cut_lineage
+
 
 def distinct_books(books: DataFrame) -> DataFrame:
     """One row for each book_id: of repeats the one loaded last; rows without an id drop."""
@@ -26,6 +28,20 @@ def keep_best(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """Rows numbered from 1 in the given order, which must be total: sorted by ranges, then numbered in each from the counts of those before.
+
+    The ranges are fixed by a checkpoint, since sampled again they may fall
+    elsewhere; only one count for each range is gathered.
+    """
+    ranged = cut_lineage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    numbered = ranged.withColumn("_k", within).join(F.broadcast(counts.select("_range", "_before")), "_range")
+    return numbered.withColumn("place", (F.col("_k") + F.col("_before")).cast("bigint")).drop("_range", "_k", "_before")
+
+
 def patched(base: DataFrame, patch: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Base rows with the patch's non-null fields; every patch key must be in the base, see ``unknown_keys``."""
     p = patch.select(key, *(F.col(f).alias(f"_{f}") for f in fields))

@@ -273,8 +273,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("o1_notes_order", f"WITH {_NOTES} SELECT id, row_number() OVER (ORDER BY pinned DESC, updated_at DESC, id) AS place FROM nt ORDER BY place LIMIT 50")
 def _(t: Tables) -> DataFrame:
-    top = _notes(t).orderBy(F.desc_nulls_last("pinned"), F.desc("updated_at"), "id").limit(50)
-    return top.select("id", F.row_number().over(Window.orderBy(F.desc_nulls_last("pinned"), F.desc("updated_at"), "id")).cast("bigint").alias("place"))
+    """Every note with its place."""
+    return C.placed(_notes(t).select("id", "pinned", "updated_at"), F.desc_nulls_last("pinned"), F.desc_nulls_last("updated_at"), F.asc("id")).select("id", "place")
 
 
 @query("o2_chapter_notes_order", f"WITH {_NOTES} SELECT id, row_number() OVER (PARTITION BY chapter_id ORDER BY paragraph_index, selection_start, id) AS place FROM nt")
@@ -284,13 +284,16 @@ def _(t: Tables) -> DataFrame:
 
 @query("o3_latest_sessions", f"WITH {_SESS} SELECT id, started_at FROM once ORDER BY started_at DESC, id DESC LIMIT 100")
 def _(t: Tables) -> DataFrame:
-    return R.distinct_sessions(t.reading_sessions).select("id", "started_at").orderBy(F.desc("started_at"), F.desc("id")).limit(100)
+    """Every session with active time, the latest first, with its place."""
+    active = R.distinct_sessions(t.reading_sessions).where("active_millis > 0").select("id", "started_at")
+    return C.placed(active, F.desc_nulls_last("started_at"), F.desc("id")).select("id", "started_at", "place")
 
 
 @query("o8_inventory_order", _W + "SELECT book_id, row_number() OVER (ORDER BY array_to_string(author_ids, ','), coalesce(pub_year, ''), title_zh, book_id) AS place FROM bk ORDER BY place LIMIT 200")
 def _(t: Tables) -> DataFrame:
-    order = [F.array_join("author_ids", ","), F.coalesce("pub_year", F.lit("")), F.col("title_zh"), F.col("book_id")]
-    return _books(t).orderBy(*order).limit(200).select("book_id", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("place"))
+    """Every book with its place."""
+    order = [F.asc_nulls_last(F.array_join("author_ids", ",")), F.asc(F.coalesce("pub_year", F.lit(""))), F.asc_nulls_last("title_zh"), F.asc("book_id")]
+    return C.placed(_books(t).select("book_id", "author_ids", "pub_year", "title_zh"), *order).select("book_id", "place")
 
 
 @query("o11_sections_resorted", CHAPTERS + ", s AS (SELECT chapter_id, unnest(sections) AS s, generate_subscripts(sections, 1) AS ord FROM chap) SELECT chapter_id, string_agg(s.section_id, ',' ORDER BY s.paragraph_index, ord) AS section_ids FROM s GROUP BY chapter_id")
