@@ -80,10 +80,11 @@ def _(t: Tables) -> DataFrame:
 
 @query("f14_marked_snippets", "SELECT doc_id, md5(replace(left(text, 120), '工', '<b>工</b>')) AS digest, left(text, 120) = replace(replace(replace(left(text, 120), '工', '<b>工</b>'), '<b>', ''), '</b>', '') AS same FROM documents WHERE contains(left(text, 120), '工')")
 def _(t: Tables) -> DataFrame:
-    """marks put in and taken out again."""
-    head = F.left("text", F.lit(120))
-    d = t.documents.where(F.contains(head, F.lit("工"))).select("doc_id", head.alias("head"), S.marked(head, F.lit("工")).alias("snippet"))
-    return d.select("doc_id", F.md5("snippet").alias("digest"), (S.unmarked(F.col("snippet")) == F.col("head")).alias("same"))
+    """marks put into the surroundings of the first hit, wherever it stands, and taken out again."""
+    text, term = F.col("text"), F.lit("工")
+    d = t.documents.where(F.contains(text, term)).select("doc_id", S.excerpt(text, F.instr(text, term) - 1, F.length(term)).alias("excerpt"))
+    snippet = S.marked(F.col("excerpt"), term)
+    return d.select("doc_id", F.md5(snippet).alias("digest"), (S.unmarked(snippet) == F.col("excerpt")).alias("same"))
 
 
 def _notes(t: Tables) -> DataFrame:
