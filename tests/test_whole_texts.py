@@ -28,3 +28,11 @@ def test_snippet_of_a_late_hit(spark, tmp_path):
             expected[i] = (md5(cut.replace("工", "<b>工</b>")), "<b>" not in cut)
     assert sorted(expected) == [0, 1, 2, 5]
     assert {r.doc_id: (r.digest, r.same) for r in Q.queries()["f14_marked_snippets"](spark, str(tmp_path)).collect()} == expected
+
+
+def test_chapters_past_the_last_part(spark, tmp_path):
+    rows = [(b, f"{b}{i:02}", i, "t", ["x"], [], day(1)) for b, n in (("a", 20), ("b", 16), ("c", 2)) for i in range(n)]
+    spark.createDataFrame(rows, CHAPTERS).write.parquet(f"{tmp_path}/chapters.parquet")
+    got = {r.chapter_id: r.part for r in Q.queries()["w14_parts_by_size"](spark, str(tmp_path)).collect()}
+    assert got == {r[1]: next((p for p, past in ((1, 3), (2, 8), (3, 16)) if r[2] < past), None) for r in rows}
+    assert [c for c, p in sorted(got.items()) if p is None] == ["a16", "a17", "a18", "a19"]
