@@ -131,8 +131,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("x0_missing_blocks", CHAPTERS + ", b AS (SELECT chapter_id, unnest(content) AS block FROM chap) SELECT chapter_id, md5(block) AS digest FROM b JOIN chap USING (chapter_id) WHERE length(block) >= 80 AND NOT contains(regexp_replace(array_to_string(content[1:3], ''), '" + _S + "+', '', 'g'), regexp_replace(block, '" + _S + "+', '', 'g'))")
 def _(t: Tables) -> DataFrame:
-    """X0.9: long blocks of a page that a local text lacks; the local text is the first three elements."""
-    c = _chapters(t)
-    blocks = c.select("chapter_id", F.explode("content").alias("block"))
-    local = c.select("chapter_id", F.array_join(F.slice("content", 1, 3), "").alias("text"))
-    return R.missing_blocks(blocks, local, "chapter_id").select("chapter_id", F.md5("block").alias("digest"))
+    """X0.9: long blocks of any delivery that the library lacks: the whole newest one without navigation lines, with its footnotes."""
+    blocks = t.chapters.where("chapter_id is not null").select("chapter_id", F.explode("content").alias("block"))
+    notes = t.footnotes.select("footnote_id", "chapter_id", "content").distinct().groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct("footnote_id", "content"))).alias("n"))
+    kept = R.delete_elements(_chapters(t), lambda x, i: navigation_line(x)).select("chapter_id", F.array_join("content", "").alias("body"))
+    printed = F.array_join(F.flatten(F.transform("n", lambda n: F.coalesce(n.content, F.array().cast("array<string>")))), "")
+    local = kept.join(notes, "chapter_id", "left").select("chapter_id", F.concat(F.coalesce("body", F.lit("")), F.coalesce(printed, F.lit(""))).alias("text"))
+    return R.missing_blocks(blocks, local, "chapter_id").select("chapter_id", F.md5("block").alias("digest")).distinct()

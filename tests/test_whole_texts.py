@@ -36,3 +36,30 @@ def test_chapters_past_the_last_part(spark, tmp_path):
     got = {r.chapter_id: r.part for r in Q.queries()["w14_parts_by_size"](spark, str(tmp_path)).collect()}
     assert got == {r[1]: next((p for p, past in ((1, 3), (2, 8), (3, 16)) if r[2] < past), None) for r in rows}
     assert [c for c, p in sorted(got.items()) if p is None] == ["a16", "a17", "a18", "a19"]
+
+
+def test_blocks_against_whole_texts(spark, tmp_path):
+    block = {k: k * 90 for k in "甲乙丙丁戊己庚"}
+    menu = ("上一篇（" + "页" * 30 + "）") * 3
+    chapters = [
+        ("b", "c1", 0, "t", [block["甲"], "短", "短", block["乙"], block["丙"]], [], day(2)),
+        ("b", "c1", 0, "t", [block["甲"], block["丁"], block["丁"], block["丙"][:50] + " \n" + block["丙"][50:]], [], day(1)),
+        ("b", "c2", 1, "t", [block["戊"][:40], block["戊"][40:], None, "短", menu], [], day(2)),
+        ("b", "c2", 1, "t", [block["戊"], block["己"], "短" * 79], [], day(1)),
+        ("b", "c3", 2, "t", None, [], day(2)),
+        ("b", "c3", 2, "t", [block["庚"]], [], day(1)),
+        ("b", None, 3, "t", [block["庚"]], [], day(1)),
+    ]
+    notes = [("n1", "b", "c2", "1", [block["己"][:20], block["己"][20:]], []), ("n2", "b", "c2", "2", None, []), ("n3", "b", "c1", "3", [block["己"]], [])]
+    spark.createDataFrame(chapters, CHAPTERS).write.parquet(f"{tmp_path}/chapters.parquet")
+    spark.createDataFrame(notes + notes[:1], FOOTNOTES).write.parquet(f"{tmp_path}/footnotes.parquet")
+    expected = set()
+    for _, c, _, _, content, _, _ in chapters:
+        newest = next((x[4] for x in chapters if x[1] == c and x[6] == day(2)), None) or []
+        local = "".join(x for x in newest if x and x != menu) + "".join(y for n in notes if n[2] == c for y in n[4] or [])
+        for x in content or []:
+            if c and x and len(x) >= 80 and "".join(x.split()) not in local:
+                expected.add((c, md5(x)))
+    assert expected == {("c1", md5(block["丁"])), ("c2", md5(menu)), ("c3", md5(block["庚"]))}
+    got = [tuple(r) for r in Q.queries()["x0_missing_blocks"](spark, str(tmp_path)).select("chapter_id", "digest").collect()]
+    assert sorted(got) == sorted(expected)
