@@ -12,6 +12,7 @@ decoded characters are the restored text, lost ones stay U+FFFD.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -377,7 +378,9 @@ def restore(text: str, model: Model, rare: bool = True) -> tuple[str, str] | Non
     The pair of encodings with the greatest gain is undone, then the result is
     searched for UTF-8 that was taken for Latin twice. Damage of which no byte
     survives is kept as it is, with the channel "lost". ``rare``: whether the
-    text has neighbouring rare characters, as any damage within the ideographs has.
+    text has neighbouring rare characters, as any damage within the ideographs
+    has, or East Asian characters within Latin words, as a letter with an accent
+    becomes one among letters that are frequent.
     """
     names: list[str] = []
     for channels in (CHANNELS, _AGAIN):
@@ -436,11 +439,12 @@ def damaged(chapters: DataFrame, model: Model | None = None) -> DataFrame:
             texts = strings(pa.concat_arrays([batch.column("title").cast(pa.string()), content.flatten().cast(pa.string())]))
             low = suspects(*codepoints(texts), log)
             special = np.asarray(pa.compute.match_substring_regex(texts, _RE2))
+            within = np.asarray(pa.compute.match_substring_regex(texts, _within_latin()))
             ids = batch.column("chapter_id")
             out: list[tuple[str, int, str, str, str]] = []
-            for i in np.flatnonzero(low | special).tolist():
+            for i in np.flatnonzero(low | special | within).tolist():
                 text = texts[i].as_py()
-                if found := restore(text, model, bool(low[i]) or "\ufffd" in text):
+                if found := restore(text, model, bool(low[i] or within[i]) or "\ufffd" in text):
                     out.append((ids[int(rows[i])].as_py(), int(index[i]), text, *found))
             columns = list(zip(*out)) if out else [()] * 5
             kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
@@ -450,6 +454,22 @@ def damaged(chapters: DataFrame, model: Model | None = None) -> DataFrame:
     return prepared.mapInArrow(search, "chapter_id string, paragraph_index int, text string, restored string, channel string").dropDuplicates(["chapter_id", "paragraph_index", "text"])
 
 
+@functools.cache
+def _within_latin() -> str:
+    """East Asian characters in or at a Latin word, in RE2's notation; at its ends only those that letters with accents become."""
+    letters = set()
+    for read in ("gb18030", "big5", "euc_kr"):
+        for a, b in itertools.product((0xC3, 0xC5), range(0x80, 0xC0)):
+            c = bytes((a, b)).decode(read, "ignore")
+            if len(c) == 1 and ord(c) >= 0x2E80:
+                letters.add(c)
+    kana, latin = r"\x{ff61}-\x{ff9f}", "A-Za-zäöüß"
+    at_end = f"[{''.join(sorted(letters))}{kana}]{{1,3}}"
+    other = r"[^\x{2e80}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{ff61}-\x{ff9f}]"
+    inside = rf"[{latin}][\x{{4e00}}-\x{{9fff}}\x{{ac00}}-\x{{d7af}}{kana}]{{1,3}}[a-zäöüß]"
+    return rf"{inside}|[{latin}][ '’-]?{at_end}(?:{other}|$)|(?:^|{other}){at_end}[ '’-]?[{latin}]"
+
+
 # the special characters in RE2's notation, for Arrow
 _RE2 = (
     r"[\x{7f}-\x{a0}\x{a1}-\x{a6}\x{a8}\x{aa}\x{ac}\x{ae}\x{af}\x{b1}-\x{b6}\x{b8}-\x{ba}\x{bc}-\x{bf}\x{192}\x{2b0}-\x{2ff}\x{384}-\x{7ff}\x{2020}\x{2021}\x{2030}\x{20a7}\x{20ac}\x{2116}\x{2122}\x{2200}-\x{22ff}\x{2310}-\x{2321}\x{2500}-\x{25a0}"

@@ -86,3 +86,26 @@ def test_very_long_text(spark, model):
     text = SOUND[0] * 3000 + SOUND[2].encode().decode("latin-1")
     found = M.restore(text, model)
     assert found and found[0].endswith(SOUND[2])
+
+
+LATIN = [
+    "Die Partei war für die Kämpfe der Arbeiter und gegen die Bürger",
+    "Der Redner sprach über Löhne und größere Städte",
+    "Après la révolution, le congrès a été réuni à Genève",
+    "für",
+    "Österreich und die Straße",
+    "le café",
+]
+
+
+@pytest.mark.parametrize("read", ["gb18030", "big5", "euc_kr", "shift_jis"])
+def test_letters_with_accents_read_as_east_asian(spark, read):
+    """Each is an ideograph, a syllable or kana in or at a word of letters that are frequent; sound texts stay."""
+    bad = [misread(x, "utf-8", read) for x in LATIN]
+    sound = [(f"x{i}", "b", LATIN[i % 6], LATIN + SOUND) for i in range(60)]
+    rows = [*sound, ("t", "b", bad[0], SOUND), ("c", "b", "工人", [*SOUND, *bad])]
+    model = M.learn(spark.createDataFrame(sound, SCHEMA))
+    found = {(r.chapter_id, r.paragraph_index): r.restored for r in M.damaged(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    whole = {("t", -1): LATIN[0]} | {("c", len(SOUND) + i): LATIN[i] for i in (0, 3, 5)}
+    assert "\ufffd" not in "".join(bad[i] for i in (0, 3, 5))
+    assert {k: found.get(k) for k in whole} == whole and not any(k[0].startswith("x") for k in found)
