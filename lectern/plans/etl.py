@@ -105,14 +105,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("r2_inserted_markers", CHAPTERS + ", f AS (SELECT DISTINCT chapter_id, marker, unnest(refs) AS r FROM (SELECT DISTINCT footnote_id, chapter_id, marker, refs FROM footnotes WHERE marker IS NOT NULL)), e AS (SELECT DISTINCT chapter_id, r.paragraph_index AS paragraph_index, r.end_offset AS spot, '{' || marker || '}' AS piece FROM f), one AS (SELECT chapter_id, paragraph_index, min(spot) AS spot, min(piece) AS piece FROM e GROUP BY ALL HAVING count(*) = 1) SELECT chapter_id, paragraph_index, md5(left(content[paragraph_index + 1], spot) || piece || substr(content[paragraph_index + 1], spot + 1)) AS digest FROM one JOIN chap USING (chapter_id) WHERE paragraph_index < len(content) AND spot <= length(content[paragraph_index + 1])")
 def _(t: Tables) -> DataFrame:
-    """R2: text inserted at references, in paragraphs with one."""
+    """R2: text inserted at references, however many a paragraph has."""
     refs = t.footnotes.where("marker is not null").select("footnote_id", "chapter_id", "marker", "refs").distinct().select("chapter_id", "marker", F.inline("refs"))
     edits = refs.select("chapter_id", "paragraph_index", F.col("end_offset").alias("at"), F.concat(F.lit("{"), "marker", F.lit("}")).alias("piece")).distinct()
-    single = edits.groupBy("chapter_id", "paragraph_index").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), F.min("piece").alias("piece")).where("n = 1").drop("n")
     par = _chapters(t).select("chapter_id", F.posexplode("content").alias("paragraph_index", "text"))
     key = ["chapter_id", "paragraph_index"]
-    fits = par.join(single, key).where(F.col("at") <= F.length("text"))
-    return R.insert_text(fits.select(*key, "text"), fits.select(*key, "at", "piece"), *key).select(*key, F.md5("text").alias("digest"))
+    fits = edits.join(par.select(*key, F.length("text").alias("length")), key).where(F.col("at") <= F.col("length")).drop("length")
+    return R.insert_text(par.join(fits, key, "left_semi"), fits, *key).select(*key, F.md5("text").alias("digest"))
 
 
 @query("r5_substitutions", "SELECT doc_id, CASE WHEN contains(text, '的确') THEN 'fixed' WHEN contains(text, '确实') THEN 'already' ELSE 'unmatched' END AS outcome, md5(replace(text, '的确', '确实')) AS digest FROM documents WHERE text IS NOT NULL")

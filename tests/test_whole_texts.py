@@ -63,3 +63,13 @@ def test_blocks_against_whole_texts(spark, tmp_path):
     assert expected == {("c1", md5(block["丁"])), ("c2", md5(menu)), ("c3", md5(block["庚"]))}
     got = [tuple(r) for r in Q.queries()["x0_missing_blocks"](spark, str(tmp_path)).select("chapter_id", "digest").collect()]
     assert sorted(got) == sorted(expected)
+
+
+def test_several_references_in_a_paragraph(spark, tmp_path):
+    spark.createDataFrame([("b", "c1", 0, "t", ["0123456789", "abc", "", None], [], day(1)), ("b", "c2", 1, "t", ["甲乙丙"], [], day(1))], CHAPTERS).write.parquet(f"{tmp_path}/chapters.parquet")
+    refs = {"1": [(0, 0, 5)], "2": [(0, 8, 10), (0, 0, 0), (1, 0, 9)], "3": [(0, 4, 5), (2, 0, 0), (3, 0, 0)]}
+    rows = [(f"n{m}", "b", "c1", m, ["x"], r) for m, r in refs.items()] + [("m", "b", "c2", "4", ["x"], [(0, 0, 1), (0, 1, 2)]), ("l", "b", "c2", None, ["x"], [(0, 0, 3)])]
+    spark.createDataFrame(rows + rows[:1], FOOTNOTES).write.parquet(f"{tmp_path}/footnotes.parquet")
+    expected = {("c1", 0): md5("{2}01234{1}{3}56789{2}"), ("c1", 2): md5("{3}"), ("c2", 0): md5("甲{4}乙{4}丙")}
+    got = Q.queries()["r2_inserted_markers"](spark, str(tmp_path)).collect()
+    assert len(got) == 3 and {(r.chapter_id, r.paragraph_index): r.digest for r in got} == expected
