@@ -37,6 +37,10 @@ def p3_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.shared_share(chapters(spark, folder).withColumnRenamed("chapter_id", "record")).withColumnRenamed("record", "chapter_id")
 
 
+def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.without_shared(chapters(spark, folder).withColumnRenamed("chapter_id", "record")).withColumnRenamed("record", "chapter_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines.repeated_lines(chapters(spark, folder), table(spark, folder, "books")).select("chapter_id", "paragraph_index").distinct()
 

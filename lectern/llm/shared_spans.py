@@ -11,6 +11,7 @@ characters around such beginnings are then compared, exactly.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,9 @@ SPAN, REACH = 100, 50
 #: k-grams whose least hash, in each window of so many, begins a span inside a stretch without sentence ends.
 GRAM, WINDOW = 8, SPAN - REACH - 8
 #: Sentence ends.
-_ENDS = np.array(sorted(ord(c) for c in "。！？；.!?;…\n"), np.uint32)
+_MARKS = "。！？；.!?;…\n"
+_ENDS = np.array(sorted(map(ord, _MARKS)), np.uint32)
+_SENTENCE = re.compile(f"[^{_MARKS}]*[{_MARKS}]+|[^{_MARKS}]+$")
 
 
 def span_starts(points: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
@@ -161,3 +164,49 @@ def shared_share(records: DataFrame) -> DataFrame:
     )
     shared = F.coalesce("shared_chars", F.lit(0).cast("bigint"))
     return sizes.join(covered, "record", "left").select("record", "n_chars", shared.alias("shared_chars"), F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).otherwise(0.0).alias("share"))
+
+
+def _without_covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of records (record, content, runs): content without the sentences that lie in runs held before and touch none held here first."""
+    for batch in batches:
+        out: list[list[str | None]] = []
+        removed: list[int] = []
+        for content, runs in zip(batch.column("content").to_pylist(), batch.column("runs").to_pylist()):
+            of: dict[int, list[dict]] = {}
+            for r in runs:
+                of.setdefault(r["paragraph_index"], []).append(r)
+            n, texts = 0, list(content)
+            for i, here in of.items():
+                gone, kept = [r for r in here if not r["first"]], [r for r in here if r["first"]]
+                pieces = [
+                    (m.group(), any(r["start"] <= m.start() and m.end() <= r["past"] for r in gone) and not any(r["start"] < m.end() and m.start() < r["past"] for r in kept))
+                    for m in _SENTENCE.finditer(texts[i])
+                ]
+                n += sum(drop for _, drop in pieces)
+                texts[i] = "".join(x for x, drop in pieces if not drop)
+            out.append(texts)
+            removed.append(n)
+        yield pa.RecordBatch.from_arrays([batch.column("record").cast(pa.string()), pa.array(out, pa.list_(pa.string())), pa.array(removed, pa.int32())], ["record", "content", "removed"])
+
+
+def without_shared(records: DataFrame) -> DataFrame:
+    """(record, content, removed): each record without the sentences of passages that an earlier record holds, and their number.
+
+    Of a window's holders the least record is the first and keeps every
+    sentence that the window touches, so each passage stays whole somewhere;
+    elsewhere the sentences that lie in such windows go. Sentences of which a
+    part isn't shared stay; emptied elements stay as well, so positions hold. A
+    record with several rows has the greatest content; a null one stays null.
+    """
+    once = records.where("record is not null").groupBy("record").agg(F.max("content").alias("content"))
+    windows = shared_windows(once).distinct()
+    holders = windows.groupBy("window").agg(F.min("record").alias("least"), F.max("record").alias("most")).where("least <> most").select("window", "least")
+    hits = windows.join(holders, "window").select("record", "paragraph_index", "start", (F.col("record") == F.col("least")).alias("first")).distinct()
+    # windows that touch are one run
+    place = ["record", "paragraph_index", "first"]
+    w = Window.partitionBy(*place).orderBy("start")
+    begins = F.coalesce(F.col("start") - F.lag("start").over(w) > SPAN, F.lit(True)).cast("int")
+    runs = hits.withColumn("begins", begins).withColumn("run", F.sum("begins").over(w)).groupBy(*place, "run").agg(F.min("start").alias("start"), (F.max("start") + SPAN).alias("past"))
+    listed = runs.groupBy("record").agg(F.collect_list(F.struct("paragraph_index", "first", "start", "past")).alias("runs"), F.bool_and("first").alias("all_first")).where("not all_first").select("record", "runs")
+    cleaned = once.join(listed, "record").mapInArrow(_without_covered, "record string, content array<string>, removed int")
+    return cleaned.unionByName(once.join(listed, "record", "left_anti").withColumn("removed", F.lit(0)))

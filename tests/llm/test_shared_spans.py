@@ -76,3 +76,40 @@ def test_rolling_hash():
     points[300:350] = points[100:150]
     r = Rolling(points)
     assert (r.all(50)[[100, 300]] == r.at(np.array([300, 100]), 50)).all() and len(set(r.all(50).tolist())) == 450
+
+
+def test_first_holder_keeps_what_others_lose(spark):
+    rng = random.Random(9)
+    whole = "".join(noise(rng, 39, 0) + "。" for _ in range(4))
+    tail = noise(rng, 10, 0) + whole[50:] + noise(rng, 60, 0)
+    rows = [("a", [noise(rng, 50) + "。" + whole]), ("b", ["首句。" + whole + "末句。", None, ""]), ("c", [noise(rng, 150, 0), tail]), ("d", None), ("e", ["短。"]), ("b", ["首句。" + whole + "末句。", None, ""]), (None, [whole])]
+    got = {r.record: (r.content, r.removed) for r in S.without_shared(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {"a": (rows[0][1], 0), "b": (["首句。末句。", None, ""], 4), "c": ([rows[2][1][0], tail[:40] + tail[120:]], 2), "d": (None, 0), "e": (["短。"], 0)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_every_repeated_window_stays_in_its_first_holder(spark, seed):
+    rng = random.Random(seed)
+    pool = [noise(rng, rng.randrange(80, 260)) for _ in range(5)]
+    rows = [(f"r{i:02}", ["".join(rng.choice([*pool, noise(rng, 40)])[rng.randrange(30) :] for _ in range(4)) for _ in range(2)]) for i in range(12)]
+    first, holders, covered = {}, {}, {}
+    for record, content in rows:
+        for i, text in enumerate(content):
+            for k in range(len(text) - S.SPAN + 1):
+                w = text[k : k + S.SPAN]
+                first.setdefault(w, record)
+                holders.setdefault(w, set()).add(record)
+    clean = {r.record: r.content for r in S.without_shared(spark.createDataFrame(rows, SCHEMA)).collect()}
+    repeated = {w for w, h in holders.items() if len(h) > 1}
+    assert repeated and all(any(w in text for text in clean[first[w]]) for w in repeated)
+    for record, content in rows:
+        expected = []
+        for text in content:
+            gone, kept = [False] * len(text), [False] * len(text)
+            for k in range(len(text) - S.SPAN + 1):
+                if (w := text[k : k + S.SPAN]) in repeated:
+                    mark = kept if first[w] == record else gone
+                    mark[k : k + S.SPAN] = [True] * S.SPAN
+            expected.append("".join(m.group() for m in S._SENTENCE.finditer(text) if not all(gone[m.start() : m.end()]) or any(kept[m.start() : m.end()])))
+        assert clean[record] == expected
+    assert any(clean[r] != c for r, c in rows)
