@@ -6,7 +6,15 @@ the damaged run is turned back into bytes, with wildcards where the reader left
 only replacement characters, and a Viterbi search over the byte lattice finds
 the most probable mixture of sound and restorable characters under character
 and pair frequencies of the whole corpus. What gains enough is damage; the
-decoded characters are the restored text, lost ones stay U+FFFD.
+decoded characters are the restored text, lost ones stay U+FFFD. Bytes of which
+nothing survives are a character of the lattice too: the replacement character
+that an earlier reader wrote.
+
+As most of the corpus has no spaces between words, its words are counted as
+characters and pairs of neighbours, in a count-min sketch of fixed size: each
+row's count exceeds the true one by the pairs that share its slot, whose mean is
+taken off, and the least of the rows counts. With N pairs counted it is over by
+more than 2.72 N / 2 ** PAIR_BITS in at most exp(-PAIR_ROWS) of cases.
 """
 
 from __future__ import annotations
@@ -25,8 +33,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.codepoints import codepoints, sliced, strings
 
-#: Slots of the pair table: pairs are counted by hash in a table of fixed size, over all texts.
-PAIR_BITS = 20
+#: Rows of the pair sketch, and the bits of a row's slots; pairs of all texts are counted.
+PAIR_ROWS, PAIR_BITS = 2, 20
 #: Mean log frequency of PROBE neighbouring characters below which a text is searched, whatever its characters.
 PROBE, PROBE_LEVEL = 4, -9.6
 #: Least gain in log probability for damage; cost of a step out of damage, and into it: less where bytes must form
@@ -34,6 +42,9 @@ PROBE, PROBE_LEVEL = 4, -9.6
 GAIN, OUT, INTO, INTO_UTF8 = 6.0, 2.0, 7.0, 3.0
 #: Log frequency of a character the corpus lacks, and of one that no writer writes.
 _UNSEEN, _NEVER = -17.0, -15.0
+#: Log probability of a character whose bytes are lost, and of one that an earlier reader had replaced (its three bytes are all there).
+LOST, REPLACED = -8.0, -1.5
+_REPLACEMENT = [0xEF, 0xBF, 0xBD]
 
 # The pairs of encodings (read as, written in) by name.
 SINGLE_BYTE = ("latin-1", "cp1252", "mac_roman", "cp437", "cp850", "koi8_r", "cp1251", "cp866")
@@ -59,14 +70,22 @@ CHANNELS = (
 )
 
 
-def pair_slot(a, b):
-    """Slot of a pair of code points in the pair table; for numbers and for arrays."""
-    return ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) & ((1 << PAIR_BITS) - 1)
+def pair_slots(a, b) -> list:
+    """Slots of a pair of code points in the sketch, one in each row, rows one after the other; for numbers and for arrays."""
+    keys = ((0x9E3779B1, 0x85EBCA77, 7), (0xC2B2AE3D, 0x27D4EB2F, 9))
+    return [(((a * x + b * y) >> z) & ((1 << PAIR_BITS) - 1)) + (row << PAIR_BITS) for row, (x, y, z) in enumerate(keys[:PAIR_ROWS])]
+
+
+def sketch(counts: np.ndarray) -> np.ndarray:
+    """The rows of the sketch less the mean of what other pairs add to a slot."""
+    rows = counts.reshape(PAIR_ROWS, -1).astype(np.float64)
+    total = rows.sum(axis=1, keepdims=True)
+    return np.maximum(rows - (total - rows) / (rows.shape[1] - 1), 0).astype(np.float32).ravel()
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's counts: code points as (code point), pairs as (-1 - slot)."""
-    single, pairs = np.zeros(0x110000, np.int64), np.zeros(1 << PAIR_BITS, np.int64)
+    single, pairs = np.zeros(0x110000, np.int64), np.zeros(PAIR_ROWS << PAIR_BITS, np.int64)
     for batch in sliced(batches, "title", "content"):
         for name in ("title", "content"):
             column = batch.column(name)
@@ -78,15 +97,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wide = points.astype(np.int64)
             inner = np.ones(len(points), bool)
             inner[offsets[1:-1][offsets[1:-1] < len(points)]] = False
-            slots = pair_slot(wide[:-1], wide[1:])[inner[1:]]
-            pairs += np.bincount(slots, minlength=1 << PAIR_BITS)
+            for slots in pair_slots(wide[:-1][inner[1:]], wide[1:][inner[1:]]):
+                pairs += np.bincount(slots, minlength=len(pairs))
     a, b = np.flatnonzero(single), np.flatnonzero(pairs)
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, -1 - b))), pa.array(np.concatenate((single[a], pairs[b])))], ["k", "n"])
 
 
 @dataclass
 class Model:
-    """Frequencies of the corpus: at most 0x110000 code points and 2 ** PAIR_BITS slots, whatever the corpus."""
+    """Frequencies of the corpus: at most 0x110000 code points and the sketch of pairs, whatever the corpus."""
 
     total: int
     points: np.ndarray
@@ -116,7 +135,8 @@ class Model:
         if one is None:
             return _UNSEEN
         if (n := self._count.get(before, 0)) >= 5:
-            one = math.log(0.7 * min(1.0, float(self.pairs[pair_slot(before, c)]) / n) + 0.3 * math.exp(one))
+            together = min(float(self.pairs[slot]) for slot in pair_slots(before, c))
+            one = math.log(0.7 * min(1.0, together / n) + 0.3 * math.exp(one))
         if len(self._scores) > 1 << 19:  # a cache only
             self._scores.clear()
         self._scores[before, c] = one
@@ -127,12 +147,16 @@ def learn(chapters: DataFrame) -> Model:
     """The corpus model of all titles and content elements; its size doesn't grow with the corpus."""
     counted = chapters.select(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.array().cast("array<string>")).alias("content"))
     rows = counted.mapInArrow(_counts, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    k, n = np.asarray(rows.column("k")), np.asarray(rows.column("n"))
-    pairs = np.zeros(1 << PAIR_BITS, np.float32)
+    return model_of(np.asarray(rows.column("k")), np.asarray(rows.column("n")))
+
+
+def model_of(k: np.ndarray, n: np.ndarray) -> Model:
+    """The model of the counts of code points (k) and of pairs (-1 - k)."""
+    pairs = np.zeros(PAIR_ROWS << PAIR_BITS, np.int64)
     pairs[-1 - k[k < 0]] = n[k < 0]
     order = np.argsort(k[k >= 0])
     points, counts = k[k >= 0][order], n[k >= 0][order]
-    return Model(int(counts.sum()), points, counts, pairs)
+    return Model(int(counts.sum()), points, counts, sketch(pairs))
 
 
 @functools.cache
@@ -192,7 +216,7 @@ def _decodings(codec: str, raw: list[int], at: int, known: dict[int, float]) ->
         out = [(1, 0xFFFD)]
         rest = raw[at + 1 : at + 3]
         if len(rest) == 2 and all(0x80 <= x < 0xC0 for x in rest):
-            out += [(3, c) for lead in range(0xE2, 0xF0) if (c := ((lead & 15) << 12) | ((rest[0] & 63) << 6) | (rest[1] & 63)) in known]
+            out += [(3, c) for lead in range(0xE2, 0xF0) if (c := ((lead & 15) << 12) | ((rest[0] & 63) << 6) | (rest[1] & 63)) in known and _proper(3, c)]
         return out
     size = 2 if 0xC2 <= a < 0xE0 else 3 if 0xE0 <= a < 0xF0 else 4 if 0xF0 <= a < 0xF5 else 0
     if not size or at + size > n:
@@ -205,13 +229,18 @@ def _decodings(codec: str, raw: list[int], at: int, known: dict[int, float]) ->
     first = (a & (0x7F >> size)) << (6 * (size - 1))
     base = first | sum((x & 63) << (6 * (size - 2 - i)) for i, x in enumerate(rest) if x >= 0)
     if not lost:
-        return [(size, base)] if base >= 0x80 and not 0xD800 <= base < 0xE000 else []
+        return [(size, base)] if _proper(size, base) else []
     if len(lost) == 1:
         shift = 6 * (size - 2 - lost[0])
-        return [(size, c) for x in range(64) if (c := base | (x << shift)) in known] or [(size, 0xFFFD)]
+        return [(size, c) for x in range(64) if (c := base | (x << shift)) in known and _proper(size, c)] or [(size, 0xFFFD)]
     return [(size, 0xFFFD)]
 
 
+def _proper(size: int, c: int) -> bool:
+    """Whether a code point is one that UTF-8 writes in so many bytes."""
+    return {2: 0x80, 3: 0x800, 4: 0x10000}[size] <= c <= 0x10FFFF and not 0xD800 <= c < 0xE000
+
+
 @functools.cache
 def _gate(read: str, written: str) -> re.Pattern:
     """What a text must hold for damage by this pair of encodings to be possible."""
@@ -263,6 +292,10 @@ def _repair(text: str, read: str, written: str, model: Model) -> tuple[float, st
         if len(raw) < 2:
             continue
         before = ord(text[start - 1]) if start else -1
+        twice = _REPLACEMENT * 2
+        # characters of two replacements in a row: their pairs are frequent only because damage is
+        alone = {edges[q] for p in range(len(raw) - 5) if raw[p : p + 6] == twice for q in range(p, p + 6) if q in edges} if written == "utf-8" and 0xEF in raw else ()
+        plainly = lambda i, last: model._log.get(ord(text[i]), _UNSEEN) if i in alone else _plain_score(model, last, ord(text[i]))
         # best[pos][mode]: (score, previous pos, previous mode, emitted code point)
         best: list[list[tuple[float, int, int, int] | None]] = [[None, None] for _ in range(len(raw) + 1)]
         best[0][0] = (0.0, -1, 0, before)
@@ -276,18 +309,19 @@ def _repair(text: str, read: str, written: str, model: Model) -> tuple[float, st
                 if pos in edges:
                     c = ord(text[edges[pos]])
                     nxt = pos + max(1, len(_bytes_of(read, text[edges[pos]]) or b"?"))
-                    s = score + _plain_score(model, last, c) - (OUT if mode else 0.0)
+                    s = score + plainly(edges[pos], last) - (OUT if mode else 0.0)
                     if best[nxt][0] is None or s > best[nxt][0][0]:
                         best[nxt][0] = (s, pos, mode, c)
                 if mode or pos in edges:
                     for length, c in _decodings(written, raw, pos, known):
-                        s = score + (-8.0 if c == 0xFFFD else model.score(last, c)) - (0.0 if mode else into)
+                        gone = REPLACED if written == "utf-8" and raw[pos : pos + 3] == _REPLACEMENT else LOST
+                        s = score + (gone if c == 0xFFFD else model.score(last, c)) - (0.0 if mode else into)
                         nxt = pos + length
                         if best[nxt][1] is None or s > best[nxt][1][0]:
                             best[nxt][1] = (s, pos, mode, c)
         last = before
         for i in range(start, end):
-            plain += _plain_score(model, last, ord(text[i]))
+            plain += plainly(i, last)
             last = ord(text[i])
         end_mode = max((0, 1), key=lambda m: best[len(raw)][m][0] if best[len(raw)][m] else -math.inf)
         cell = best[len(raw)][end_mode]
@@ -339,9 +373,6 @@ def _runs(read: str, text: str) -> Iterator[tuple[int, int]]:
         yield start, len(text)
 
 
-_LOST = re.compile("锟斤拷|锟斤锟斤|�{2,}|烫烫烫|屯屯屯")
-
-
 #: Damage on top of damage: what may be found in a text restored once.
 _AGAIN = [c for c in CHANNELS if c[1] == "utf-8" and c[0] in ("latin-1", "cp1252")]
 
@@ -372,25 +403,20 @@ def _twice(text: str, model: Model) -> tuple[float, str, str] | None:
     return best
 
 
-def restore(text: str, model: Model, rare: bool = True) -> tuple[str, str] | None:
+def restore(text: str, model: Model) -> tuple[str, str] | None:
     """(restored text, channels) of a text with damage; None for a sound one.
 
     The pair of encodings with the greatest gain is undone, then the result is
-    searched for UTF-8 that was taken for Latin twice. Damage of which no byte
-    survives is kept as it is, with the channel "lost". ``rare``: whether the
-    text has neighbouring rare characters, as any damage within the ideographs
-    has, or East Asian characters within Latin words, as a letter with an accent
-    becomes one among letters that are frequent.
+    searched for UTF-8 that was taken for Latin twice. Where no byte survives
+    the restored text has U+FFFD.
     """
     names: list[str] = []
     for channels in (CHANNELS, _AGAIN):
         best: tuple[float, str, str] | None = None
         for read, written in channels:
-            if not rare and read in ("gb18030", "big5", "shift_jis", "euc_kr"):
-                continue
             if _gate(read, written).search(text):
                 gain, fixed, spans = _repair(text, read, written, model)
-                if spans and fixed != text and (best is None or gain > best[0]):
+                if spans and (best is None or gain > best[0]):
                     best = (gain, fixed, f"{read}>{written}")
         if best is None and channels is CHANNELS:
             best = _twice(text, model)
@@ -398,8 +424,6 @@ def restore(text: str, model: Model, rare: bool = True) -> tuple[str, str] | Non
             break
         text = best[1]
         names.append(best[2])
-    if not names and _LOST.search(text):
-        names.append("lost")
     return (text, "+".join(names)) if names else None
 
 
@@ -418,12 +442,13 @@ def suspects(points: np.ndarray, offsets: np.ndarray, log: np.ndarray) -> np.nda
     return low
 
 
-def damaged(chapters: DataFrame, model: Model | None = None) -> DataFrame:
+def damaged(chapters: DataFrame, model: Model | None = None, all_texts: bool = False) -> DataFrame:
     """(chapter_id, paragraph_index, text, restored, channel) of titles (-1) and elements with damage.
 
     Null titles, contents and elements have none; a chapter delivered twice has
     each damaged place once. Every text is tested; the search runs on those
-    that hold unusual characters.
+    that hold unusual characters or neighbours that are rare, or with
+    ``all_texts`` on every text.
     """
     model = model or learn(chapters)
     shared = chapters.sparkSession.sparkContext.broadcast(model)
@@ -442,9 +467,9 @@ def damaged(chapters: DataFrame, model: Model | None = None) -> DataFrame:
             within = np.asarray(pa.compute.match_substring_regex(texts, _within_latin()))
             ids = batch.column("chapter_id")
             out: list[tuple[str, int, str, str, str]] = []
-            for i in np.flatnonzero(low | special | within).tolist():
+            for i in np.flatnonzero(low | special | within | all_texts).tolist():
                 text = texts[i].as_py()
-                if found := restore(text, model, bool(low[i] or within[i]) or "\ufffd" in text):
+                if found := restore(text, model):
                     out.append((ids[int(rows[i])].as_py(), int(index[i]), text, *found))
             columns = list(zip(*out)) if out else [()] * 5
             kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())

@@ -1,5 +1,7 @@
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lectern.llm import mojibake as M
 
@@ -18,10 +20,7 @@ def model():
     import numpy as np
 
     out = next(M._counts(iter([batch])))
-    k, n = np.asarray(out.column(0)), np.asarray(out.column(1))
-    pairs = np.zeros(1 << M.PAIR_BITS, np.float32)
-    pairs[-1 - k[k < 0]] = n[k < 0]
-    return M.Model(int(n[k >= 0].sum()), k[k >= 0], n[k >= 0], pairs).prepare()
+    return M.model_of(np.asarray(out.column(0)), np.asarray(out.column(1))).prepare()
 
 
 def misread(text, written, read):
@@ -55,6 +54,27 @@ def test_lost_bytes(model):
     assert M.restore("的锟斤拷锟斤拷锟斤拷", model)
 
 
+def test_replaced_before_by_another_reader(model):
+    assert M.restore("问题在于，孤立的锟斤拷锟斤拷锟斤拷公开的报告。", model) == ("问题在于，孤立的������公开的报告。", "gb18030>utf-8")
+    assert M.restore("一把铁锹和一斤盐", model) is None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([0xC2, 0xDF, 0xE0, 0xED, 0xEF, 0xF0, 0xF4, 0x80, 0x8F, 0x90, 0x9F, 0xA0, 0xBF, -1]), min_size=2, max_size=6))
+def test_bytes_decode_to_characters_only(raw):
+    for at in range(len(raw)):
+        for n, c in M._decodings("utf-8", raw, at, {x: 0.0 for x in (0x80, 0x7FF, 0x10FFFF)}):
+            assert 1 <= n <= len(raw) - at and chr(c).encode()
+            if all(b >= 0 for b in raw[at : at + n]) and c != 0xFFFD:
+                assert chr(c).encode() == bytes(raw[at : at + n])
+
+
+@pytest.mark.parametrize("raw", [b"\xf4\x90\x80\x80", b"\xe0\x80\x80", b"\xf0\x80\x80\x80", b"\xed\xa0\x80"])
+def test_bytes_past_the_last_character(model, raw):
+    """Bytes that no writer of UTF-8 writes, in a text of Latin-1."""
+    M.restore("工人" + raw.decode("latin-1") * 3 + "农民", model)
+
+
 def test_twice(model):
     once = SOUND[2].encode().decode("cp1252")
     assert M.restore(once.encode().decode("cp1252", "replace"), model)[0] == SOUND[2]
