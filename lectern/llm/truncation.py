@@ -31,6 +31,8 @@ CLOSING = 16
 _TERMINAL = r"(?<!\.\.)[。．.！!？?][”’」』\"'»）)\]]*$|[”」』\"»]$"
 _GERMAN_QUOTE = r"„[^„“]*“$"
 _BRACKETED = r"(?:（[^（）]*）|\([^()]*\)|【[^【】]*】|〔[^〔〕]*〕|\[[^\[\]]*\])$"
+#: White space, and characters without width that stand for it.
+_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff\u200b"
 _DEBRIS = r"(?:&#?[A-Za-z0-9]{0,8}|</?[A-Za-z]?[^<>]{0,80}|\x{FFFD}+)$"
 _ENDINGS = (
     r"^(?:此致|敬礼)$"
@@ -95,27 +97,24 @@ def length_spikes(documents: DataFrame) -> DataFrame:
 def _with_ends(docs: DataFrame, openings: list[str]) -> DataFrame:
     """doc_id, source, chars, bytes, and whether the text is empty, ends in debris, in terminal punctuation, in an allowed ending.
 
-    Step by step, as each step's columns are used several times by the next.
+    The whole last line decides, and how the line above it ends, however long
+    they are. Step by step, as each step's columns are used several times by the next.
     """
-    # only the end decides; the length tests see the whole text
-    tails = docs.select(
-        "doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), (F.length(F.trim("text")) == 0).alias("empty"), F.regexp_replace(F.substring("text", -400, 400), r"(?U)[\s\x{FEFF}\x{200B}]+$", "").alias("tail")
-    )
-    at = F.greatest(F.length("tail") - F.instr(F.reverse("tail"), F.lit("\n")) + 1, F.lit(0))
-    broken = F.contains("tail", F.lit("\n"))
-    lines = tails.select(
-        "doc_id", "source", "chars", "bytes", "empty", "tail", broken.alias("broken"),
-        F.when(broken, F.regexp_replace(F.substring("tail", at + 1, F.length("tail")), r"(?U)^\s+", "")).otherwise(F.regexp_replace("tail", r"(?U)^\s+", "")).alias("line"),
-        F.when(broken, F.substring_index(F.regexp_replace(F.substring("tail", F.lit(1), at), r"(?U)\s+$", ""), "\n", -1)).otherwise("").alias("above"),
+    space = F.lit(_SPACE)
+    whole = docs.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.rtrim("text", space).alias("text"))
+    last = whole.select("*", F.substring_index("text", "\n", -1).alias("last"))
+    lines = last.select(
+        "doc_id", "source", "chars", "bytes", (F.length("text") == 0).alias("empty"), F.contains("text", F.lit("\n")).alias("broken"), F.ltrim("last", space).alias("line"),
+        F.substring_index(F.rtrim(F.left("text", F.length("text") - F.length("last")), space), "\n", -1).alias("above"),
     )
     like = lambda c, pattern: F.regexp_like(c, F.lit(pattern))
-    terminal = like("tail", _TERMINAL) | like("line", _GERMAN_QUOTE) | like("line", _BRACKETED)
+    terminal = like("line", _TERMINAL) | like("line", _GERMAN_QUOTE) | like("line", _BRACKETED)
     finished_above = like("above", r"[。！？.!?”“）】〕)\]]\s*$")
     bare = (F.length("line") <= CLOSING) & like("line", r"^[\p{IsHan}·]+$") & ~F.contains("line", F.lit("的")) & ~F.contains("line", F.lit("了"))
     begins = F.substring("line", 1, 2).isin(openings) if openings else F.lit(False)
     signature = bare & ((finished_above & ~begins) | like("above", r"^\s*(?:敬礼|此致)\s*$"))
     ending = F.col("broken") & (signature | like("line", _ENDINGS))
-    return lines.select("doc_id", "source", "chars", "bytes", "empty", like("tail", _DEBRIS).alias("debris"), terminal.alias("terminal"), ending.alias("ending"))
+    return lines.select("doc_id", "source", "chars", "bytes", "empty", like("line", _DEBRIS).alias("debris"), terminal.alias("terminal"), ending.alias("ending"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:

@@ -39,6 +39,16 @@ def test_empty_and_repeats(spark):
     assert T.truncation_rates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 380, 420, 600, 50_000])
+def test_the_whole_last_line_decides(spark, n):
+    """Brackets and quotation marks that open far before the end; the same without the close is open."""
+    body = ("工人和农民的联合会，" * (n // 10 + 1))[:n]
+    latin = ("the guild and the mill, " * (n // 24 + 1))[:n].strip()
+    whole = [f"{SENTENCE}\n（{body}）", f"{SENTENCE}\n[{body}]", f"Er schrieb: „{latin}“"]
+    rows = [(i, None, t) for i, t in enumerate(whole)] + [(10 + i, None, t[:-1]) for i, t in enumerate(whole)]
+    assert {r.doc_id for r in T.truncated(spark.createDataFrame(rows, SCHEMA)).collect()} == {10, 11, 12}
+
+
 @pytest.mark.parametrize("n", [1, 200_000])
 def test_long(spark, n):
     assert T.truncated(spark.createDataFrame([(1, "a", SENTENCE * n)], SCHEMA)).count() == 0
