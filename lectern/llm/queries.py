@@ -46,8 +46,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_templates(spark: SparkSession, folder: str) -> DataFrame:
-    found = site_lines.line_templates(chapters(spark, folder), table(spark, folder, "books"))
-    return found.where(F.col("chapters") >= site_lines.LEAST).select("site", "template", "chapters")
+    return site_lines.line_templates(chapters(spark, folder), table(spark, folder, "books")).select("site", "template", "chapters")
 
 
 def p4_cleaned(spark: SparkSession, folder: str) -> DataFrame:
