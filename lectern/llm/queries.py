@@ -89,6 +89,11 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix.Mix(documents(spark, folder), table(spark, folder, "mix_targets")).shares()
 
 
+def p7_exact_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixes as large as their shares allow."""
+    return source_mix.Mix(documents(spark, folder), table(spark, folder, "mix_targets"), keep="shares").shares()
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncated(documents(spark, folder)).select("doc_id").distinct()
 
