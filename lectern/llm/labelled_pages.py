@@ -1,155 +1,135 @@
-"""The labelled sample for page boilerplate: lines of invented pages, put around the work or of the work.
+"""The seed of the labelled sample for page boilerplate: what web pages of any site put around a text, what editors note on one, and prose with words of pages.
 
-``AROUND`` and ``WORK`` are the whole training sample, and so its bound. In the
-lines a name in braces stands for each of its kind in turn.
+Written from general knowledge of web pages in the three languages of the
+library; page_body adds the lines that sites of the corpus repeat.
 """
 
 from __future__ import annotations
 
-from itertools import islice, product
-
 # Labelled lines.
 AROUND = """
-您的位置：首页 > {shelf} > {kind}
-您的位置：首页 » {shelf} » {kind}
-您的位置：首页 → {shelf} → {kind}
-您的位置：首页 - {shelf} - {kind}
-当前位置：首页 / {shelf} / {kind}
-首页 | 专题 | 检索 | 留言 | 登录 | 年表
-人物 - 投稿 - 登录 - 年表 - 下载
-注册 / 论坛 / 下载 / 检索 / 地图 / 文库
-文库 · 地图 · 人物 · 注册 · 投稿 · 首页
-论坛 :: 首页 :: 年表 :: 检索 :: 留言 :: 专题
-下载　留言　地图　人物　投稿　论坛
-登录   注册   文库   专题   首页
-年表 | 检索 | 登录 | 文库 | 首页
-留言 - 专题 - 注册 - 地图 - 人物
-投稿 / 年表 / 首页 / 登录 / 专题
-检索 :: 下载 :: 文库 :: 注册 :: 论坛
-专题 · 论坛 · 检索 · 登录 · 留言 · 下载
-上一篇：没有了　下一篇：没有了
-上一篇：　下一篇：
-« 上一篇 - 回目录 - 下一篇 »
-« / 回目录 / »
-« | 回目录 | »
-« 回目录 »
-« :: 回目录 :: »
-« · 回目录 · »
+您现在的位置：网站首页 >> 资讯 >> 正文
+当前位置: 主页 > 资料 > 详情
+网站首页 | 新闻 | 论坛 | 下载 | 留言板 | 登录 | 注册
+首页 - 检索 - 专题 - 人物 - 地图
+关于我们 / 联系我们 / 网站地图 / 会员中心 / 投稿
+上一篇：
+下一篇：
+上一篇：没有了
+« 上一页 目录 下一页 »
+« 上一章 | 回目录 | 下一章 »
+« 上一章 / 回目录 / 下一章 »
+« 上一章 - 回目录 - 下一章 »
+« 上一章 · 回目录 · 下一章 »
+« 上一章  回目录  下一章 »
+« 返回列表 »
+回目录
 相关阅读：
-相关阅读：更多
-热门推荐 ① ②
-热门推荐
-本周排行　
-本周排行
+相关文章：更多 > >
+热门推荐 ① ② ③
+本周热门 排行榜 推荐阅读
 标签：
-订阅{site}简报，每周一封
-本站使用小型文本文件改善浏览体验，继续访问即表示您同意{site}的隐私说明。
-我们重视您的隐私：{site}仅收集必要的访问数据。接受全部 拒绝 设置
-为了记住字号和夜间模式，{site}需要写入本地记录。[同意] [不同意]
-{site}会在您的设备上保存浏览偏好，点“知道了”关闭此提示。
-字号：A- A A+　夜间模式
-【大 中 小】【打印】【收藏】
-报告错字 加入书签 朗读
-打印本页 关闭窗口 返回顶部
-分享到：微圈 书友圈 复制链接
-点击右上角，发送给身边的读者
-觉得有用？把这一页转给朋友吧
-喜欢本文请点赞、收藏并关注{site}
-扫一扫，在手机上继续阅读
-阅读 0　评论 0
-浏览次数：0
-本页自 0 年以来被访问 0 次
-录入：{site}志愿组　校对：站务组
-来源：{site} · 整理：夜班小组
-责任编辑：{site}值班员
-本页文字由{site}志愿者录入，仅供学习研究，请勿用于商业用途。
-版权说明：录入稿归{site}所有，转载请注明出处。
-{site}保留所有权利，未经许可不得转载。
-{site} 备字第0号 违法信息举报请写信至站务组
-网页版权声明见站点底部
-— 广告 —
-加载中，请稍候……
-暂无评论，快来抢沙发
-返回本栏目列表
-本文已收入专题页，请点此查看全部
-新版站点试运行，旧链接将自动跳转
-推荐使用大屏幕阅读本栏目
-会员可下载排印版全文
-若页面显示异常，请更换浏览器
-读者来信请寄站务组转交
-编辑部招募录入员，有意者请来信
-Sie sind hier: Startseite > Bücherei
-Startseite | Suche | Hilfe | Anmelden | Über uns | Themen
-Suche · Über uns · Spenden · Hilfe · Startseite
-Spenden - Anmelden - Gästebuch - Suche - Startseite
-Themen   Über uns   Hilfe   Anmelden   Suche
-Gästebuch / Spenden / Themen / Hilfe / Startseite
-Anmelden :: Gästebuch :: Themen :: Suche :: Spenden
-Diese Seite verwendet Cookies. Alle akzeptieren / Ablehnen
-Seite teilen: Link kopieren, E-Mail
-Siehe auch:
-Zurück: | Weiter:
-Schlagworte:
-Erfasst von: {archive}, Nachtredaktion
-© {archive}. Von Freiwilligen erfasst, nur zum Studium.
-Drucken | Schließen | Nach oben
-Aufrufe: 0
-You are here: Home > Library
-Home | Search | Help | Login | About | Topics
-Login / Home / Guestbook / Donate / About
-Donate - Topics - Search - Home - Guestbook
-Help   About   Donate   Search   Login
-Guestbook :: Login :: Topics :: Help :: Home
-This page uses cookies. Accept all / Decline
-This site uses cookies. Accept all / Reject
-Share this page: copy link, e-mail
-See also:
-Previous: | Next:
+关键词：
+订阅我们的电子简报，每天一封
+本网站使用 Cookie 以改善您的浏览体验，继续浏览即视为同意我们的隐私政策。
+我们尊重您的隐私，只收集必要的数据。全部接受 全部拒绝 更多设置
+为了保存您的偏好，浏览器会记录本地数据。[知道了]
+字体大小：小 中 大　夜间模式
+【打印】【关闭】【收藏本页】
+打印文章　关闭窗口　返回顶部
+报告错误 加入收藏 语音朗读
+分享到：微信 微博 空间 复制网址
+扫描二维码，在手机上打开
+点击转发，分享给好友
+喜欢就点赞、转发并关注公众号
+浏览：0 次　评论：0 条
+阅读量：0　点击数：0
+您是本页第 0 位访问者，自 0 年起累计访问 0 次
+暂时没有评论，快来发表评论
+责任编辑：管理员
+来源：本站 · 编辑：小组
+录入：网友　校对：志愿者
+本文由志愿者整理上传，仅供学习交流，不得用于商业用途。
+版权所有，未经授权不得转载。
+转载本站文章请注明来源，版权归原作者所有。
+版权声明 免责声明 网站底部
+备案号：第0号　违法和不良信息举报
+广告 ——
+页面加载中，请等待……
+网页显示不正常？请刷新页面或更换浏览器
+网站改版，旧地址将自动跳转到新版
+建议使用大屏幕浏览本站
+注册会员可下载全文
+读者来信请寄编辑部，投稿有酬
+本站招募志愿编辑，有兴趣者请联系
+更多内容请点此查看本栏目专题页
+Sie befinden sich hier: Startseite / Archiv
+Startseite | Suche | Hilfe | Kontakt | Impressum
+Anmelden · Gästebuch · Spenden · Themen · Über uns
+Diese Website verwendet Cookies. Alle zulassen / Alle ablehnen
+Datenschutz: Wir speichern Ihre Einstellungen. Akzeptieren
+Artikel teilen: Link kopieren, per E-Mail senden
+Siehe auch: ähnliche Beiträge
+« Zurück
+Zurück: Inhaltsverzeichnis
+Weiter: nächste Seite »
+Schlagworte: Stichwörter:
+Seite drucken · Fenster schließen · Nach oben
+Seitenaufrufe: 0
+Aufrufe heute: 0
+© Archiv. Alle Rechte vorbehalten, nur für den privaten Gebrauch.
+Von Freiwilligen eingegeben, nur zum Studium freigegeben.
+Erfasst von unserer Redaktion
+Werbung
+You are here: Home / Archive
+Home | Search | Help | Contact | Topics
+Login - About - Guestbook - Donate - Register
+We use cookies on this website. Accept all / Reject all
+This site stores your preferences. Decline
+Share this article: copy link, send by e-mail
+See also: related articles
+Previous: table of contents
+Next: page »
 Tags:
 Keywords:
-Transcribed by the {archive} night desk
-© {archive}. Typed by volunteers for study only.
-Print | Close | Back to top
+Print this page | Close window | Back to top
 Page views: 0
-Back to contents
+Visitors since 0: 0
+Back to index
+© Library. All rights reserved, for private study only.
+Transcribed by volunteers of the archive
+Advertisement
 """
 
-WORK = """
-（本篇据作者手稿刊印，标点从旧）
-按：本篇依初印本排校，旧字未改。
-校记：异文以小字附于篇末。
-【编者注】原稿无题，题目为编者所加。
-Der Text folgt dem Erstdruck.
-Text follows the first printing.
-报纸在首页上印着“版权所有”四个字。
-书的扉页印着“版权所有”，此外没有别的说明。
-他们打印了几份传单，转发给会员，要求改变章程。
-他给朋友写信，请读者注意第一版的评论。
-编者收集了读者的来信和工人的评论。
-出版社保留了手稿，版权归作者所有。
-图书馆的登记簿上写着会员的名字。
-第一页的地图上标着车站的位置。
-下一篇文章将讨论这个问题。
-论坛上的人物都在谈论下载的价格。
-Er teilte die Seite mit seinen Freunden und druckte sie.
-Die Versammlung schließt die Straße und öffnet die Bücherei.
-The library closes and the home office shares the printing.
-He wrote about the search for a home, and about the next page.
+NOTES = """
+（据手稿刊印，标点为编者所加）
+（译自初版，旧式标点未改）
+按：本文依初版校订，文字从旧。
+按：原稿无标题，今题由编者拟定。
+校记：本篇异文见附注。
+【编者注】此处原稿缺页，题目后补。
+【译者注】原文如此。
+（作者原注）
+Nach der Handschrift gedruckt.
+Der Text folgt der Erstausgabe, dem ersten Druck.
+Anmerkung des Herausgebers: ohne Titel.
+The text is that of the first edition.
+Text follows the manuscript and the first printing.
+Note by the editor: untitled in the original.
 """
 
-_KINDS = {
-    "shelf": ("书目", "文库", "藏书", "专题"),
-    "kind": ("文章", "书信", "著作"),
-    "site": ("文库", "书屋", "阅览室", "典藏室", "读书网", "书阁", "资料馆"),
-    "archive": ("Archive", "Reading Room", "Library"),
-}
+PROSE = """
+秘书打印了一份决议，把它转发给各地的会员。
+这一期杂志的首页刊登了他的评论，封底写着版权所有。
+他喜欢收藏旧地图，常与朋友分享，也请他们转告读者。
+编辑部收到许多读者来信，志愿者逐一登记，寄回原处。
+他关注下一篇论文，点头称赞，浏览之后关闭了门窗。
+检索目录的人访问了图书馆，并联系了管理员。
+Er teilte die Seiten mit seinen Freunden, druckte sie und suchte Hilfe.
+She searched the page for help and shared the printing with her friends at home.
+"""
 
 
 def lines(sample: str) -> list[tuple[str, float]]:
-    """(line, weight): each line with every filling of its braces; the fillings of one line share its weight."""
-    out = []
-    for line in filter(None, sample.split("\n")):
-        slots = [k for k in _KINDS if "{" + k + "}" in line]
-        fillings = list(islice(product(*(_KINDS[s] for s in slots)), 64))
-        out += [(line.format(**dict(zip(slots, f))), 1 / len(fillings)) for f in fillings]
-    return out
+    """(line, weight) of a sample: every line counts the same."""
+    return [(line, 1.0) for line in sample.split("\n") if line]

@@ -2,10 +2,15 @@
 
 Maximum-scoring subsequences. Every token of a page scores by itself and the
 pair it ends: the log odds of standing in lines put around works, learned from
-labelled lines, against the whole corpus; what the labelled lines never hold
-scores for the work. One linear scan finds, in each element, the stretch
-with the greatest sum; stretches of at least LEVEL are taken out, and what is
-left, in the order of the page, is its main body.
+labelled pages, against the whole corpus; what the labelled lines never hold
+scores for the work. As the page's lines stand among the work's paragraphs too,
+the work isn't one stretch of the page: one linear scan finds, in each element,
+the disjoint stretches with the greatest sums, those of at least LEVEL are
+taken out, and what is left, in the order of the page, is its main body.
+
+The labelled pages are a short seed (``labelled_pages``) and, from a bounded
+sample of the corpus, the lines that a site repeats. Of these the ones that the
+seed's notes of editors explain better, or that hold no letter, are of the work.
 """
 
 from __future__ import annotations
@@ -24,11 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.codepoints import Rolling, codepoints, mix, sliced, strings
-from lectern.llm.labelled_pages import AROUND, WORK, lines
-
-#: Share of a text's tokens known from the lines around works from which it doesn't count as text of works.
-MOSTLY = 0.2
-#: Least sum of a stretch that isn't the work; score of what the labelled lines don't hold; bounds of one score.
+from lectern.llm.labelled_pages import AROUND, NOTES, PROSE, lines
+from lectern.llm.site_lines import line_templates
+from lectern.llm.tables import one_delivery
+
+#: Chapters from which the lines that sites repeat are taken as labelled lines; the sample is by hash of the id.
+SAMPLE = 20_000
+#: Share of a text's tokens known from the seed's lines around works, and from all such lines, from which it doesn't count as text of works.
+MOSTLY, NEARLY = 0.2, 0.6
+#: Sites whose repeated lines must hold a word or pair for it to score, if the seed lacks it: names of one site are no sign.
+SITES = 2
+#: Least sum of a stretch that isn't the work, odds of some 8000 : 1; score of what the labelled lines don't hold; bounds of one score.
 LEVEL, ELSE, MOST = 9.0, -1.5, 6.0
 _BREAK = 0x0A
 
@@ -117,10 +128,10 @@ class Lookup:
         return out
 
 
-def _shares(sample: str) -> list[Counter[int]]:
+def _shares(sample: list[tuple[str, float]]) -> list[Counter[int]]:
     """Weighted counts of words and of pairs in labelled lines."""
     out: list[Counter[int]] = [Counter(), Counter()]
-    for line, weight in lines(sample):
+    for line, weight in sample:
         t = Tokens.read(pa.array([line], pa.large_string()))
         for s in t.single[t.word].tolist():
             out[0][s] += weight
@@ -130,71 +141,130 @@ def _shares(sample: str) -> list[Counter[int]]:
 
 
 @functools.cache
-def _known() -> tuple[Lookup, Lookup]:
-    """Words and pairs of the labelled lines around works."""
-    words, pairs = _shares(AROUND)
-    return Lookup(np.array(list(words), np.uint64)), Lookup(np.array(list(pairs), np.uint64))
+def _seed() -> tuple[Lookup, Lookup]:
+    """Words and pairs of the seed's lines around works."""
+    return seed_sample().lookups()
+
+
+def of_the_work(line: str) -> bool:
+    """Whether a line that a site repeats is rather the work's: without letters, or nearer to the seed's notes than to its lines of pages."""
+    t = Tokens.read(pa.array([line], pa.large_string()))
+    if not any(c.isalpha() for c in line):
+        return True
+    score = 0.0
+    for around, work, ids in zip(_shares(lines(AROUND)), _shares(lines(NOTES)), (t.single[t.word], t.pair[1:])):
+        a, w = sum(around.values()), sum(work.values())
+        score += sum(math.log((work[h] / w + 1e-4) / (around[h] / a + 1e-4)) for h in ids.tolist() if h in around or h in work)
+    return score > 0
+
+
+@dataclass
+class Sample:
+    """Weighted counts of words and of pairs in labelled lines around works, and in such lines of works."""
+
+    around: list[Counter[int]]
+    work: list[Counter[int]]
+
+    def lookups(self) -> tuple[Lookup, Lookup]:
+        return Lookup(np.array(list(self.around[0]), np.uint64)), Lookup(np.array(list(self.around[1]), np.uint64))
+
+
+def seed_sample() -> Sample:
+    return Sample(_shares(lines(AROUND)), _shares(lines(NOTES) + lines(PROSE)))
+
+
+def labelled(chapters: DataFrame, books: DataFrame, sample: int = SAMPLE) -> Sample:
+    """The seed's lines, and those that sites repeat in some ``sample`` chapters.
+
+    What is collected is bounded by the sample. Each repeated line has the same
+    weight, all of a kind together at most that of the seed's; of their words
+    and pairs those of fewer than SITES sites don't count.
+    """
+    of, n = 1 << 20, chapters.count()
+    picked = chapters if n <= sample else chapters.where(F.pmod(F.xxhash64("chapter_id", F.lit(2)), F.lit(of)) < int(of * sample / n))
+    rows = line_templates(picked, books).groupBy("template").agg(F.collect_set("site").alias("sites")).collect()
+    repeated = sorted((r.template.replace("\n", "0"), frozenset(r.sites)) for r in rows)
+    out = seed_sample()
+    for part, own in ((out.around, False), (out.work, True)):
+        here = [(line, sites) for line, sites in repeated if of_the_work(line) == own]
+        size = min(1.0, sum(part[1].values()) / max(1, sum(len(line) for line, _ in here)))
+        held: list[dict[int, set[str]]] = [{}, {}]
+        for line, sites in here:
+            for places, counts in zip(held, _shares([(line, 1.0)])):
+                for h in counts:
+                    places.setdefault(h, set()).update(sites)
+        for line, _ in here:
+            for total, places, counts in zip(part, held, _shares([(line, size)])):
+                total.update({h: x for h, x in counts.items() if h in total or own or len(places[h]) >= SITES})
+    return out
 
 
 @dataclass
 class Weights:
     """Scores of the words and pairs of the labelled lines, in the order of their lookups."""
 
+    known: tuple[Lookup, Lookup]
     words: np.ndarray
     pairs: np.ndarray
 
     def scores(self, t: Tokens) -> np.ndarray:
         """Score of each token: a word's own with its pair's, where that speaks against the work; else the pair's."""
-        words, pairs = _known()
+        words, pairs = self.known
         pair = np.append(self.pairs, ELSE)[pairs(t.pair)]
         own = np.append(self.words, ELSE)[np.where(t.word, words(t.single), -1)]
         return np.where(t.word, own + np.maximum(pair, 0), pair)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts of the labelled words and pairs, and of all, over texts that don't consist largely of them."""
-    words, pairs = _known()
-    total = np.zeros(len(words.ids) + len(pairs.ids) + 2, np.int64)
-    for batch in sliced(batches, "content"):
-        texts = strings(batch.column("content").flatten())
-        t = Tokens.read(texts)
-        if not len(t.of):
-            continue
-        w, p = np.where(t.word, words(t.single), -1), pairs(t.pair)
-        known = np.where(t.word, w >= 0, p >= 0)
-        share = np.bincount(t.of, weights=known, minlength=len(texts)) / np.maximum(1, np.bincount(t.of, minlength=len(texts)))
-        own = (share < MOSTLY)[t.of]
-        total[: len(words.ids)] += np.bincount(w[own & (w >= 0)], minlength=len(words.ids))
-        total[len(words.ids) : -2] += np.bincount(p[own & (p >= 0)], minlength=len(pairs.ids))
-        total[-2:] += [int((own & t.word).sum()), int(own.sum())]
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "n"])
-
-
-def learn(chapters: DataFrame) -> Weights:
+def counting(known: tuple[Lookup, Lookup]):
+    """A task's counts of the known words and pairs, and of all, over texts that don't consist largely of them."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (words, pairs), (seed_words, seed_pairs) = known, _seed()
+        total = np.zeros(len(words.ids) + len(pairs.ids) + 2, np.int64)
+        for batch in sliced(batches, "content"):
+            texts = strings(batch.column("content").flatten())
+            t = Tokens.read(texts)
+            if not len(t.of):
+                continue
+            seeded = np.where(t.word, np.where(t.word, seed_words(t.single), -1) >= 0, seed_pairs(t.pair) >= 0)
+            share = np.bincount(t.of, weights=seeded, minlength=len(texts)) / np.maximum(1, np.bincount(t.of, minlength=len(texts)))
+            w, p = np.where(t.word, words(t.single), -1), pairs(t.pair)
+            met = np.bincount(t.of, weights=np.where(t.word, (w >= 0) | (p >= 0), p >= 0), minlength=len(texts)) / np.maximum(1, np.bincount(t.of, minlength=len(texts)))
+            own = ((share < MOSTLY) & (met < NEARLY))[t.of]
+            total[: len(words.ids)] += np.bincount(w[own & (w >= 0)], minlength=len(words.ids))
+            total[len(words.ids) : -2] += np.bincount(p[own & (p >= 0)], minlength=len(pairs.ids))
+            total[-2:] += [int((own & t.word).sum()), int(own.sum())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "n"])
+
+    return counts
+
+
+def learn(chapters: DataFrame, books: DataFrame, sample: int = SAMPLE) -> Weights:
     """Weights of the labelled lines against all content elements; there are as many as the sample has words and pairs."""
+    lines_of = labelled(chapters, books, sample)
+    known = lines_of.lookups()
     content = chapters.select(F.coalesce("content", F.array().cast("array<string>")).alias("content"))
-    rows = content.mapInArrow(_counts, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    words, pairs = _known()
-    counts = np.zeros(len(words.ids) + len(pairs.ids) + 2)
+    rows = content.mapInArrow(counting(known), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(known[0].ids) + len(known[1].ids) + 2)
     counts[np.asarray(rows.column("k"))] = np.asarray(rows.column("n"))
-    return fit(counts)
+    return fit(lines_of, known, counts)
 
 
-def fit(counts: np.ndarray) -> Weights:
-    """Log odds of the labelled lines against the counts of the corpus, and against the labelled lines of works."""
-    words, pairs = _known()
-    parts = (counts[: len(words.ids)], counts[len(words.ids) : -2])
+def fit(sample: Sample, known: tuple[Lookup, Lookup], counts: np.ndarray) -> Weights:
+    """Log odds of the labelled lines around works against the counts of the corpus, and against the labelled lines of works."""
+    words = len(known[0].ids)
+    parts = (counts[:words], counts[words:-2])
     out = []
-    for known, part, size, around, work in zip((words, pairs), parts, counts[-2:], _shares(AROUND), _shares(WORK)):
+    for lookup, part, size, around, work in zip(known, parts, counts[-2:], sample.around, sample.work):
         total, total_work = sum(around.values()), sum(work.values())
-        scores = np.zeros(len(known.ids))
-        for i, (h, n) in enumerate(zip(known.ids.tolist(), part)):
+        scores = np.zeros(len(lookup.ids))
+        for i, (h, n) in enumerate(zip(lookup.ids.tolist(), part)):
             score = math.log(around[h] / total / max(n / max(size, 1), 1e-6))
             if w := work.get(h):
                 score = min(score, math.log((around[h] / total) / (w / total_work)))
             scores[i] = min(MOST, max(-MOST, score))
         out.append(scores)
-    return Weights(*out)
+    return Weights(known, *out)
 
 
 def stretches(scores: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -214,24 +284,39 @@ def scan_texts(texts: pa.Array, weights: Weights) -> np.ndarray:
     return stretches(weights.scores(t), t.of, len(texts))
 
 
-def cut(text: str, weights: Weights) -> tuple[str, list[str]]:
-    """(what is left, what was taken out): stretches of at least LEVEL, widened to their line's or separators' ends."""
-    gone: list[str] = []
-    while text.strip():
-        t = Tokens.read(pa.array([text], pa.large_string()))
-        sums = np.concatenate(([0.0], np.cumsum(weights.scores(t), dtype=np.float64)))
+_GAPS = " \t　|—"
+
+
+def cut(text: str, scores: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[str, list[str]]:
+    """(what is left, what was taken out): the disjoint stretches of at least LEVEL, the greatest first, each widened to its line's or separators' ends."""
+    scores, gone = scores.astype(np.float64).copy(), []
+    while len(scores):
+        sums = np.concatenate(([0.0], np.cumsum(scores)))
         over = sums - np.minimum.accumulate(sums)
         end = int(np.argmax(over))
         if over[end] < LEVEL:
             break
         start = int(np.argmin(sums[: end + 1]))
         # a pair's score stands at its second token
-        a, b = max(0, int(t.starts[max(0, start - 1)])), min(len(text), int(t.ends[end - 1]))
-        a, b = _widened(text, a, b)
-        gone.append(text[a:b])
-        left, right = text[:a].rstrip(" \t　|—"), text[b:].lstrip(" \t　|—")
-        text = left + ("\n" if left and right and "\n" in text[a:b] else " " if left and right else "") + right
-    return text, gone
+        a, b = _widened(text, max(0, int(starts[max(0, start - 1)])), min(len(text), int(ends[end - 1])))
+        gone.append((a, b))
+        scores[(starts < b) & (ends > a)] = -1e6  # no stretch crosses what is gone
+        scores[start:end] = -1e6
+    merged: list[list[int]] = []
+    for a, b in sorted(gone):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    left = text[: merged[0][0]].rstrip(_GAPS) if merged else text
+    for (a, b), (after, _) in zip(merged, [*merged[1:], (len(text), 0)]):
+        right = text[b:after].lstrip(_GAPS)
+        right = right if after == len(text) else right.rstrip(_GAPS)
+        if left.endswith("\n") and right.startswith("\n"):
+            right = right[1:]
+        between = "" if not left or not right or "\n" in (left[-1], right[0]) else "\n" if "\n" in text[a:b] else " "
+        left += between + right
+    return left, [text[a:b] for a, b in merged]
 
 
 def _widened(text: str, a: int, b: int) -> tuple[int, int]:
@@ -247,65 +332,59 @@ def _widened(text: str, a: int, b: int) -> tuple[int, int]:
     return min(a, start) if a - start < 40 else a, end
 
 
-def around(chapters: DataFrame, weights: Weights | None = None) -> DataFrame:
-    """(chapter_id, paragraph_index, score, text) of content elements with a stretch that isn't the work.
+def page_parts(chapters: DataFrame, weights: Weights) -> DataFrame:
+    """(chapter_id, content, cut, pieces): the main body of each row, the positions of the elements that lost something, and the pieces taken out.
 
-    Null contents and elements have none, empty ones neither; a chapter
-    delivered twice has each element once.
+    Elements of which nothing is left are dropped, empty ones too; a null content stays null and has no pieces.
     """
-    weights = weights or learn(chapters)
     shared = chapters.sparkSession.sparkContext.broadcast(weights)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for batch in sliced(batches, "content"):
             content = batch.column("content")
-            rows = np.asarray(pc.list_parent_indices(content), np.int64)
             texts = strings(content.flatten())
-            best = scan_texts(texts, weights)
-            at = np.flatnonzero(best >= LEVEL)
-            index = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+            t = Tokens.read(texts)
+            scores = weights.scores(t)
+            best = stretches(scores, t.of, len(texts))
+            bounds = np.searchsorted(t.of, np.arange(len(texts) + 1))
+            kept, where, pieces, k = [], [], [], 0
+            for elements in content.to_pylist():
+                out, at, gone = [], [], []
+                for i, e in enumerate(elements or ()):
+                    if best[k] >= LEVEL:
+                        x, y = bounds[k], bounds[k + 1]
+                        e, taken = cut(e, scores[x:y], t.starts[x:y], t.ends[x:y])
+                        at.append(i)
+                        gone += taken
+                    k += 1
+                    if e and e.strip():
+                        out.append(e)
+                kept.append(out if elements is not None else None)
+                where.append(at)
+                pieces.append(gone)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("chapter_id").take(pa.array(rows[at])), pa.array(index[at].astype(np.int32)), pa.array(best[at]), texts.take(pa.array(at)).cast(pa.string())],
-                ["chapter_id", "paragraph_index", "score", "text"],
+                [batch.column("chapter_id"), pa.array(kept, pa.list_(pa.string())), pa.array(where, pa.list_(pa.int32())), pa.array(pieces, pa.list_(pa.string()))], ["chapter_id", "content", "cut", "pieces"]
             )
 
-    pages = chapters.select("chapter_id", "content").where("chapter_id is not null and content is not null")
-    return pages.mapInArrow(scan, "chapter_id string, paragraph_index int, score double, text string")
+    return chapters.where("chapter_id is not null").select("chapter_id", "content").mapInArrow(clean, "chapter_id string, content array<string>, cut array<int>, pieces array<string>")
 
 
-def main_body(chapters: DataFrame) -> DataFrame:
-    """(chapter_id, content, removed): the paragraphs of the work only, and the pieces taken out.
+def around(chapters: DataFrame, books: DataFrame, weights: Weights | None = None) -> DataFrame:
+    """(chapter_id, paragraph_index) of content elements that lose something to the main body.
 
-    Elements of which nothing is left are dropped, empty ones too; a chapter
-    delivered twice has one row, a null content stays null.
+    Null contents and elements have none, empty ones neither; a chapter
+    delivered twice has each element once.
     """
-    weights = learn(chapters)
-    shared = chapters.sparkSession.sparkContext.broadcast(weights)
+    parts = page_parts(chapters, weights or learn(chapters, books))
+    return parts.select("chapter_id", F.explode("cut").alias("paragraph_index")).distinct()
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
-        for batch in sliced(batches, "content"):
-            content = batch.column("content")
-            texts = strings(content.flatten())
-            hit = scan_texts(texts, weights) >= LEVEL
-            kept, gone, k = [], [], 0
-            for elements in content.to_pylist():
-                if elements is None:
-                    kept.append(None)
-                    gone.append(0)
-                    continue
-                out, n = [], 0
-                for e in elements:
-                    if e and hit[k]:
-                        e, pieces = cut(e, weights)
-                        n += len(pieces)
-                    k += 1
-                    if e and e.strip():
-                        out.append(e)
-                kept.append(out)
-                gone.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column("chapter_id"), pa.array(kept, pa.list_(pa.string())), pa.array(gone, pa.int32())], ["chapter_id", "content", "removed"])
 
-    once = chapters.select("chapter_id", "content").where("chapter_id is not null").dropDuplicates(["chapter_id"])
-    return once.mapInArrow(clean, "chapter_id string, content array<string>, removed int")
+def main_body(chapters: DataFrame, books: DataFrame, weights: Weights | None = None) -> DataFrame:
+    """(chapter_id, content, removed): the paragraphs of the work only, and the number of pieces taken out.
+
+    Elements of which nothing is left are dropped, empty ones too; a chapter
+    delivered twice has one row, a null content stays null.
+    """
+    parts = page_parts(one_delivery(chapters), weights or learn(chapters, books))
+    return parts.select("chapter_id", "content", F.size("pieces").alias("removed"))

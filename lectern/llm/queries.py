@@ -21,11 +21,11 @@ def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return page_body.around(chapters(spark, folder)).select("chapter_id", "paragraph_index").distinct()
+    return page_body.around(chapters(spark, folder), table(spark, folder, "books"))
 
 
 def p2_main_body(spark: SparkSession, folder: str) -> DataFrame:
-    return page_body.main_body(chapters(spark, folder))
+    return page_body.main_body(chapters(spark, folder), table(spark, folder, "books"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

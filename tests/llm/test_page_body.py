@@ -10,8 +10,10 @@ AROUND = ["您的位置：首页 » 文库 » 书信", "人物 - 投稿 - 登录
 
 @pytest.fixture(scope="module")
 def weights():
+    """Weights of the seed alone."""
     batch = pa.RecordBatch.from_arrays([pa.array([BODY], pa.list_(pa.string()))], ["content"])
-    return B.fit(np.asarray(next(B._counts(iter([batch]))).column("n"), float))
+    known = B.seed_sample().lookups()
+    return B.fit(B.seed_sample(), known, np.asarray(next(B.counting(known)(iter([batch]))).column("n"), float))
 
 
 def best(texts, weights):
@@ -25,10 +27,11 @@ def test_separates(weights):
 
 @pytest.mark.parametrize("glue", ["\n", " ", "　", " | ", "——"])
 def test_parts_of_elements(weights, glue):
-    line = AROUND[0]
+    line = "您现在的位置：网站首页 | 论坛 | 下载"
     for text in (line + glue + BODY[0], BODY[0] + glue + line):
         assert best([text], weights)[0] >= B.LEVEL
-        left, gone = B.cut(text, weights)
+        t = B.Tokens.read(pa.array([text], pa.large_string()))
+        left, gone = B.cut(text, weights.scores(t), t.starts, t.ends)
         assert left.strip() == BODY[0] and len(gone) == 1
 
 
@@ -43,10 +46,27 @@ def test_scan_equals_brute_force(weights):
         assert got[i] == pytest.approx(want, abs=1e-6)
 
 
+BOOKS = "book_id string, source_url string"
+
+
 def test_operator_on_odd_tables(spark):
-    rows = [("c1", [None, "", AROUND[0], BODY[0]]), ("c1", [None, "", AROUND[0], BODY[0]]), ("c2", None), (None, [AROUND[0]]), ("c3", BODY)]
-    frame = spark.createDataFrame(rows, "chapter_id string, content array<string>").selectExpr("*", "'x' AS score", "2 AS removed")
-    assert {(r.chapter_id, r.paragraph_index) for r in B.around(frame).collect()} == {("c1", 2)}
-    main = {r.chapter_id: (r.content, r.removed) for r in B.main_body(frame).collect()}
+    rows = [("c1", "b", [None, "", AROUND[0], BODY[0]]), ("c1", "b", [None, "", AROUND[0], BODY[0]]), ("c2", "b", None), (None, "b", [AROUND[0]]), ("c3", None, BODY)]
+    schema = "chapter_id string, book_id string, content array<string>"
+    books = spark.createDataFrame([("b", "https://a.test/1")], BOOKS)
+    frame = spark.createDataFrame(rows, schema).selectExpr("*", "'x' AS score", "2 AS removed", "3 AS cut", "4 AS template")
+    assert {(r.chapter_id, r.paragraph_index) for r in B.around(frame, books).collect()} == {("c1", 2)}
+    main = {r.chapter_id: (r.content, r.removed) for r in B.main_body(frame, books).collect()}
     assert main["c1"] == ([BODY[0]], 1) and main["c2"] == (None, 0) and main["c3"] == (BODY, 0)
-    assert B.around(spark.createDataFrame([], "chapter_id string, content array<string>")).count() == 0
+    assert B.around(spark.createDataFrame([], schema), books).count() == 0
+
+
+def test_lines_that_sites_repeat_are_learned(spark):
+    """Words the seed lacks are learned from lines that two sites repeat; notes of editors and dividers that it repeats stay."""
+    odd = "瀚渊夜航版匣 零售窗口"
+    note = "（据手稿刊印，标点从旧）"
+    rows = [(f"c{i}", "bf"[i % 2], [odd, f"工人第{chr(0x4E00 + i)}次赞成了报告，{chr(0x5000 + i)}则反对租约。", note, "* * *"]) for i in range(24)] + [("d", "e", [f"{BODY[0]}\n{odd}", note])]
+    books = spark.createDataFrame([("b", "https://a.test/1"), ("f", "https://f.test/1"), ("e", None)], BOOKS)
+    frame = spark.createDataFrame(rows, "chapter_id string, book_id string, content array<string>")
+    got = {(r.chapter_id, r.paragraph_index) for r in B.around(frame, books).collect()}
+    assert got == {(f"c{i}", 0) for i in range(24)} | {("d", 0)}
+    assert {r.chapter_id: r.content for r in B.main_body(frame, books).collect()}["d"] == [BODY[0] + "\n", note]
