@@ -65,6 +65,7 @@ def test_lines_that_sites_repeat_are_learned(spark):
     odd = "瀚渊夜航版匣 零售窗口"
     note = "（据手稿刊印，标点从旧）"
     rows = [(f"c{i}", "bf"[i % 2], [odd, f"工人第{chr(0x4E00 + i)}次赞成了报告，{chr(0x5000 + i)}则反对租约。", note, "* * *"]) for i in range(24)] + [("d", "e", [f"{BODY[0]}\n{odd}", note])]
+    rows += [(f"x{i}", "e", BODY) for i in range(10)]
     books = spark.createDataFrame([("b", "https://a.test/1"), ("f", "https://f.test/1"), ("e", None)], BOOKS)
     frame = spark.createDataFrame(rows, "chapter_id string, book_id string, content array<string>")
     got = {(r.chapter_id, r.paragraph_index) for r in B.around(frame, books).collect()}
