@@ -85,13 +85,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any fixed-length window of a code-point array, after one prefix pass."""
+    """Hashes of any fixed-length window of a code-point array, after one prefix pass; another seed gives others."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, seed: int = 0x9E37):
         with np.errstate(over="ignore"):
             n = len(points)
             self._back, powers = _powers(_INVERSE, n + 1), _powers(_BASE, n + 1)[:n]
-            terms = mix(points.astype(np.uint64) + np.uint64(0x9E37)) * powers
+            terms = mix(points.astype(np.uint64) + np.uint64(seed)) * powers
             self._sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
 
     def at(self, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
