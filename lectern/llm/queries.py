@@ -138,6 +138,16 @@ WITH elements AS (SELECT DISTINCT chapter_id, unnest(content) AS text FROM chapt
 SELECT DISTINCT a.chapter_id AS chapter_id_a, b.chapter_id AS chapter_id_b FROM members a JOIN members b ON a.w = b.w AND a.chapter_id < b.chapter_id
 """
 
+_SHARE = """
+WITH elements AS (SELECT DISTINCT chapter_id, idx, text FROM (SELECT chapter_id, unnest(content) AS text, generate_subscripts(content, 1) AS idx FROM chapters WHERE chapter_id IS NOT NULL)),
+ windows AS (SELECT chapter_id, idx, i, substr(text, i, 100) AS w FROM (SELECT chapter_id, idx, text, unnest(generate_series(1, length(text) - 99)) AS i FROM elements WHERE length(text) >= 100)),
+ shared AS (SELECT w FROM windows GROUP BY w HAVING count(DISTINCT chapter_id) > 1),
+ hits AS (SELECT chapter_id, i, lag(i) OVER (PARTITION BY chapter_id, idx ORDER BY i) AS p FROM (SELECT DISTINCT chapter_id, idx, i FROM windows JOIN shared USING (w))),
+ covered AS (SELECT chapter_id, sum(CASE WHEN p IS NULL THEN 100 ELSE least(100, i - p) END) AS n FROM hits GROUP BY chapter_id),
+ sizes AS (SELECT chapter_id, max(CAST(coalesce(list_sum(list_transform(content, lambda x: coalesce(length(x), 0))), 0) AS BIGINT)) AS n_chars FROM chapters WHERE chapter_id IS NOT NULL AND content IS NOT NULL GROUP BY chapter_id)
+SELECT chapter_id, n_chars, CAST(coalesce(n, 0) AS BIGINT) AS shared_chars, CASE WHEN n_chars > 0 THEN coalesce(n, 0) / n_chars ELSE 0.0 END AS share FROM sizes LEFT JOIN covered USING (chapter_id)
+"""
+
 _WIDE = "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９"
 _NARROW = "abcdefghijklmnopqrstuvwxyz" * 2 + "0123456789"
 _LEAKS = f"""
@@ -161,6 +171,7 @@ HAVING count(*) FILTER (size >= high - 3) >= 3 AND count(*) FILTER (size >= high
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _WINDOWS,
+        "p3_share": _SHARE,
         "p4_found": _LINES + "SELECT DISTINCT chapter_id, CAST(paragraph_index AS INTEGER) AS paragraph_index FROM marked JOIN repeated USING (site, template)",
         "p4_templates": _LINES + "SELECT site, template, chapters FROM repeated",
         "p6_found": _LEAKS,

@@ -6,7 +6,7 @@ no sentence end, the least hash of each window of k-grams stands in for one, so
 that every run of ``SPAN`` equal characters holds a common beginning among its
 first ``SPAN - REACH`` characters. Records that share a beginning's ``REACH``
 characters are found by one hash aggregation; only their windows of ``SPAN``
-characters around such beginnings are then compared, exactly.
+characters around such beginnings are then compared, by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -20,15 +20,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.codepoints import Rolling, codepoints, flatten, sliced, sliding_min, strings
-
+from lectern.llm.tables import one_delivery
+from lectern.session import cut_lineage
 
 #: Characters of the shortest run that counts, and of the span hashed from each beginning.
 SPAN, REACH = 100, 50
 #: k-grams whose least hash, in each window of so many, begins a span inside a stretch without sentence ends.
 GRAM, WINDOW = 8, SPAN - REACH - 8
+#: Seed of the second half of a window's hash.
+CHECK = 0x51ED
 #: Sentence ends.
 _MARKS = "。！？；.!?;…\n"
 _ENDS = np.array(sorted(map(ord, _MARKS)), np.uint32)
+_WINDOW = ["window", "check"]
 _SENTENCE = re.compile(f"[^{_MARKS}]*[{_MARKS}]+|[^{_MARKS}]+$")
 
 
@@ -99,16 +103,17 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(rolling.at(at, SPAN).view(np.int64)),
+                pa.array(Rolling(points, CHECK).at(at, SPAN).view(np.int64)),
                 strings(batch.column("record")).take(pa.array(rows[of])).cast(pa.string()),
                 pa.array(index[of].astype(np.int32)),
                 pa.array((at - offsets[of]).astype(np.int32)),
             ],
-            ["window", "record", "paragraph_index", "start"],
+            ["window", "check", "record", "paragraph_index", "start"],
         )
 
 
 def shared_windows(records: DataFrame) -> DataFrame:
-    """(window, record, paragraph_index, start): SPAN equal characters that more than one record holds.
+    """(window, check, record, paragraph_index, start): windows of SPAN characters, by their hash, around beginnings that more than one record holds.
 
     ``records`` has record (string) and content (array of strings); rows with a
     null in either have no windows, and repeated rows of one record count once.
@@ -116,12 +121,12 @@ def shared_windows(records: DataFrame) -> DataFrame:
     """
     records = records.select("record", "content").where(F.col("record").isNotNull() & F.col("content").isNotNull())
     keyed = records.withColumn("key", F.xxhash64("record"))
-    spans = keyed.select("key", "content").mapInArrow(_spans, "span bigint, key bigint")
+    # two numbers for each span, used twice: written once, instead of hashing the texts again
+    spans = cut_lineage(keyed.select("key", "content").mapInArrow(_spans, "span bigint, key bigint"))
     # partial aggregation keeps one row for a hot span in each task, so a passage that stands everywhere isn't gathered in one
     repeated = spans.groupBy("span").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("span")
     holders = spans.join(repeated, "span").groupBy("key").agg(F.collect_set("span").alias("spans"))
-    windows = keyed.join(holders, "key").select("record", "content", "spans").mapInArrow(_windows, "window bigint, record string, paragraph_index int, start int")
-    return windows
+    return keyed.join(holders, "key").select("record", "content", "spans").mapInArrow(_windows, "window bigint, check bigint, record string, paragraph_index int, start int")
 
 
 def shared_pairs(records: DataFrame) -> DataFrame:
@@ -131,18 +136,18 @@ def shared_pairs(records: DataFrame) -> DataFrame:
     equal holders (count and two hash sums over distinct holders) are joined
     once, so a pair is made about once for each passage, not for each window.
     """
-    held = shared_windows(records).select("window", "record").distinct()
+    held = cut_lineage(shared_windows(records).select(*_WINDOW, "record").distinct())
     groups = (
-        held.groupBy("window")
+        held.groupBy(*_WINDOW)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("record").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("record", F.lit(7)).cast("decimal(38,0)")).alias("t"))
         .where("n > 1")
         .groupBy("n", "s", "t")
-        .agg(F.min("window").alias("window"))
-        .select("window")
+        .agg(F.min(F.struct(*_WINDOW)).alias("w"))
+        .select("w.*")
     )
-    members = held.join(groups, "window")
+    members = held.join(groups, _WINDOW)
     a, b = members.withColumnRenamed("record", "record_a"), members.withColumnRenamed("record", "record_b")
-    return a.join(b, "window").where("record_a < record_b").select("record_a", "record_b").distinct()
+    return a.join(b, _WINDOW).where("record_a < record_b").select("record_a", "record_b").distinct()
 
 
 def shared_share(records: DataFrame) -> DataFrame:
@@ -150,9 +155,9 @@ def shared_share(records: DataFrame) -> DataFrame:
 
     Every record with content has a row; without text the share is 0.
     """
-    windows = shared_windows(records).distinct()
-    repeated = windows.groupBy("window").agg(F.min("record").alias("x"), F.max("record").alias("y")).where("x <> y").select("window")
-    hits = windows.join(repeated, "window").select("record", "paragraph_index", "start").distinct()
+    windows = cut_lineage(shared_windows(records).distinct())
+    repeated = windows.groupBy(*_WINDOW).agg(F.min("record").alias("x"), F.max("record").alias("y")).where("x <> y").select(*_WINDOW)
+    hits = windows.join(repeated, _WINDOW).select("record", "paragraph_index", "start").distinct()
     # windows of one element in order: each adds what the one before didn't cover
     before = F.lag("start").over(Window.partitionBy("record", "paragraph_index").orderBy("start"))
     covered = hits.select("record", F.least(F.lit(SPAN), F.coalesce(F.col("start") - before, F.lit(SPAN))).alias("new")).groupBy("record").agg(F.sum("new").alias("shared_chars"))
@@ -196,12 +201,12 @@ def without_shared(records: DataFrame) -> DataFrame:
     sentence that the window touches, so each passage stays whole somewhere;
     elsewhere the sentences that lie in such windows go. Sentences of which a
     part isn't shared stay; emptied elements stay as well, so positions hold. A
-    record with several rows has the greatest content; a null one stays null.
+    record with several rows has the content with the least hash; a null one stays null.
     """
-    once = records.where("record is not null").groupBy("record").agg(F.max("content").alias("content"))
-    windows = shared_windows(once).distinct()
-    holders = windows.groupBy("window").agg(F.min("record").alias("least"), F.max("record").alias("most")).where("least <> most").select("window", "least")
-    hits = windows.join(holders, "window").select("record", "paragraph_index", "start", (F.col("record") == F.col("least")).alias("first")).distinct()
+    once = one_delivery(records.withColumnRenamed("record", "chapter_id")).withColumnRenamed("chapter_id", "record")
+    windows = cut_lineage(shared_windows(once).distinct())
+    holders = windows.groupBy(*_WINDOW).agg(F.min("record").alias("least"), F.max("record").alias("most")).where("least <> most").select(*_WINDOW, "least")
+    hits = windows.join(holders, _WINDOW).select("record", "paragraph_index", "start", (F.col("record") == F.col("least")).alias("first")).distinct()
     # windows that touch are one run
     place = ["record", "paragraph_index", "first"]
     w = Window.partitionBy(*place).orderBy("start")

@@ -70,4 +70,4 @@ def test_lines_that_sites_repeat_are_learned(spark):
     frame = spark.createDataFrame(rows, "chapter_id string, book_id string, content array<string>")
     got = {(r.chapter_id, r.paragraph_index) for r in B.around(frame, books).collect()}
     assert got == {(f"c{i}", 0) for i in range(24)} | {("d", 0)}
-    assert {r.chapter_id: r.content for r in B.main_body(frame, books).collect()}["d"] == [BODY[0] + "\n", note]
+    assert {r.chapter_id: r.content for r in B.main_body(frame, books).collect()}["d"] == [BODY[0], note]
