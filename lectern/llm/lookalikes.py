@@ -3,8 +3,9 @@
 First each character gets its one usual form: canonical composition, normal
 width, one kind of space, no characters without a glyph, usual ideographs for
 radicals and compatibility forms. Then tokens are repaired by script: in a
-token of mixed scripts the letters foreign to its main script are replaced by
-their look-alikes, if the result stands in the vocabulary of the corpus. What
+token of mixed scripts, or of a script foreign to the text throughout, the
+letters foreign to the main script are replaced by their look-alikes, if the
+result stands in the vocabulary of the corpus. What
 a reader can tell apart (circled and raised digits, dashes, quotes, Chinese and
 Western punctuation) stays different.
 """
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.codepoints import sliced
+from lectern.llm.tables import sent_if_small
 from lectern.session import cut_lineage
 
 # Cyrillic and Greek letters and the Latin letters they look like.
@@ -87,8 +90,8 @@ def repaired_tokens(text: str) -> list[tuple[str, str]]:
     for t in tokens:
         have = [_script(c) for c in t]
         if len(set(have)) == 1:
-            # one script, foreign to the text: an initial or short word made of look-alikes only
-            if have[0] == text_main or text_main != "L" or not all(c in _LATIN_OF for c in t) or len(t) > 3:
+            # one script, foreign to the text: an initial or a word made of look-alikes only
+            if have[0] == text_main or text_main != "L" or not all(c in _LATIN_OF for c in t):
                 continue
             main = "L"
         else:
@@ -100,44 +103,54 @@ def repaired_tokens(text: str) -> list[tuple[str, str]]:
     return list(out.items())
 
 
+_PLACE = ["kind", "record", "index"]
+
+
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     repair = pa.list_(pa.struct([("raw", pa.string()), ("fixed", pa.string())]))
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         forms = [usual_form(t) for t in batch.column("text").to_pylist()]
         repairs = [[{"raw": a, "fixed": b} for a, b in repaired_tokens(f)] for f in forms]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "record", "index", "text")), pa.array(forms, pa.string()), pa.array(repairs, repair)], ["kind", "record", "index", "text", "form", "repairs"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*_PLACE, "text")), pa.array(forms, pa.string()), pa.array(repairs, repair)], [*_PLACE, "text", "form", "repairs"])
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "text", "form"):
         out = []
         for form, known in zip(batch.column("form").to_pylist(), batch.column("known").to_pylist()):
             words = {k["raw"]: k["fixed"] for k in known or ()}
             out.append(_TOKEN.sub(lambda m: words.get(m.group(), m.group()), form) if words else form)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "record", "index", "text")), pa.array(out, pa.string())], ["kind", "record", "index", "text", "form"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*_PLACE, "text")), pa.array(out, pa.string())], [*_PLACE, "text", "form"])
+
+
+def _texts(texts: DataFrame) -> DataFrame:
+    return texts.select(*_PLACE, "text").where("record is not null and text is not null")
 
 
 def consistent(texts: DataFrame) -> DataFrame:
     """(kind, record, index, text, form): texts that hold a character with another usual form, in the one form.
 
     ``texts`` has kind, record, index, text; a text not listed is its own form.
-    Null texts have no row; equal rows count once. A mixed-script token is
-    repaired only if the repair stands in some text of the corpus, itself or as
-    the repair of another spelling or place.
+    Null texts have no row; equal rows count once. A token is repaired only if
+    the repair stands, spelled so, in some text of the corpus; that another
+    damaged token would become it counts for nothing.
     """
-    texts = texts.select("kind", "record", "index", "text").where("record is not null and text is not null")
+    texts = _texts(texts)
     affected = texts.where(F.col("text").rlike(_AFFECTED_JAVA)).distinct()
     # used four times below: written once, instead of scanning the texts again for each
     formed = cut_lineage(affected.mapInArrow(_forms, "kind string, record string, index int, text string, form string, repairs array<struct<raw:string,fixed:string>>"))
-    wanted = formed.select(F.explode("repairs").alias("r")).select("r.raw", "r.fixed")
+    wanted = formed.select(F.explode("repairs").alias("r")).select("r.raw", "r.fixed").distinct()
+    # the vocabulary, as far as it is asked for
     words = texts.where(F.col("text").rlike("[A-Za-zͰ-ԯ]")).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TOKEN_JAVA), F.lit(0)))).alias("fixed"))
-    spelled = wanted.groupBy("fixed").agg(F.count(F.lit(1)).alias("n"))
-    clean = words.join(spelled.select("fixed"), "fixed", "left_semi").distinct()
-    vocabulary = spelled.where("n > 1").select("fixed").union(clean).distinct()
-    known = wanted.distinct().join(vocabulary, "fixed")
-    place = ["kind", "record", "index", "text"]
-    by_text = formed.where(F.size("repairs") > 0).select(*place, F.explode("repairs").alias("r")).select(*place, "r.raw", "r.fixed").join(known, ["raw", "fixed"], "left_semi").groupBy(*place).agg(F.collect_list(F.struct("raw", "fixed")).alias("known"))
-    return formed.join(by_text, place, "left").select(*place, "form", "known").mapInArrow(_apply, "kind string, record string, index int, text string, form string")
+    spelled = words.join(sent_if_small(wanted.select("fixed").distinct()), "fixed", "left_semi").distinct()
+    known = sent_if_small(cut_lineage(wanted.join(spelled, "fixed", "left_semi")))
+    numbered = formed.withColumn("_t", F.xxhash64("text"))
+    place = [*_PLACE, "_t"]
+    repairs = numbered.where(F.size("repairs") > 0).select(*place, F.explode("repairs").alias("r")).select(*place, "r.raw", "r.fixed").join(known, ["raw", "fixed"], "left_semi")
+    by_text = repairs.groupBy(*place).agg(F.collect_list(F.struct("raw", "fixed")).alias("known"))
+    whole = numbered.where(F.size("repairs") == 0).withColumn("known", F.lit(None).cast("array<struct<raw:string,fixed:string>>"))
+    found = whole.select(*_PLACE, "text", "form", "known").unionByName(numbered.where(F.size("repairs") > 0).join(by_text, place, "left").select(*_PLACE, "text", "form", "known"))
+    return found.mapInArrow(_apply, "kind string, record string, index int, text string, form string")
 
 
 def same_looking(texts: DataFrame) -> DataFrame:
@@ -147,14 +160,14 @@ def same_looking(texts: DataFrame) -> DataFrame:
     are looked up among the others, by 128 bits of hash. Equal strings are
     classes: classes are paired, then members, so no pair is made in vain.
     """
-    texts = texts.select("kind", "record", "index", "text").where("record is not null and text is not null")
+    texts = _texts(texts)
     of = lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(c, F.lit(1)).alias("b"))
-    affected = consistent(texts).select("kind", "record", "index", of("form").alias("form"), of("text").alias("string"))
-    forms = affected.select("kind", "form").distinct()
-    plain = texts.where(~F.col("text").rlike(_AFFECTED_JAVA)).select("kind", "record", "index", of("text").alias("form")).join(forms, ["kind", "form"], "left_semi").withColumn("string", F.col("form"))
-    members = affected.unionByName(plain).distinct()
+    affected = cut_lineage(consistent(texts).select(*_PLACE, of("form").alias("form"), of("text").alias("string")))
+    forms = sent_if_small(affected.select("kind", "form").distinct())
+    plain = texts.where(~F.col("text").rlike(_AFFECTED_JAVA)).select(*_PLACE, of("text").alias("form")).join(forms, ["kind", "form"], "left_semi").withColumn("string", F.col("form"))
+    members = cut_lineage(affected.unionByName(plain).distinct())
     several = members.groupBy("kind", "form").agg(F.min("string").alias("x"), F.max("string").alias("y")).where("x <> y").select("kind", "form")
-    members = cut_lineage(members.join(several, ["kind", "form"], "left_semi"))
+    members = members.join(sent_if_small(several), ["kind", "form"], "left_semi")
     classes = members.select("kind", "form", "string").distinct()
     pairs = classes.withColumnRenamed("string", "string_a").join(classes.withColumnRenamed("string", "string_b"), ["kind", "form"]).where("string_a.a <> string_b.a or string_a.b <> string_b.b")
     side = lambda s: members.select("kind", "form", F.col("string").alias(f"string_{s}"), F.col("record").alias(f"record_{s}"), F.col("index").alias(f"index_{s}"))

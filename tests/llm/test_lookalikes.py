@@ -59,3 +59,10 @@ def test_repair_needs_the_vocabulary(spark):
     assert pairs(spark, rows) == {("a", 0, "b", 0)}
     lone = spark.createDataFrame([("chapter", "a", 0, "xyz Βqwk")], SCHEMA)
     assert [r.form for r in L.consistent(lone).collect()] == ["xyz Βqwk"]
+    two = spark.createDataFrame([("chapter", "a", 0, "xyz Βqwk"), ("chapter", "b", 0, "Βqwk xyz"), ("chapter", "c", 0, "Βqwκ")], SCHEMA)
+    assert {r.form for r in L.consistent(two).collect()} == {"xyz Βqwk", "Βqwk xyz", "Βqwκ"}
+
+
+def test_words_of_another_script_throughout(spark):
+    rows = [("chapter", "a", 0, "the old саре of it"), ("chapter", "b", 0, "the old cape of it"), ("chapter", "c", 0, "саре")]
+    assert pairs(spark, rows) == {("a", 0, "b", 0)}
