@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators.positions import latest_chapters
 
 # What the catalogue allows.
 LANGUAGES = ("zh", "en", "de", "fr", "ru")
@@ -58,7 +60,10 @@ def books(books: DataFrame) -> DataFrame:
 
 
 def chapters(chapters: DataFrame) -> DataFrame:
-    """Rules on one chapter each: counts and first places, so a long chapter has one finding for each rule."""
+    """Rules on the newest delivery of each chapter: counts, so a long chapter has one finding for each rule.
+
+    The rules run in the scan, and their findings, not the texts, are reduced to those of the newest delivery.
+    """
     at = F.col("chapter_id")
     body = F.array_join("content", "\n")
     content = F.coalesce("content", F.array().cast("array<string>"))
@@ -72,8 +77,7 @@ def chapters(chapters: DataFrame) -> DataFrame:
     suspicious = F.size(F.filter(sections, lambda s: X.suspicious_title(s.title).isNotNull()))
     outside = F.size(F.filter(sections, lambda s: (s.paragraph_index < 0) | (s.paragraph_index >= F.size(content))))
     text = lambda c: c.cast("string")
-    return _found(
-        chapters.withColumn("_body", body),
+    rules = (
         _finding(_empty("title"), "ERROR", "MISSING_CHAPTER_TITLE", at),
         _finding(F.length(X.trim(F.coalesce("_body", F.lit("")))) < SHORTEST_BODY, "ERROR", "CHAPTER_BODY_TOO_SHORT", at),
         _finding(empty > 0, "ERROR", "EMPTY_PARAGRAPH", at, text(empty)),
@@ -87,13 +91,15 @@ def chapters(chapters: DataFrame) -> DataFrame:
         _finding(suspicious > 0, "ERROR", "SUSPICIOUS_SECTION_TITLE", at, text(suspicious)),
         _finding(outside > 0, "ERROR", "SECTION_TARGET_OUT_OF_RANGE", at, text(outside)),
     )
+    found = F.filter(F.array(*rules), lambda f: f.isNotNull())
+    return latest_chapters(chapters.withColumn("_body", body), found.alias("_f")).select(F.inline("_f"))
 
 
 def footnotes(footnotes: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Rules on one footnote each; references are held against their chapter's paragraphs."""
+    """Rules on one footnote each; references are held against the lengths of their chapter's paragraphs."""
     at = F.coalesce("footnote_id", F.lit("?"))
     refs = F.coalesce("refs", F.array().cast("array<struct<paragraph_index:int,start_offset:int,end_offset:int>>"))
-    lengths = chapters.select("chapter_id", F.transform("content", lambda x: F.coalesce(F.length(x), F.lit(0))).alias("_lengths"))
+    lengths = chapters.select("chapter_id", F.col("lengths").alias("_lengths"))
     f = footnotes.join(lengths, "chapter_id", "left").withColumn("_lengths", F.coalesce("_lengths", F.array().cast("array<int>")))
     inside = lambda r: (r.paragraph_index >= 0) & (r.paragraph_index < F.size("_lengths"))
     off = F.size(F.filter(refs, lambda r: ~inside(r)))
@@ -149,13 +155,14 @@ def toc(nodes: DataFrame, chapters: DataFrame) -> DataFrame:
     known = nodes.select("book_id", F.col("node_id").alias("parent_id"))
     sizes = chapters.select("chapter_id", F.size("content").alias("_n"))
     targeted = nodes.where("chapter_id is not null").join(sizes, "chapter_id", "left")
-    nodes.select("book_id", "node_id", "parent_id").createOrReplaceTempView("_lectern_toc")
-    cycles = nodes.sparkSession.sql("""
+    view = f"_lectern_toc_{uuid.uuid4().hex}"
+    nodes.select("book_id", "node_id", "parent_id").createOrReplaceTempView(view)
+    cycles = nodes.sparkSession.sql(f"""
         WITH RECURSIVE up (book_id, node_id, parent_id, seen, closed) AS (
-          SELECT book_id, node_id, parent_id, array(node_id), false FROM _lectern_toc
+          SELECT book_id, node_id, parent_id, array(node_id), false FROM {view}
           UNION ALL
           SELECT u.book_id, u.node_id, t.parent_id, array_append(u.seen, t.node_id), array_contains(u.seen, t.node_id)
-          FROM up u JOIN _lectern_toc t ON t.book_id = u.book_id AND t.node_id = u.parent_id WHERE NOT u.closed)
+          FROM up u JOIN {view} t ON t.book_id = u.book_id AND t.node_id = u.parent_id WHERE NOT u.closed)
         SELECT DISTINCT node_id FROM up WHERE closed""")
     parts = [
         repeated(nodes, "node_id", "DUPLICATE_TOC_ID"),
@@ -176,7 +183,3 @@ def ordered(findings: DataFrame, most: int | None = None) -> DataFrame:
 
 def counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"))
-
-
-def numbered(rows: DataFrame, *order: Column) -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))

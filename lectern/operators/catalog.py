@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.positions import element_lengths, latest_chapters
 from lectern.session import cut_lineage
 
 
 def distinct_books(books: DataFrame) -> DataFrame:
-    """One row for each book_id: of repeats the one loaded last; rows without an id drop."""
-    rest = [c for c in books.columns if c != "book_id"]
-    newest = F.max_by(F.struct(*rest), F.coalesce("loaded_at", F.lit("1970-01-01").cast("timestamp"))).alias("n")
-    return books.where("book_id is not null").groupBy("book_id").agg(newest).select("book_id", "n.*")
+    """One row for each book_id: of repeats the one loaded last; rows without an id drop. Columns that aren't used are neither read nor shuffled."""
+    at = F.coalesce("loaded_at", F.lit("1970-01-01").cast("timestamp"))
+    return books.where("book_id is not null").groupBy("book_id").agg(*(F.max_by(c, at).alias(c) for c in books.columns if c != "book_id"))
 
 
 def title_or_id(rows: DataFrame, titles: DataFrame, key: str, title: str) -> DataFrame:
@@ -22,12 +22,6 @@ def title_or_id(rows: DataFrame, titles: DataFrame, key: str, title: str) -> Dat
     return rows.join(titles.select(key, title), key, "left").withColumn(title, F.coalesce(title, key))
 
 
-def keep_best(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
-
-
 def placed(rows: DataFrame, *order: Column) -> DataFrame:
     """Rows numbered from 1 in the given order, which must be total: sorted by ranges, then numbered in each from the counts of those before.
 
@@ -80,21 +74,24 @@ def migrated(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return rows.withColumns({c: e for c, e in defaults.items() if c not in rows.columns})
 
 
-def fingerprint(rows: DataFrame, key: str, content: str, *group: str) -> DataFrame:
-    """Digest of the (key, content) rows of each group, whatever their order: SHA-256 over the sums of their digests' parts.
+def content_digest(content: Column) -> Column:
+    return F.sha2(F.coalesce(content, F.lit("")), 256)
+
+
+def fingerprint(rows: DataFrame, key: str, content: str, *group: str, digested: bool = False) -> DataFrame:
+    """Digest of the (key, content or its digest) rows of each group, whatever their order: SHA-256 over the sums of their digests' parts.
 
     Sums are partial aggregates, so a group of any size is never gathered.
     """
-    digest = F.sha2(F.concat_ws("\u0000", key, F.sha2(F.coalesce(content, F.lit("")), 256)), 256)
+    digest = F.sha2(F.concat_ws("\u0000", key, F.col(content) if digested else content_digest(F.col(content))), 256)
     part = lambda i: F.sum(F.conv(F.substring("_d", 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
     sums = rows.select(*group, digest.alias("_d")).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *(part(i).alias(f"_{i}") for i in range(5)))
     return sums.select(*group, F.sha2(F.concat_ws(",", "_n", *(F.col(f"_{i}").cast("string") for i in range(5))), 256).alias("fingerprint"))
 
 
 def catalog_projection(chapters: DataFrame) -> DataFrame:
-    """(book_id, chapter_id, paragraph_count, paragraph_character_counts, character_count): a catalogue entry without the body."""
-    counts = F.transform(F.coalesce("content", F.array().cast("array<string>")), lambda x: F.coalesce(F.length(x), F.lit(0)))
-    return chapters.select("book_id", "chapter_id", counts.alias("paragraph_character_counts")).select(
+    """(book_id, chapter_id, paragraph_count, paragraph_character_counts, character_count) of each chapter's newest delivery: a catalogue entry without the body."""
+    return latest_chapters(chapters, "book_id", element_lengths().alias("paragraph_character_counts")).select(
         "book_id", "chapter_id", F.size("paragraph_character_counts").alias("paragraph_count"), "paragraph_character_counts",
         F.aggregate("paragraph_character_counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("character_count"),
     )

@@ -2,15 +2,94 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import cut_lineage, sent_if_small
+
+
+
+
+def _fetched(chapters: DataFrame) -> Column:
+    epoch = F.lit("1970-01-01").cast("timestamp")
+    return F.coalesce("fetched_at", epoch) if "fetched_at" in chapters.columns else epoch
+
+
+def latest_chapters(chapters: DataFrame, *columns: str | Column) -> DataFrame:
+    """One row for each chapter_id: the delivery fetched last, which aggregation finds without a sort; rows without an id drop.
+
+    ``columns`` are names or expressions, all columns if none are given. Each is
+    an aggregate of its own, so those that a query doesn't use are neither read
+    nor shuffled. What is made of texts belongs into an expression, which the
+    scan takes; texts themselves come from ``latest_texts``. Of deliveries of
+    one time all columns are from the same one.
+    """
+    rows = chapters.where("chapter_id is not null")
+    if columns:
+        rows = rows.select("chapter_id", _fetched(chapters).alias("_at"), *columns)
+    else:
+        rows = rows.withColumn("_at", _fetched(chapters))
+    rest = [c for c in rows.columns if c not in ("chapter_id", "_at")]
+    if not rest:
+        return rows.select("chapter_id").distinct()
+    return rows.groupBy("chapter_id").agg(*(F.max_by(c, "_at").alias(c) for c in rest))
+
+
+def _place_in_files(rows: DataFrame) -> Column | None:
+    """File and row number of each row, if the rows come from files."""
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    try:
+        rows.select(place)
+    except AnalysisException:
+        return None
+    return place
+
+
+def latest_texts(chapters: DataFrame, *columns: str) -> DataFrame:
+    """(chapter_id, columns) like ``latest_chapters``, for columns that hold texts.
+
+    Only keys, times and the rows' places in their files are aggregated; of
+    chapters that came more than once, which are few, the row at the right place
+    stays. While their keys are few enough to be sent to all tasks, no text is
+    shuffled, and beyond that texts are shuffled once, by a join. Rows that
+    don't come from files have no place: of those of the newest time the one
+    with the least hash of its columns stays.
+    """
+    place = _place_in_files(chapters)
+    rows = chapters.where("chapter_id is not null").select("chapter_id", _fetched(chapters).alias("_at"), *columns, *([] if place is None else [place.alias("_place")]))
+    if place is not None:
+        times = rows.groupBy("chapter_id").agg(F.max_by("_place", F.struct("_at", "_place")).alias("_kept"), F.count(F.lit(1)).alias("_n"))
+        several = sent_if_small(times.where("_n > 1").select("chapter_id", "_kept"))
+        return rows.join(several, "chapter_id", "left").where("_kept is null or _kept = _place").select("chapter_id", *columns)
+    order = Window.partitionBy("chapter_id").orderBy(F.desc("_at"), F.xxhash64(*columns))
+    return rows.withColumn("_k", F.row_number().over(order)).where("_k = 1").select("chapter_id", *columns)
+
+
+def latest_elements(chapters: DataFrame, keep: Callable[[Column], Column], **values: Callable[[Column], Column]) -> DataFrame:
+    """(chapter_id, paragraph_index, values) of the non-null elements of each chapter's newest delivery for which ``keep`` holds.
+
+    The functions of an element's text run in the scan, so no text is shuffled.
+    """
+    found = F.transform("content", lambda x, i: F.when(x.isNotNull() & keep(x), F.struct(i.alias("paragraph_index"), *(f(x).alias(n) for n, f in values.items()))))
+    return latest_chapters(chapters, F.filter(found, lambda e: e.isNotNull()).alias("_e")).select("chapter_id", F.inline("_e"))
+
 
-def latest_chapters(chapters: DataFrame) -> DataFrame:
-    """One row for each chapter_id: the delivery fetched last, which aggregation finds without a sort; rows without an id drop."""
-    rest = [c for c in chapters.columns if c not in ("chapter_id", "fetched_at")]
-    newest = F.max_by(F.struct(*rest, "fetched_at"), F.coalesce("fetched_at", F.lit("1970-01-01").cast("timestamp"))).alias("n")
-    return chapters.where("chapter_id is not null").groupBy("chapter_id").agg(newest).select("chapter_id", "n.*")
+def element_lengths(content: str = "content", non_empty: bool = False) -> Column:
+    """Lengths of the elements, 0 for null ones; with ``non_empty`` of the paragraphs, which are numbered after the empty ones are dropped."""
+    whole = F.coalesce(content, F.array().cast("array<string>"))
+    return F.transform(F.filter(whole, lambda x: x.isNotNull() & (x != "")) if non_empty else whole, lambda x: F.coalesce(F.length(x), F.lit(0)))
+
+
+def chapter_length(content: str = "content") -> Column:
+    return F.aggregate(element_lengths(content), F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
+def chapter_sizes(chapters: DataFrame) -> DataFrame:
+    """(chapter_id, book_id, chapter_ord, length) of each chapter's newest delivery."""
+    return latest_chapters(chapters, "book_id", "chapter_ord", chapter_length().alias("length"))
 
 
 def paragraphs(chapters: DataFrame, *keep: str) -> DataFrame:
@@ -19,10 +98,11 @@ def paragraphs(chapters: DataFrame, *keep: str) -> DataFrame:
 
 
 def paragraph_offsets(chapters: DataFrame) -> DataFrame:
-    """(chapter_id, paragraph_index, length, start): prefix sums within each chapter, of lengths only."""
-    sized = paragraphs(chapters, "chapter_id").select("chapter_id", "paragraph_index", F.length("text").alias("length"))
-    before = Window.partitionBy("chapter_id").orderBy("paragraph_index").rowsBetween(Window.unboundedPreceding, -1)
-    return sized.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0).cast("bigint")))
+    """(chapter_id, paragraph_index, length, start) of rows with lengths, of which the prefix sums are taken in their array, or with content."""
+    lengths = F.col("lengths") if "lengths" in chapters.columns else element_lengths(non_empty=True)
+    step = lambda a, x: F.struct((a.past + x).alias("past"), F.array_append(a.starts, a.past).alias("starts"))
+    starts = F.aggregate("lengths", F.struct(F.lit(0).cast("bigint").alias("past"), F.array().cast("array<bigint>").alias("starts")), step, lambda a: a.starts)
+    return chapters.select("chapter_id", lengths.alias("lengths")).select("chapter_id", F.posexplode(F.arrays_zip("lengths", starts.alias("starts"))).alias("paragraph_index", "e")).select("chapter_id", "paragraph_index", F.col("e.lengths").alias("length"), F.col("e.starts").alias("start"))
 
 
 #: Chapters of a book, by number, whose prefix sums one task takes.
@@ -34,11 +114,12 @@ def chapter_offsets(chapters: DataFrame) -> DataFrame:
 
     A book may hold a third of all chapters, so none is sorted whole: sums of
     BUCKET chapters each are added up first, then chapters within each bucket.
-    Chapters without a number come last, by id.
+    Chapters without a number come last, by id. ``chapters`` has the length or the content.
     """
-    length = F.aggregate(F.coalesce("content", F.array().cast("array<string>")), F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(F.length(x), F.lit(0)))
+    length = F.col("length") if "length" in chapters.columns else chapter_length()
     bucket = F.coalesce(F.floor(F.col("chapter_ord") / BUCKET), F.lit(1 << 40)).cast("bigint")
-    sized = chapters.select("book_id", "chapter_id", "chapter_ord", length.alias("length"), bucket.alias("bucket"))
+    # numbers of each chapter, used for buckets and for places: written once, so texts are read once
+    sized = cut_lineage(chapters.select("book_id", "chapter_id", "chapter_ord", length.alias("length"), bucket.alias("bucket")))
     key = ["book_id", "bucket"]
     earlier = Window.partitionBy("book_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
@@ -82,16 +163,13 @@ def shifted(ranges: DataFrame, insertions: DataFrame, *place: str) -> DataFrame:
 def as_of(points: DataFrame, marks: DataFrame, key: str, at: str, mark: str, value: str) -> DataFrame:
     """Each point with the value of the last mark at or before it under the same key; null without one.
 
-    Points and marks are merged in one ordered window by key and position
-    instead of a range join, so no pair of them is formed.
+    Marks of one key are those of one text; they become a sorted array, in which
+    each point looks up its own, so points of a hot key are neither sorted nor
+    gathered. Of equal marks the one with the greatest value holds.
     """
-    columns = points.columns
-    both = points.withColumns({"_at": F.col(at), "_v": F.lit(None).cast(marks.schema[value].dataType), "_point": F.lit(1)}).unionByName(
-        marks.select(key, F.col(mark).alias("_at"), F.col(value).alias("_v")).withColumn("_point", F.lit(0)), allowMissingColumns=True
-    )
-    # at equal positions the mark comes first; of equal marks the one with the greatest value
-    w = Window.partitionBy(key).orderBy("_at", "_point", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_point = 1").select(*columns, value)
+    listed = marks.where(F.col(mark).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(mark).alias("m"), F.col(value).alias("v")))).alias("_marks"))
+    before = F.filter("_marks", lambda m: m.m <= F.col(at))
+    return points.join(listed, key, "left").withColumn(value, F.try_element_at(before, F.lit(-1)).v).drop("_marks")
 
 
 def pages(lengths: DataFrame, width: int, *key: str) -> DataFrame:

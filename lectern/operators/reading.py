@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def distinct_sessions(sessions: DataFrame) -> DataFrame:
-    """One row per session id: the one received first; rows without an id are no session."""
-    first = F.row_number().over(Window.partitionBy("id").orderBy("received_at", "started_at", "ended_at", "active_millis"))
-    return sessions.where("id is not null").withColumn("_n", first).where("_n = 1").drop("_n")
+    """One row per session id: the one received first; rows without an id are no session. Columns that aren't used are neither read nor shuffled."""
+    order = F.struct("received_at", "started_at", "ended_at", "active_millis")
+    return sessions.where("id is not null").groupBy("id").agg(*(F.min_by(c, order).alias(c) for c in sessions.columns if c != "id"))
 
 
 def book_rank(sessions: DataFrame) -> DataFrame:
@@ -26,19 +26,20 @@ def split_at_midnight(sessions: DataFrame, zone: str = "UTC") -> DataFrame:
     A session ends at least one millisecond after its start; shares are rounded
     half up and the last day takes what is left, so they add up. Midnights come
     from the zone, so days of 23 and 25 hours are right. Sessions without
-    active time, start or end have no days.
+    active time, start or end have no days. A session's shares are taken in its
+    own row.
     """
     s = sessions.where("active_millis > 0 and started_at is not null and ended_at is not null").select("id", "book_id", "active_millis", F.col("started_at").alias("s"), F.greatest("ended_at", F.col("started_at") + 1).alias("e"))
     local = lambda ms: F.to_date(F.from_utc_timestamp(F.timestamp_millis(ms), zone))
     midnight = lambda day: F.unix_millis(F.to_utc_timestamp(day.cast("timestamp"), zone))
-    days = s.select("*", F.explode(F.sequence(local(F.col("s")), local(F.col("e") - 1))).alias("day"))
-    overlap = F.least("e", midnight(F.date_add("day", 1))) - F.greatest("s", midnight(F.col("day")))
-    share = F.floor(F.col("active_millis") * overlap / (F.col("e") - F.col("s")) + 0.5).cast("bigint")
-    w = Window.partitionBy("id", "book_id", "s", "e", "active_millis")
-    is_last = F.col("day") == F.max("day").over(w)
-    shares = days.withColumn("share", share).withColumn("last", is_last)
-    before = F.sum(F.when(~F.col("last"), F.col("share")).otherwise(0)).over(w)
-    return shares.withColumn("millis", F.when(F.col("last"), F.col("active_millis") - before).otherwise(F.col("share"))).select("id", "book_id", "day", "millis")
+    days = s.withColumn("days", F.sequence(local(F.col("s")), local(F.col("e") - 1)))
+    overlap = lambda day: F.least("e", midnight(F.date_add(day, 1))) - F.greatest("s", midnight(day))
+    share = lambda day: F.floor(F.col("active_millis") * overlap(day) / (F.col("e") - F.col("s")) + 0.5).cast("bigint")
+    earlier = F.slice("days", F.lit(1), F.size("days") - 1)
+    rest = F.col("active_millis") - F.aggregate("before", F.lit(0).cast("bigint"), lambda a, x: a + x.millis)
+    split = days.withColumn("before", F.transform(earlier, lambda day: F.struct(day.alias("day"), share(day).alias("millis"))))
+    last = F.struct(F.try_element_at("days", F.lit(-1)).alias("day"), rest.alias("millis"))
+    return split.select("id", "book_id", F.inline(F.array_append("before", last)))
 
 
 def daily_totals(split: DataFrame) -> DataFrame:

@@ -164,8 +164,3 @@ def located_once(texts: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
     at = F.position(F.col("piece"), F.col("text"))
     again = F.position(F.col("piece"), F.col("text"), at + 1)
     return both.where((F.col("piece") != "") & (at > 0) & (again == 0)).select(key, "piece_id", (at - 1).alias("start"))
-
-
-def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")

@@ -10,6 +10,7 @@ from lectern.operators import positions as P
 from lectern.operators import reading as R
 from lectern.plans.positions import CHAPTERS
 from lectern.registry import Tables, query
+from lectern.session import cut_lineage
 
 BOOKS = "bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY loaded_at DESC) AS bn FROM books WHERE book_id IS NOT NULL) WHERE bn = 1)"
 _W = "WITH " + BOOKS
@@ -22,8 +23,8 @@ def _books(t: Tables) -> DataFrame:
     return C.distinct_books(t.books)
 
 
-def _chapters(t: Tables) -> DataFrame:
-    return P.latest_chapters(t.chapters)
+def _chapters(t: Tables, *columns) -> DataFrame:
+    return P.latest_chapters(t.chapters, *columns)
 
 
 def _notes(t: Tables) -> DataFrame:
@@ -99,8 +100,8 @@ CASE WHEN f.chapters IS NULL THEN 'kept' WHEN o.chapters IS NULL THEN 'added' WH
 )
 def _(t: Tables) -> DataFrame:
     """The merge of fresh works into old ones, tried on chapters of the first level against the others."""
-    c = _chapters(t).where("book_id is not null")
-    sizes = lambda frame: frame.groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"), F.sum(F.size("content")).alias("paragraphs"))
+    c = _chapters(t, "book_id", "chapter_level", F.size("content").alias("n")).where("book_id is not null")
+    sizes = lambda frame: frame.groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"), F.sum("n").alias("paragraphs"))
     return C.merged(sizes(c.where("chapter_level = 1")), sizes(c.where("chapter_level <> 1")), "book_id", "chapters")
 
 
@@ -115,11 +116,13 @@ def _(t: Tables) -> DataFrame:
 @query("j30_summary_differences", CHAPTERS + ", s AS (SELECT DISTINCT chapter_id, CAST(len(content) AS INTEGER) AS paragraphs, CAST(list_sum(list_transform(content, lambda x: length(x))) AS BIGINT) AS characters FROM chapters), v AS (SELECT chapter_id, CAST(len(content) AS INTEGER) AS paragraphs, CAST(list_sum(list_transform(content, lambda x: length(x))) AS BIGINT) AS characters FROM chap) SELECT 'left' AS side, * FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM v) UNION ALL SELECT 'right', * FROM (SELECT * FROM v EXCEPT ALL SELECT * FROM s)")
 def _(t: Tables) -> DataFrame:
     """Summaries of all deliveries against those of the latest."""
-    summary = lambda frame: C.catalog_projection(frame).select("chapter_id", F.col("paragraph_count").alias("paragraphs"), F.col("character_count").alias("characters"))
-    return C.differing_rows(summary(t.chapters).distinct(), summary(_chapters(t)))
+    # numbers of each delivery, compared four ways below: written once, so texts are read once
+    sizes = cut_lineage(t.chapters.select("chapter_id", "fetched_at", F.size("content").alias("paragraphs"), P.chapter_length().alias("characters")))
+    columns = ["chapter_id", "paragraphs", "characters"]
+    return C.differing_rows(sizes.select(*columns).distinct(), P.latest_chapters(sizes).select(*columns))
 
 
-@query("a2_completed_books", _SESS.join(["WITH ", ""]) + ", last AS (SELECT book_id, count(DISTINCT end_chapter_id) AS reached FROM once WHERE end_chapter_id IS NOT NULL GROUP BY book_id), c AS (SELECT book_id, count(DISTINCT chapter_id) AS chapters FROM chapters GROUP BY book_id) SELECT count(*) FILTER (reached >= chapters) AS completed, count(*) AS started FROM last JOIN c USING (book_id)")
+@query("a2_completed_books", "WITH " + _SESS + ", last AS (SELECT book_id, count(DISTINCT end_chapter_id) AS reached FROM once WHERE end_chapter_id IS NOT NULL GROUP BY book_id), c AS (SELECT book_id, count(DISTINCT chapter_id) AS chapters FROM chapters GROUP BY book_id) SELECT count(*) FILTER (reached >= chapters) AS completed, count(*) AS started FROM last JOIN c USING (book_id)")
 def _(t: Tables) -> DataFrame:
     reached = R.distinct_sessions(t.reading_sessions).where("end_chapter_id is not null").groupBy("book_id").agg(F.count_distinct("end_chapter_id").alias("reached"))
     have = t.chapters.groupBy("book_id").agg(F.count_distinct("chapter_id").alias("chapters"))
@@ -129,7 +132,7 @@ def _(t: Tables) -> DataFrame:
 @query("a7_hierarchical_counts", CHAPTERS + "SELECT book_id, chapter_id, CAST(sum(len(content)) AS BIGINT) AS paragraphs, CAST(sum(list_sum(list_transform(content, lambda x: length(x)))) AS BIGINT) AS characters FROM chap WHERE book_id IS NOT NULL GROUP BY ROLLUP (book_id, chapter_id)")
 def _(t: Tables) -> DataFrame:
     """Chapter, book and library in one rollup, over lengths instead of texts."""
-    p = C.catalog_projection(_chapters(t)).where("book_id is not null")
+    p = C.catalog_projection(t.chapters).where("book_id is not null")
     return p.rollup("book_id", "chapter_id").agg(F.sum("paragraph_count").alias("paragraphs"), F.sum("character_count").alias("characters"))
 
 
@@ -161,7 +164,7 @@ def _(t: Tables) -> DataFrame:
     return hashed.join(groups, "digest").select("doc_id", "first_doc")
 
 
-@query("a11_keep_first", "SELECT * FROM (SELECT source, doc_id, title, row_number() OVER (PARTITION BY source ORDER BY added_at, doc_id) AS k FROM documents WHERE source IS NOT NULL) WHERE k = 1".replace("SELECT * FROM", "SELECT source, doc_id, title FROM"))
+@query("a11_keep_first", "SELECT source, doc_id, title FROM (SELECT source, doc_id, title, row_number() OVER (PARTITION BY source ORDER BY added_at, doc_id) AS k FROM documents WHERE source IS NOT NULL) WHERE k = 1")
 def _(t: Tables) -> DataFrame:
     """By aggregation, which a hot source can't skew."""
     d = t.documents.where("source is not null")
@@ -185,17 +188,16 @@ def _(t: Tables) -> DataFrame:
 
 @query("a18_short_books", _WC + "SELECT book_id, CAST(coalesce(sum(list_sum(list_transform(content, lambda x: length(x)))), 0) AS BIGINT) AS characters FROM bk LEFT JOIN chap USING (book_id) GROUP BY book_id HAVING coalesce(sum(list_sum(list_transform(content, lambda x: length(x)))), 0) < 1000")
 def _(t: Tables) -> DataFrame:
-    sums = C.catalog_projection(_chapters(t)).groupBy("book_id").agg(F.sum("character_count").alias("characters"))
+    sums = C.catalog_projection(t.chapters).groupBy("book_id").agg(F.sum("character_count").alias("characters"))
     return _books(t).select("book_id").join(sums, "book_id", "left").withColumn("characters", F.coalesce("characters", F.lit(0).cast("bigint"))).where("characters < 1000")
 
 
 @query("a19_extracted_ratio", CHAPTERS + ", r AS (SELECT book_id, sum(list_sum(list_transform(list_filter(content, lambda x: length(x) >= 40), lambda x: length(x)))) AS kept, sum(list_sum(list_transform(content, lambda x: length(x)))) AS whole FROM chap WHERE book_id IS NOT NULL GROUP BY book_id) SELECT book_id, round(coalesce(kept, 0) / whole, 6) AS ratio FROM r WHERE whole > 0 AND coalesce(kept, 0) / whole < 0.9")
 def _(t: Tables) -> DataFrame:
     """Books whose long paragraphs hold less than nine tenths of their characters."""
-    lengths = F.transform("content", lambda x: F.length(x).cast("bigint"))
-    add = lambda a, x: a + F.coalesce(x, F.lit(0))
-    zero = F.lit(0).cast("bigint")
-    c = _chapters(t).where("book_id is not null").select("book_id", F.aggregate(F.filter(lengths, lambda x: x >= 40), zero, add).alias("kept"), F.aggregate(lengths, zero, add).alias("whole"))
+    lengths, zero = P.element_lengths(), F.lit(0).cast("bigint")
+    add = lambda a, x: a + x
+    c = _chapters(t, "book_id", F.aggregate(F.filter(lengths, lambda x: x >= 40), zero, add).alias("kept"), F.aggregate(lengths, zero, add).alias("whole")).where("book_id is not null")
     r = c.groupBy("book_id").agg(F.sum("kept").alias("kept"), F.sum("whole").alias("whole")).where("whole > 0")
     return r.where(F.col("kept") / F.col("whole") < 0.9).select("book_id", F.round(F.col("kept") / F.col("whole"), 6).alias("ratio"))
 
@@ -205,9 +207,9 @@ def _(t: Tables) -> DataFrame:
     return _notes(t).where("highlight_color is not null").select("highlight_color").distinct()
 
 
-@query("k2_catalog", CHAPTERS + "SELECT book_id, chapter_id, CAST(len(content) AS INTEGER) AS paragraph_count, CAST(coalesce(list_sum(list_transform(content, lambda x: length(x))), 0) AS BIGINT) AS character_count FROM chap")
+@query("k2_catalog", CHAPTERS + "SELECT book_id, chapter_id, CAST(len(content) AS INTEGER) AS paragraph_count, array_to_string(list_transform(content, lambda x: coalesce(length(x), 0)), ',') AS paragraph_character_counts, CAST(coalesce(list_sum(list_transform(content, lambda x: length(x))), 0) AS BIGINT) AS character_count FROM chap")
 def _(t: Tables) -> DataFrame:
-    return C.catalog_projection(_chapters(t)).drop("paragraph_character_counts")
+    return C.catalog_projection(t.chapters).withColumn("paragraph_character_counts", F.array_join("paragraph_character_counts", ","))
 
 
 @query("k7_toggled_places", f"WITH {_NOTES} SELECT chapter_id, paragraph_index, arg_max(left(excerpt, 180), (created_at, id)) AS excerpt FROM nt GROUP BY chapter_id, paragraph_index HAVING count(*) % 2 = 1")
@@ -242,8 +244,8 @@ def _(t: Tables) -> DataFrame:
     + ", ".join(f"sum(CAST(('0x' || substr(d, {1 + 12 * i}, 12)) AS BIGINT))" for i in range(5)) + ")) AS fingerprint FROM l GROUP BY book_id",
 )
 def _(t: Tables) -> DataFrame:
-    c = _chapters(t).where("book_id is not null").withColumn("body", F.array_join("content", "\n"))
-    return C.fingerprint(c, "chapter_id", "body", "book_id")
+    c = _chapters(t, "book_id", C.content_digest(F.array_join("content", "\n")).alias("digest")).where("book_id is not null")
+    return C.fingerprint(c, "chapter_id", "digest", "book_id", digested=True)
 
 
 @query("u3_ordered_union", f"WITH {_NOTES}, {_SESS}, u AS (SELECT book_id, 1 AS o FROM nt UNION ALL SELECT book_id, 2 FROM once) SELECT book_id, CAST(min(o) AS INTEGER) AS first_list FROM u WHERE book_id IS NOT NULL GROUP BY book_id")
@@ -271,7 +273,7 @@ def _(t: Tables) -> DataFrame:
     return old.unionByName(fresh.join(old, "chapter_id", "left_anti"))
 
 
-@query("o1_notes_order", f"WITH {_NOTES} SELECT id, row_number() OVER (ORDER BY pinned DESC, updated_at DESC, id) AS place FROM nt ORDER BY place LIMIT 50")
+@query("o1_notes_order", f"WITH {_NOTES} SELECT id, row_number() OVER (ORDER BY pinned DESC NULLS LAST, updated_at DESC NULLS LAST, id) AS place FROM nt")
 def _(t: Tables) -> DataFrame:
     """Every note with its place."""
     return C.placed(_notes(t).select("id", "pinned", "updated_at"), F.desc_nulls_last("pinned"), F.desc_nulls_last("updated_at"), F.asc("id")).select("id", "place")
@@ -282,14 +284,14 @@ def _(t: Tables) -> DataFrame:
     return _notes(t).select("id", F.row_number().over(Window.partitionBy("chapter_id").orderBy("paragraph_index", "selection_start", "id")).cast("bigint").alias("place"))
 
 
-@query("o3_latest_sessions", f"WITH {_SESS} SELECT id, started_at FROM once ORDER BY started_at DESC, id DESC LIMIT 100")
+@query("o3_latest_sessions", f"WITH {_SESS} SELECT id, started_at, row_number() OVER (ORDER BY started_at DESC NULLS LAST, id DESC) AS place FROM once WHERE active_millis > 0")
 def _(t: Tables) -> DataFrame:
     """Every session with active time, the latest first, with its place."""
     active = R.distinct_sessions(t.reading_sessions).where("active_millis > 0").select("id", "started_at")
     return C.placed(active, F.desc_nulls_last("started_at"), F.desc("id")).select("id", "started_at", "place")
 
 
-@query("o8_inventory_order", _W + "SELECT book_id, row_number() OVER (ORDER BY array_to_string(author_ids, ','), coalesce(pub_year, ''), title_zh, book_id) AS place FROM bk ORDER BY place LIMIT 200")
+@query("o8_inventory_order", _W + "SELECT book_id, row_number() OVER (ORDER BY array_to_string(author_ids, ',') NULLS LAST, coalesce(pub_year, ''), title_zh NULLS LAST, book_id) AS place FROM bk")
 def _(t: Tables) -> DataFrame:
     """Every book with its place."""
     order = [F.asc_nulls_last(F.array_join("author_ids", ",")), F.asc(F.coalesce("pub_year", F.lit(""))), F.asc_nulls_last("title_zh"), F.asc("book_id")]

@@ -14,11 +14,12 @@ from lectern.plans.catalogue import BOOKS
 from lectern.plans.positions import CHAPTERS
 from lectern.plans.texts import _S
 from lectern.registry import Tables, query
+from lectern.session import cut_lineage
 from lectern.sources import pages as G
 
 
-def _chapters(t: Tables) -> DataFrame:
-    return P.latest_chapters(t.chapters)
+def _texts(t: Tables, *columns: str) -> DataFrame:
+    return P.latest_texts(t.chapters, "content", *columns)
 
 
 def _pages(t: Tables) -> DataFrame:
@@ -26,7 +27,7 @@ def _pages(t: Tables) -> DataFrame:
     escape = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     body = F.array_join(F.transform("content", lambda x: F.concat(F.lit("<p>"), escape(x), F.lit("</p>"))), "\n")
     html = F.concat(F.lit("<html><head><title>t</title><script>let x = '<p>no</p>'</script></head><body><nav><a href='/'>Home</a></nav>"), F.lit("<h1>"), escape(F.coalesce("title", F.lit(""))), F.lit("</h1>"), body, F.lit("</body></html>"))
-    return _chapters(t).where("content is not null").select(F.col("chapter_id").alias("url"), html.alias("html"))
+    return _texts(t, "title").where("content is not null").select(F.col("chapter_id").alias("url"), html.alias("html"))
 
 
 _CLEAN = f"trim(regexp_replace(x, '{_S}+', ' ', 'g'))"
@@ -84,7 +85,8 @@ def _(t: Tables) -> DataFrame:
 @query("j12_resolved_markers")
 def _(t: Tables) -> DataFrame:
     """Markers in the text held against the library's footnotes of the chapter, else of the book."""
-    refs = N.references(N.scanned(_chapters(t)))
+    # few rows, used in every tier: written once, so texts are parsed once
+    refs = cut_lineage(N.references(N.scanned(_texts(t, "book_id"))))
     f = t.footnotes.select("footnote_id", "book_id", "chapter_id", "marker", "content").distinct()
     defs = f.select("book_id", "chapter_id", "marker", "content", F.lit(0).alias("scope_start"), F.lit(1 << 30).alias("scope_end"), F.lit(False).alias("is_local")).withColumn("key", N.marker_key(F.col("marker")))
     return N.resolved(refs, defs).select("chapter_id", "paragraph_index", "start", "marker", "tier", "outcome")
@@ -92,23 +94,23 @@ def _(t: Tables) -> DataFrame:
 
 @query("x6_unlinked_markers")
 def _(t: Tables) -> DataFrame:
-    refs = N.references(N.scanned(_chapters(t)))
+    refs = N.references(N.scanned(_texts(t, "book_id")))
     return N.without_linked(refs, t.footnotes.select("footnote_id", "chapter_id", "refs").distinct()).select("chapter_id", "paragraph_index", "start", "marker")
 
 
 @query("r1_without_navigation", CHAPTERS + f", k AS (SELECT chapter_id, list_filter(content, lambda x: NOT (regexp_matches(x, '^(?:(?:上一篇|下一篇|回目录|返回目录|上一页|下一页|目录){_S}*[（(]?[^）)]{{0,30}}[）)]?{_S}*)+$') OR (contains(x, '回目录') AND length(x) <= 60))) AS c FROM chap) SELECT chapter_id, CAST(len(c) AS INTEGER) AS elements, md5(array_to_string(c, chr(10))) AS digest FROM k")
 def _(t: Tables) -> DataFrame:
     """Navigation lines deleted, sections moved with their paragraphs."""
-    out = R.delete_elements(_chapters(t), lambda x, i: navigation_line(x))
-    return out.select("chapter_id", F.size("content").alias("elements"), F.md5(F.array_join("content", "\n")).alias("digest"))
+    out = R.delete_elements(t.chapters, lambda x, i: navigation_line(x))
+    return P.latest_chapters(out, F.size("content").alias("elements"), F.md5(F.array_join("content", "\n")).alias("digest"))
 
 
-@query("r2_inserted_markers", CHAPTERS + ", f AS (SELECT DISTINCT chapter_id, marker, unnest(refs) AS r FROM (SELECT DISTINCT footnote_id, chapter_id, marker, refs FROM footnotes WHERE marker IS NOT NULL)), e AS (SELECT DISTINCT chapter_id, r.paragraph_index AS paragraph_index, r.end_offset AS spot, '{' || marker || '}' AS piece FROM f), one AS (SELECT chapter_id, paragraph_index, min(spot) AS spot, min(piece) AS piece FROM e GROUP BY ALL HAVING count(*) = 1) SELECT chapter_id, paragraph_index, md5(left(content[paragraph_index + 1], spot) || piece || substr(content[paragraph_index + 1], spot + 1)) AS digest FROM one JOIN chap USING (chapter_id) WHERE paragraph_index < len(content) AND spot <= length(content[paragraph_index + 1])")
+@query("r2_inserted_markers", CHAPTERS + ", f AS (SELECT DISTINCT chapter_id, marker, unnest(refs) AS r FROM (SELECT DISTINCT footnote_id, chapter_id, marker, refs FROM footnotes WHERE marker IS NOT NULL)), e AS (SELECT DISTINCT chapter_id, r.paragraph_index AS paragraph_index, r.end_offset AS spot, '{' || marker || '}' AS piece FROM f), fit AS (SELECT chapter_id, paragraph_index, spot, piece, content[paragraph_index + 1] AS text, coalesce(lag(spot) OVER (PARTITION BY chapter_id, paragraph_index ORDER BY spot, piece), 0) AS past FROM e JOIN chap USING (chapter_id) WHERE paragraph_index < len(content) AND spot <= length(content[paragraph_index + 1])) SELECT chapter_id, paragraph_index, md5(string_agg(substr(text, past + 1, spot - past) || piece, '' ORDER BY spot, piece) || substr(any_value(text), max(spot) + 1)) AS digest FROM fit GROUP BY chapter_id, paragraph_index")
 def _(t: Tables) -> DataFrame:
     """R2: text inserted at references, however many a paragraph has."""
     refs = t.footnotes.where("marker is not null").select("footnote_id", "chapter_id", "marker", "refs").distinct().select("chapter_id", "marker", F.inline("refs"))
     edits = refs.select("chapter_id", "paragraph_index", F.col("end_offset").alias("at"), F.concat(F.lit("{"), "marker", F.lit("}")).alias("piece")).distinct()
-    par = _chapters(t).select("chapter_id", F.posexplode("content").alias("paragraph_index", "text"))
+    par = _texts(t).select("chapter_id", F.posexplode("content").alias("paragraph_index", "text"))
     key = ["chapter_id", "paragraph_index"]
     fits = edits.join(par.select(*key, F.length("text").alias("length")), key).where(F.col("at") <= F.col("length")).drop("length")
     return R.insert_text(par.join(fits, key, "left_semi"), fits, *key).select(*key, F.md5("text").alias("digest"))
@@ -124,16 +126,25 @@ def _(t: Tables) -> DataFrame:
 @query("j26_line_differences")
 def _(t: Tables) -> DataFrame:
     """Chapters against themselves without navigation lines: where lines were deleted."""
-    a = _chapters(t).select(F.col("chapter_id").alias("key"), F.col("content").alias("a"), F.filter("content", lambda x: ~navigation_line(x)).alias("b"))
+    a = _texts(t).select(F.col("chapter_id").alias("key"), F.col("content").alias("a"), F.filter("content", lambda x: ~navigation_line(x)).alias("b"))
     return R.line_differences(a)
 
 
-@query("x0_missing_blocks", CHAPTERS + ", b AS (SELECT chapter_id, unnest(content) AS block FROM chap) SELECT chapter_id, md5(block) AS digest FROM b JOIN chap USING (chapter_id) WHERE length(block) >= 80 AND NOT contains(regexp_replace(array_to_string(content[1:3], ''), '" + _S + "+', '', 'g'), regexp_replace(block, '" + _S + "+', '', 'g'))")
+_NAV = f"(regexp_matches(x, '^(?:(?:上一篇|下一篇|回目录|返回目录|上一页|下一页|目录){_S}*[（(]?[^）)]{{0,30}}[）)]?{_S}*)+$') OR (contains(x, '回目录') AND length(x) <= 60))"
+
+
+@query(
+    "x0_missing_blocks",
+    CHAPTERS + f""", b AS (SELECT DISTINCT chapter_id, unnest(content) AS block FROM chapters WHERE chapter_id IS NOT NULL),
+ n AS (SELECT chapter_id, string_agg(coalesce(array_to_string(content, ''), ''), '' ORDER BY footnote_id) AS notes FROM (SELECT DISTINCT footnote_id, chapter_id, content FROM footnotes) GROUP BY chapter_id),
+ loc AS (SELECT chapter_id, regexp_replace(coalesce(array_to_string(list_filter(content, lambda x: NOT {_NAV}), ''), '') || coalesce(notes, ''), '{_S}+', '', 'g') AS t FROM chap LEFT JOIN n USING (chapter_id))
+SELECT DISTINCT chapter_id, md5(block) AS digest FROM b JOIN loc USING (chapter_id) WHERE length(block) >= 80 AND NOT contains(t, regexp_replace(block, '{_S}+', '', 'g'))""",
+)
 def _(t: Tables) -> DataFrame:
     """X0.9: long blocks of any delivery that the library lacks: the whole newest one without navigation lines, with its footnotes."""
     blocks = t.chapters.where("chapter_id is not null").select("chapter_id", F.explode("content").alias("block"))
     notes = t.footnotes.select("footnote_id", "chapter_id", "content").distinct().groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct("footnote_id", "content"))).alias("n"))
-    kept = R.delete_elements(_chapters(t), lambda x, i: navigation_line(x)).select("chapter_id", F.array_join("content", "").alias("body"))
+    kept = R.delete_elements(_texts(t, "sections"), lambda x, i: navigation_line(x)).select("chapter_id", F.array_join("content", "").alias("body"))
     printed = F.array_join(F.flatten(F.transform("n", lambda n: F.coalesce(n.content, F.array().cast("array<string>")))), "")
     local = kept.join(notes, "chapter_id", "left").select("chapter_id", F.concat(F.coalesce("body", F.lit("")), F.coalesce(printed, F.lit(""))).alias("text"))
     return R.missing_blocks(blocks, local, "chapter_id").select("chapter_id", F.md5("block").alias("digest")).distinct()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators import positions as P
 from lectern.operators import reading as R
 from lectern.registry import Tables, query
+from lectern.session import cut_lineage
 
 CHAPTERS = """
 WITH chap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chapter_id ORDER BY fetched_at DESC) AS k FROM chapters WHERE chapter_id IS NOT NULL) WHERE k = 1)
@@ -20,18 +23,28 @@ offs AS (SELECT book_id, chapter_id, row_number() OVER w - 1 AS place, length, C
 _SESSIONS = ", once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at, started_at, ended_at, active_millis) AS n FROM reading_sessions WHERE id IS NOT NULL) WHERE n = 1)"
 
 
-def _chapters(t: Tables) -> DataFrame:
-    return P.latest_chapters(t.chapters)
+def _chapters(t: Tables, *columns) -> DataFrame:
+    return P.latest_chapters(t.chapters, *columns)
+
+
+def _lengths(t: Tables) -> DataFrame:
+    """(chapter_id, lengths) of the non-empty paragraphs of each chapter."""
+    return _chapters(t, P.element_lengths(non_empty=True).alias("lengths"))
+
+
+def _sized(t: Tables) -> DataFrame:
+    """(chapter_id, paragraph_index, length) of the non-empty paragraphs."""
+    return _lengths(t).select("chapter_id", F.posexplode("lengths").alias("paragraph_index", "length"))
 
 
 @query("w1_paragraph_offsets", _PARAGRAPHS + "SELECT chapter_id, paragraph_index, CAST(length(text) AS INTEGER) AS length, CAST(coalesce(sum(length(text)) OVER (PARTITION BY chapter_id ORDER BY paragraph_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM par")
 def _(t: Tables) -> DataFrame:
-    return P.paragraph_offsets(_chapters(t))
+    return P.paragraph_offsets(_lengths(t))
 
 
 @query("w1_chapter_offsets", _OFFSETS + "SELECT book_id, chapter_id, CAST(place AS INTEGER) AS place, length, start, book_length FROM offs")
 def _(t: Tables) -> DataFrame:
-    return P.chapter_offsets(_chapters(t))
+    return P.chapter_offsets(P.chapter_sizes(t.chapters))
 
 
 @query(
@@ -43,9 +56,11 @@ FROM pos JOIN offs ON offs.book_id = pos.book_id AND offs.chapter_id = pos.end_c
 )
 def _(t: Tables) -> DataFrame:
     """Absolute position and fraction of each session's end; an index past the chapter is clamped to its end."""
-    c = _chapters(t)
-    offs = P.chapter_offsets(c).select("book_id", F.col("chapter_id").alias("end_chapter_id"), "start", "book_length")
-    sizes = c.select(F.col("chapter_id").alias("end_chapter_id"), F.transform("content", lambda x: F.coalesce(F.length(x), F.lit(0)).cast("bigint")).alias("ls"))
+    # the chapters' lengths, used for places in books and in chapters: written once, so texts are read once
+    c = cut_lineage(_chapters(t, "book_id", "chapter_ord", P.element_lengths().alias("ls")))
+    total = F.aggregate("ls", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    offs = P.chapter_offsets(c.withColumn("length", total)).select("book_id", F.col("chapter_id").alias("end_chapter_id"), "start", "book_length")
+    sizes = c.select(F.col("chapter_id").alias("end_chapter_id"), "ls")
     s = R.distinct_sessions(t.reading_sessions).select("id", "book_id", "end_chapter_id", F.greatest(F.coalesce("end_paragraph_index", F.lit(0)), F.lit(0)).alias("p"))
     inside = F.aggregate(F.slice("ls", F.lit(1), F.least(F.col("p"), F.size("ls"))), F.lit(0).cast("bigint"), lambda a, x: a + x)
     at = s.join(offs, ["book_id", "end_chapter_id"]).join(sizes, "end_chapter_id").select("id", (F.col("start") + inside).alias("position"), "book_length")
@@ -55,11 +70,12 @@ def _(t: Tables) -> DataFrame:
 _NAV = "回目录|上一篇|下一篇"
 
 
-@query("w4_remap_after_delete", _PARAGRAPHS + f"SELECT * FROM (SELECT chapter_id, paragraph_index, CAST(sum(CASE WHEN regexp_matches(text, '{_NAV}') THEN 0 ELSE 1 END) OVER (PARTITION BY chapter_id ORDER BY paragraph_index) - 1 AS INTEGER) AS new_index, NOT regexp_matches(text, '{_NAV}') AS keep FROM par) WHERE keep".replace("SELECT * FROM", "SELECT chapter_id, paragraph_index, new_index FROM"))
+@query("w4_remap_after_delete", _PARAGRAPHS + f"SELECT chapter_id, paragraph_index, new_index FROM (SELECT chapter_id, paragraph_index, CAST(sum(CASE WHEN regexp_matches(text, '{_NAV}') THEN 0 ELSE 1 END) OVER (PARTITION BY chapter_id ORDER BY paragraph_index) - 1 AS INTEGER) AS new_index, NOT regexp_matches(text, '{_NAV}') AS keep FROM par) WHERE keep")
 def _(t: Tables) -> DataFrame:
     """Indexes after the navigation lines are deleted."""
-    par = P.paragraphs(_chapters(t), "chapter_id")
-    return P.kept_indexes(par, ~F.col("text").rlike(_NAV), "chapter_id").select("chapter_id", "paragraph_index", "new_index")
+    kept = F.transform(F.filter("content", lambda x: x.isNotNull() & (x != "")), lambda x: ~x.rlike(_NAV))
+    flags = _chapters(t, kept.alias("kept")).select("chapter_id", F.posexplode("kept").alias("paragraph_index", "keep"))
+    return P.kept_indexes(flags, F.col("keep"), "chapter_id").select("chapter_id", "paragraph_index", "new_index")
 
 
 @query(
@@ -82,7 +98,7 @@ _SECTIONS = ", sec AS (SELECT chapter_id, unnest(sections) AS s, generate_subscr
 
 @query("j14_current_section", CHAPTERS + _SECTIONS + _SESSIONS + "SELECT id, (SELECT arg_max(section_id, (paragraph_index, section_id)) FROM sect WHERE sect.chapter_id = o.end_chapter_id AND sect.paragraph_index <= o.end_paragraph_index) AS section_id FROM once o WHERE end_chapter_id IS NOT NULL AND end_paragraph_index IS NOT NULL")
 def _(t: Tables) -> DataFrame:
-    """The section in which each session ends: an as-of join in one ordered window."""
+    """The section in which each session ends: looked up in the sections of its chapter."""
     ends = R.distinct_sessions(t.reading_sessions).where("end_chapter_id is not null and end_paragraph_index is not null").select("id", F.col("end_chapter_id").alias("chapter_id"), F.col("end_paragraph_index").alias("p"))
     marks = _chapters(t).select("chapter_id", F.inline("sections")).select("chapter_id", F.col("paragraph_index").alias("at"), "section_id").where("at is not null")
     return P.as_of(ends, marks, "chapter_id", "p", "at", "section_id").select("id", "section_id")
@@ -91,9 +107,11 @@ def _(t: Tables) -> DataFrame:
 @query("j13_nearest_heading", _PARAGRAPHS + ", h AS (SELECT chapter_id, paragraph_index FROM par WHERE regexp_matches(text, '^[一二三四五六七八九十]+、')), d AS (SELECT chapter_id, paragraph_index FROM par WHERE regexp_matches(text, '^（[一二].*）$')) SELECT chapter_id, paragraph_index, (SELECT max(h.paragraph_index) FROM h WHERE h.chapter_id = d.chapter_id AND h.paragraph_index BETWEEN d.paragraph_index - 8 AND d.paragraph_index - 1) AS nearest FROM d")
 def _(t: Tables) -> DataFrame:
     """Date lines with the heading at most 8 paragraphs before them."""
-    par = P.paragraphs(_chapters(t), "chapter_id")
-    heads = par.where(F.col("text").rlike("^[一二三四五六七八九十]+、")).select("chapter_id", F.col("paragraph_index").alias("at"))
-    dates = par.where(F.col("text").rlike("^（[一二][^\n]*）$")).select("chapter_id", "paragraph_index")
+    kinds = F.transform(F.filter("content", lambda x: x.isNotNull() & (x != "")), lambda x: F.when(x.rlike("^[一二三四五六七八九十]+、"), "heading").when(x.rlike("^（[一二][^\n]*）$"), "date"))
+    # the kind of each paragraph, used for both sides: written once, so texts are read once
+    par = cut_lineage(_chapters(t, kinds.alias("kinds")).select("chapter_id", F.posexplode("kinds").alias("paragraph_index", "kind")).where("kind is not null"))
+    heads = par.where("kind = 'heading'").select("chapter_id", F.col("paragraph_index").alias("at"))
+    dates = par.where("kind = 'date'").select("chapter_id", "paragraph_index")
     return P.nearest_before(dates, heads, "chapter_id", "paragraph_index", "at", 8)
 
 
@@ -101,8 +119,7 @@ _PAGES = _PARAGRAPHS + ", pg AS (SELECT chapter_id, paragraph_index, length(text
 
 
 def _pages(t: Tables) -> DataFrame:
-    lengths = P.paragraphs(_chapters(t), "chapter_id").select("chapter_id", "paragraph_index", F.length("text").alias("length"))
-    return P.pages(lengths, 40, "chapter_id", "paragraph_index")
+    return P.pages(_sized(t), 40, "chapter_id", "paragraph_index")
 
 
 def _selections(t: Tables) -> DataFrame:
@@ -151,13 +168,15 @@ walk AS (SELECT chapter_id, section_id, [ord] AS path, [section_id] AS ids FROM
 
 def _walk(t: Tables) -> DataFrame:
     """Paths from the roots by a recursive CTE with a cycle guard."""
-    P.with_parents(_chapters(t)).select("chapter_id", "section_id", "ord", "parent_id").createOrReplaceTempView("_lectern_edges")
-    return t.spark.sql("""
+    # the view's name is its own, so plans of one session don't read each other's edges
+    view = f"_lectern_edges_{uuid.uuid4().hex}"
+    P.with_parents(_chapters(t)).select("chapter_id", "section_id", "ord", "parent_id").createOrReplaceTempView(view)
+    return t.spark.sql(f"""
         WITH RECURSIVE walk (chapter_id, section_id, path, ids) AS (
-          SELECT chapter_id, section_id, array(ord), array(section_id) FROM _lectern_edges WHERE parent_id IS NULL
+          SELECT chapter_id, section_id, array(ord), array(section_id) FROM {view} WHERE parent_id IS NULL
           UNION ALL
           SELECT e.chapter_id, e.section_id, array_append(w.path, e.ord), array_append(w.ids, e.section_id)
-          FROM walk w JOIN _lectern_edges e ON e.chapter_id = w.chapter_id AND e.parent_id = w.section_id
+          FROM walk w JOIN {view} e ON e.chapter_id = w.chapter_id AND e.parent_id = w.section_id
           WHERE NOT array_contains(w.ids, e.section_id))
         SELECT * FROM walk""")
 
@@ -173,7 +192,7 @@ def _(t: Tables) -> DataFrame:
     return _walk(t).select("chapter_id", "section_id", F.row_number().over(w).cast("bigint").alias("place"))
 
 
-@query("w14_parts_by_size", _OFFSETS + ", parts(part, first, past) AS (VALUES (1, 0, 3), (2, 3, 8), (3, 8, 16)) SELECT chapter_id, CAST(part AS INTEGER) AS part FROM offs JOIN parts ON place >= first AND place < past")
+@query("w14_parts_by_size", _OFFSETS + ", parts(part, first, past) AS (VALUES (1, 0, 3), (2, 3, 8), (3, 8, 16)) SELECT chapter_id, CAST(part AS INTEGER) AS part FROM offs LEFT JOIN parts ON place >= first AND place < past")
 def _(t: Tables) -> DataFrame:
     """Parts of 3, 5 and 8 chapters, by their cumulative sizes; three rows of bounds, so the range is an expression.
 
@@ -181,26 +200,25 @@ def _(t: Tables) -> DataFrame:
     """
     place = F.col("place")
     part = F.when(place < 3, 1).when(place < 8, 2).when(place < 16, 3)
-    return P.chapter_offsets(_chapters(t)).select("chapter_id", part.alias("part"))
+    return P.chapter_offsets(P.chapter_sizes(t.chapters)).select("chapter_id", part.alias("part"))
 
 
 @query("w15_ordinals", _OFFSETS + "SELECT book_id, chapter_id, 'chapter-' || lpad(CAST(place + 1 AS VARCHAR), 3, '0') AS label FROM offs")
 def _(t: Tables) -> DataFrame:
-    return P.chapter_offsets(_chapters(t)).select("book_id", "chapter_id", F.format_string("chapter-%03d", F.col("place") + 1).alias("label"))
+    return P.chapter_offsets(P.chapter_sizes(t.chapters)).select("book_id", "chapter_id", F.format_string("chapter-%03d", F.col("place") + 1).alias("label"))
 
 
 @query("w19_floor_search", _PARAGRAPHS + ", st AS (SELECT chapter_id, list(s ORDER BY s) AS starts FROM (SELECT chapter_id, coalesce(sum(length(text)) OVER (PARTITION BY chapter_id ORDER BY paragraph_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM par) GROUP BY chapter_id) SELECT chapter_id, CAST(len(list_filter(starts, lambda x: x <= 500)) - 1 AS INTEGER) AS paragraph_index FROM st")
 def _(t: Tables) -> DataFrame:
     """The paragraph at character 500 of each chapter: a floor search in its starts."""
-    lengths = F.transform(F.filter("content", lambda x: x.isNotNull() & (x != "")), lambda x: F.length(x).cast("bigint"))
-    starts = F.aggregate(lengths, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("n")), lambda a, x: F.struct((a.at + x).alias("at"), F.when(a.at <= 500, a.n + 1).otherwise(a.n).alias("n")), lambda a: a.n - 1)
-    return _chapters(t).where(F.size(F.filter("content", lambda x: x != "")) > 0).select("chapter_id", starts.alias("paragraph_index"))
+    starts = F.aggregate("lengths", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("n")), lambda a, x: F.struct((a.at + x).alias("at"), F.when(a.at <= 500, a.n + 1).otherwise(a.n).alias("n")), lambda a: a.n - 1)
+    return _lengths(t).where(F.size("lengths") > 0).select("chapter_id", starts.alias("paragraph_index"))
 
 
 @query("w16_contexts", _PARAGRAPHS + "SELECT id, right(substr(text, 1, greatest(selection_start, 0)), 32) AS before, substr(text, selection_end + 1, 32) AS after FROM (SELECT DISTINCT id, chapter_id, paragraph_index, selection_start, selection_end FROM notes WHERE id IS NOT NULL) JOIN par USING (chapter_id, paragraph_index)")
 def _(t: Tables) -> DataFrame:
     """32 characters on either side of each selection."""
-    par = P.paragraphs(_chapters(t), "chapter_id")
+    par = P.paragraphs(P.latest_texts(t.chapters, "content"), "chapter_id")
     at = _selections(t).join(par, ["chapter_id", "paragraph_index"])
     return at.select("id", F.right(F.substring("text", F.lit(1), F.greatest("selection_start", F.lit(0))), F.lit(32)).alias("before"), F.substring("text", F.col("selection_end") + 1, F.lit(32)).alias("after"))
 
@@ -210,13 +228,13 @@ def _(t: Tables) -> DataFrame:
     """Paragraphs equal to the one before, from the array itself: no shuffle of text."""
     kept = F.filter("content", lambda x: x.isNotNull() & (x != ""))
     repeats = F.aggregate(kept, F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).cast("bigint").alias("n")), lambda a, x: F.struct(x.alias("prev"), F.when(a.prev == x, a.n + 1).otherwise(a.n).alias("n")), lambda a: a.n)
-    return _chapters(t).select("chapter_id", repeats.alias("repeats")).where("repeats > 0")
+    return _chapters(t, repeats.alias("repeats")).where("repeats > 0")
 
 
 @query("w9_single_character_runs", _PARAGRAPHS + ", m AS (SELECT chapter_id, paragraph_index, length(text) <= 20 AS short FROM par), g AS (SELECT *, paragraph_index - row_number() OVER (PARTITION BY chapter_id, short ORDER BY paragraph_index) AS island FROM m WHERE short) SELECT chapter_id, min(paragraph_index) AS first_index, max(paragraph_index) AS last_index, count(*) AS size FROM g GROUP BY chapter_id, island HAVING count(*) >= 2")
 def _(t: Tables) -> DataFrame:
     """Runs of neighbouring short lines, as gaps and islands."""
-    short = P.paragraphs(_chapters(t), "chapter_id").where(F.length("text") <= 20).select("chapter_id", "paragraph_index")
+    short = _sized(t).where("length <= 20").select("chapter_id", "paragraph_index")
     island = F.col("paragraph_index") - F.row_number().over(Window.partitionBy("chapter_id").orderBy("paragraph_index"))
     runs = short.withColumn("island", island).groupBy("chapter_id", "island").agg(F.min("paragraph_index").alias("first_index"), F.max("paragraph_index").alias("last_index"), F.count(F.lit(1)).alias("size"))
     return runs.where("size >= 2").drop("island")
@@ -225,6 +243,6 @@ def _(t: Tables) -> DataFrame:
 @query("w8_next_start", CHAPTERS + _SECTIONS + "SELECT chapter_id, section_id, coalesce(lead(paragraph_index) OVER (PARTITION BY chapter_id ORDER BY paragraph_index, ord), len) AS section_end FROM sect JOIN (SELECT chapter_id, CAST(len(content) AS INTEGER) AS len FROM chap) USING (chapter_id)")
 def _(t: Tables) -> DataFrame:
     """The end of each section: where the next one begins, else the end of the chapter."""
-    c = _chapters(t).select("chapter_id", F.size("content").alias("len"), F.posexplode("sections").alias("ord", "s"))
+    c = _chapters(t, F.size("content").alias("len"), "sections").select("chapter_id", "len", F.posexplode("sections").alias("ord", "s"))
     end = F.lead("s.paragraph_index").over(Window.partitionBy("chapter_id").orderBy("s.paragraph_index", "ord"))
     return c.select("chapter_id", F.col("s.section_id").alias("section_id"), F.coalesce(end, F.col("len")).alias("section_end"))

@@ -14,6 +14,7 @@ from lectern.plans.catalogue import BOOKS
 from lectern.plans.positions import CHAPTERS
 from lectern.plans.texts import _S
 from lectern.registry import Tables, query
+from lectern.session import cut_lineage
 
 
 def _trimmed(c: str) -> str:
@@ -79,7 +80,7 @@ _CHAPTER_FACTS = f""", r AS (SELECT chapter_id, title, array_to_string(content,
 @query("audit_chapters", CHAPTERS + _CHAPTER_FACTS + "SELECT * FROM (" + _CHAPTER_RULES + ")")
 def _(t: Tables) -> DataFrame:
     """All rules on chapters but the classifier of section titles, which SQL's regular expressions don't express."""
-    return A.chapters(P.latest_chapters(t.chapters)).where("code <> 'SUSPICIOUS_SECTION_TITLE'")
+    return A.chapters(t.chapters).where("code <> 'SUSPICIOUS_SECTION_TITLE'")
 
 
 _FOOTNOTES = "fn AS (SELECT DISTINCT footnote_id, book_id, chapter_id, marker, content, refs FROM footnotes)"
@@ -101,12 +102,12 @@ def _footnotes(t: Tables) -> DataFrame:
 
 @query("audit_footnotes", CHAPTERS + _FOOTNOTE_FACTS + _FOOTNOTE_RULES)
 def _(t: Tables) -> DataFrame:
-    return A.footnotes(_footnotes(t), P.latest_chapters(t.chapters))
+    return A.footnotes(_footnotes(t), P.latest_chapters(t.chapters, P.element_lengths().alias("lengths")))
 
 
 @query("x8_marker_mismatch", CHAPTERS + f", {_FOOTNOTES}, q AS (SELECT footnote_id, chapter_id, marker, unnest(refs) AS q FROM fn) SELECT footnote_id, q.paragraph_index AS paragraph_index, substr(content[q.paragraph_index + 1], q.start_offset + 1, q.end_offset - q.start_offset) AS found FROM q JOIN chap USING (chapter_id) WHERE q.paragraph_index < len(content) AND substr(content[q.paragraph_index + 1], q.start_offset + 1, q.end_offset - q.start_offset) <> marker")
 def _(t: Tables) -> DataFrame:
-    return A.marker_mismatches(_footnotes(t), P.latest_chapters(t.chapters))
+    return A.marker_mismatches(_footnotes(t), P.latest_texts(t.chapters, "content"))
 
 
 @query(
@@ -128,8 +129,8 @@ def _(t: Tables) -> DataFrame:
 @query("audit_counts")
 def _(t: Tables) -> DataFrame:
     """All findings by code."""
-    c = P.latest_chapters(t.chapters)
-    parts = [A.books(C.distinct_books(t.books)), A.chapters(c), A.footnotes(_footnotes(t), c), A.catalogue(t.authors, t.books, t.chapters)]
+    lengths = P.latest_chapters(t.chapters, P.element_lengths().alias("lengths"))
+    parts = [A.books(C.distinct_books(t.books)), A.chapters(t.chapters), A.footnotes(_footnotes(t), lengths), A.catalogue(t.authors, t.books, t.chapters)]
     return A.counts(reduce(DataFrame.unionByName, parts))
 
 
@@ -143,6 +144,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Repairs bound to the digest of what they expect; here every delivery against the latest."""
     body = F.sha2(F.array_join("content", "\n"), 256)
-    expected = t.chapters.select("chapter_id", body.alias("expected"))
-    now = P.latest_chapters(t.chapters).select("chapter_id", body.alias("now"))
+    # a digest of each delivery, used on both sides: written once, so texts are read once
+    digests = cut_lineage(t.chapters.select("chapter_id", "fetched_at", body.alias("digest")))
+    expected, now = digests.select("chapter_id", F.col("digest").alias("expected")), P.latest_chapters(digests, F.col("digest").alias("now"))
     return expected.join(now, "chapter_id").select("chapter_id", F.when(F.col("expected") == F.col("now"), "applies").otherwise("refused").alias("outcome")).distinct()

@@ -21,7 +21,7 @@ def _has(column: str, term: str) -> str:
 
 
 def _index(t: Tables) -> DataFrame:
-    return S.content_index(P.latest_chapters(t.chapters), C.distinct_books(t.books))
+    return S.content_index(P.latest_texts(t.chapters, "book_id", "title", "content"), C.distinct_books(t.books))
 
 
 _PLACE = ["book_id", "chapter_id", "paragraph_index"]
@@ -51,13 +51,13 @@ def _(t: Tables) -> DataFrame:
 @query("x2_search_of_author", _INDEX + f" SELECT ix.book_id, chapter_id, paragraph_index FROM ix WHERE content <> '' AND {_has('content', '凡是')} AND book_id IN (SELECT book_id FROM books WHERE list_contains(author_ids, (SELECT min(author_id) FROM authors)))")
 def _(t: Tables) -> DataFrame:
     """The author's books as a semi join; the first author stands for the one asked for."""
-    author = t.authors.agg(F.min("author_id")).first()[0]
-    own = C.distinct_books(t.books).where(F.array_contains("author_ids", F.lit(author)))
+    author = t.authors.agg(F.min("author_id").alias("author_id"))
+    own = C.distinct_books(t.books).select("book_id", F.explode("author_ids").alias("author_id")).join(author, "author_id", "left_semi")
     return S.matching(_index(t), "凡是", "BODY", own).select(*_PLACE)
 
 
 def _paragraphs(t: Tables) -> DataFrame:
-    return P.latest_chapters(t.chapters).select("chapter_id", F.posexplode("content").alias("paragraph_index", "text"))
+    return P.latest_texts(t.chapters, "content").select("chapter_id", F.posexplode("content").alias("paragraph_index", "text"))
 
 
 @query("x3_matches_in_books", CHAPTERS + ", par AS (SELECT chapter_id, unnest(content) AS text, CAST(generate_subscripts(content, 1) - 1 AS INTEGER) AS paragraph_index FROM chap), p AS (SELECT chapter_id, paragraph_index, string_split(text, '劳动') AS pieces FROM par WHERE contains(text, '劳动')), o AS (SELECT chapter_id, paragraph_index, pieces, unnest(generate_series(1, len(pieces) - 1)) AS k FROM p) SELECT chapter_id, paragraph_index, CAST(list_sum(list_transform(pieces[1:k], lambda x: length(x))) + 2 * (k - 1) AS INTEGER) AS start FROM o ORDER BY 1, 2, 3 LIMIT 500")
@@ -78,7 +78,7 @@ def _(t: Tables) -> DataFrame:
     return t.documents.where(F.contains("text", F.lit("劳动"))).select("doc_id", S.excerpt(F.col("text"), start, F.lit(2)).alias("excerpt"))
 
 
-@query("f14_marked_snippets", "SELECT doc_id, md5(replace(left(text, 120), '工', '<b>工</b>')) AS digest, left(text, 120) = replace(replace(replace(left(text, 120), '工', '<b>工</b>'), '<b>', ''), '</b>', '') AS same FROM documents WHERE contains(left(text, 120), '工')")
+@query("f14_marked_snippets", "WITH p AS (SELECT doc_id, text, instr(text, '工') - 1 AS s FROM documents WHERE contains(text, '工')), e AS (SELECT doc_id, CASE WHEN s > 32 THEN '…' ELSE '' END || substr(text, greatest(s - 32, 0) + 1, least(s + 49, length(text)) - greatest(s - 32, 0)) || CASE WHEN s + 49 < length(text) THEN '…' ELSE '' END AS x FROM p) SELECT doc_id, md5(replace(x, '工', '<b>工</b>')) AS digest, x = replace(replace(replace(x, '工', '<b>工</b>'), '<b>', ''), '</b>', '') AS same FROM e")
 def _(t: Tables) -> DataFrame:
     """marks put into the surroundings of the first hit, wherever it stands, and taken out again."""
     text, term = F.col("text"), F.lit("工")
@@ -116,6 +116,6 @@ def _(t: Tables) -> DataFrame:
 @query("j27_located_once", CHAPTERS + ", f AS (SELECT DISTINCT id, chapter_id, excerpt FROM notes WHERE id IS NOT NULL AND excerpt <> '') SELECT chapter_id, id AS piece_id, CAST(instr(body, excerpt) - 1 AS INTEGER) AS start FROM f JOIN (SELECT chapter_id, array_to_string(content, chr(10)) AS body FROM chap) USING (chapter_id) WHERE len(string_split(body, excerpt)) = 2")
 def _(t: Tables) -> DataFrame:
     """Excerpts that stand exactly once in their chapter."""
-    texts = P.latest_chapters(t.chapters).select("chapter_id", F.array_join("content", "\n").alias("text"))
+    texts = P.latest_texts(t.chapters, "content").select("chapter_id", F.array_join("content", "\n").alias("text"))
     pieces = _notes(t).where("excerpt <> ''").select("chapter_id", F.col("id").alias("piece_id"), F.col("excerpt").alias("piece"))
     return S.located_once(texts, pieces, "chapter_id")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.registry import Tables, query
+from lectern.session import shared_folder
 from lectern.streaming import reading as R
 
 _E = "WITH e AS (SELECT DISTINCT ON (event_id) * FROM events)"
@@ -67,7 +67,6 @@ def _(t: Tables) -> DataFrame:
 @query("t_stream_tumbling", "SELECT date_trunc('hour', ts) AS started, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
 def _(t: Tables) -> DataFrame:
     """The tumbling windows run as a stream into a table: those that the watermark has closed."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-stream-")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     stream = R.event_stream(t.spark, f"{t.folder}/events.parquet*")
     return R.run_to_table(R.windows(R.once_each(stream)), f"{folder}/table", f"{folder}/progress")

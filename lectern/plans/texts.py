@@ -17,17 +17,17 @@ _S = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\
 _PAR = CHAPTERS + ", par AS (SELECT chapter_id, unnest(content) AS text, CAST(generate_subscripts(content, 1) - 1 AS INTEGER) AS paragraph_index FROM chap)"
 
 
-def _chapters(t: Tables) -> DataFrame:
-    return P.latest_chapters(t.chapters)
+def _chapters(t: Tables, *columns) -> DataFrame:
+    return P.latest_chapters(t.chapters, *columns)
 
 
-def _elements(t: Tables) -> DataFrame:
-    return _chapters(t).select("chapter_id", F.posexplode("content").alias("paragraph_index", "text"))
+def _elements(t: Tables, keep, **values) -> DataFrame:
+    return P.latest_elements(t.chapters, keep, **values)
 
 
 @query("f1_clean_space", _PAR + f"SELECT chapter_id, paragraph_index, md5(regexp_replace(regexp_replace(text, '{_S}+', ' ', 'g'), '^ | $', '', 'g')) AS digest FROM par WHERE text IS NOT NULL")
 def _(t: Tables) -> DataFrame:
-    return _elements(t).where("text is not null").select("chapter_id", "paragraph_index", F.md5(X.clean_space(F.col("text"))).alias("digest"))
+    return _elements(t, lambda x: F.lit(True), digest=lambda x: F.md5(X.clean_space(x)))
 
 
 @query("f2_compact_titles", CHAPTERS + f"SELECT chapter_id, regexp_replace(coalesce(title, ''), '{_S}+', '', 'g') AS title FROM chap")
@@ -82,21 +82,20 @@ def _(t: Tables) -> DataFrame:
 @query("f21_printed_dates")
 def _(t: Tables) -> DataFrame:
     """Dates that elements begin with; the grammar with its rollovers is tested by hand."""
-    found = _elements(t).where(F.col("text").rlike("^[(（]?(?:18|19|20)[0-9]{2}")).select("chapter_id", "paragraph_index", D.printed_date(F.regexp_replace("text", "^[(（]", "")).alias("d"))
+    found = _elements(t, lambda x: x.rlike("^[(（]?(?:18|19|20)[0-9]{2}"), d=lambda x: D.printed_date(F.regexp_replace(x, "^[(（]", "")))
     return found.where("d is not null").select("chapter_id", "paragraph_index", "d.*")
 
 
 @query("f23_publication")
 def _(t: Tables) -> DataFrame:
     """the least publication date in the credit lines of books of one chapter."""
-    c = _chapters(t)
-    single = c.groupBy("book_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("book_id")
-    lines = c.join(single, "book_id").select("book_id", F.posexplode("content").alias("paragraph_index", "text"))
-    credit = lines.select("book_id", "text", D.publication_credit(F.col("text")).alias("d")).where("d is not null")
+    single = _chapters(t, "book_id").groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), F.min("chapter_id").alias("chapter_id")).where("n = 1").select("book_id", "chapter_id")
+    lines = _elements(t, lambda x: D.publication_credit(x).isNotNull(), text=lambda x: x, d=D.publication_credit)
+    credit = lines.join(single, "chapter_id").select("book_id", "text", "d")
     return credit.groupBy("book_id").agg(F.min_by(F.struct("d.date_start", "d.date_end", F.col("text").alias("basis")), F.struct("d.date_start", "text")).alias("x")).select("book_id", "x.*")
 
 
-@query("f24_local_years", "WITH y AS (SELECT book_id, list_distinct(regexp_extract_all(coalesce(title_zh, ''), '\\b((?:18|19|20)[0-9]{2})\\b', 1)) AS a, coalesce(title_zh, '') AS l, list_distinct(regexp_extract_all(coalesce(title_zh, '') || ' ' || coalesce(pub_year, ''), '\\b((?:18|19|20)[0-9]{2})\\b', 1)) AS b, coalesce(title_zh, '') || ' ' || coalesce(pub_year, '') AS c FROM bk), z AS (SELECT 1) SELECT book_id, CASE WHEN len(a) = 1 THEN a[1] WHEN len(a) > 1 THEN '' WHEN length(c) <= length(l) + 80 AND len(b) = 1 THEN b[1] ELSE '' END AS year FROM y".replace("WITH y AS", "WITH " + BOOKS + ", y AS"))
+@query("f24_local_years", "WITH " + BOOKS + ", y AS (SELECT book_id, list_distinct(regexp_extract_all(coalesce(title_zh, ''), '\\b((?:18|19|20)[0-9]{2})\\b', 1)) AS a, coalesce(title_zh, '') AS l, list_distinct(regexp_extract_all(coalesce(title_zh, '') || ' ' || coalesce(pub_year, ''), '\\b((?:18|19|20)[0-9]{2})\\b', 1)) AS b, coalesce(title_zh, '') || ' ' || coalesce(pub_year, '') AS c FROM bk) SELECT book_id, CASE WHEN len(a) = 1 THEN a[1] WHEN len(a) > 1 THEN '' WHEN length(c) <= length(l) + 80 AND len(b) = 1 THEN b[1] ELSE '' END AS year FROM y")
 def _(t: Tables) -> DataFrame:
     label = F.coalesce("title_zh", F.lit(""))
     return C.distinct_books(t.books).select("book_id", X.local_year(label, F.concat(label, F.lit(" "), F.coalesce("pub_year", F.lit("")))).alias("year"))
@@ -110,7 +109,7 @@ def _(t: Tables) -> DataFrame:
     return C.distinct_books(t.books).select("book_id", y.alias("year")).where("year is not null")
 
 
-@query("p4_link_acceptance_rule".replace("p4_", "filter_"), "WITH " + BOOKS + " SELECT book_id FROM bk WHERE regexp_matches(lower(split_part(regexp_replace(source_url, '^[A-Za-z]+://[^/]+', ''), '?', 1)), '(\\.htm|\\.html|/)$') AND length(title_zh) >= 2 AND NOT regexp_matches(lower(title_zh), 'pdf|zip|下载') AND title_zh NOT IN ('主页', '首页', '返回', '上一页', '下一页', '目录', '中文版')")
+@query("filter_link_acceptance_rule", "WITH " + BOOKS + " SELECT book_id FROM bk WHERE regexp_matches(lower(split_part(regexp_replace(source_url, '^[A-Za-z]+://[^/]+', ''), '?', 1)), '(\\.htm|\\.html|/)$') AND length(title_zh) >= 2 AND NOT regexp_matches(lower(title_zh), 'pdf|zip|下载') AND title_zh NOT IN ('主页', '首页', '返回', '上一页', '下一页', '目录', '中文版')")
 def _(t: Tables) -> DataFrame:
     """Links to texts, by path ending, label words and label length."""
     path = F.lower(F.parse_url("source_url", F.lit("PATH")))
@@ -121,13 +120,13 @@ def _(t: Tables) -> DataFrame:
 @query("filter_navigation_lines", _PAR + f"SELECT chapter_id, paragraph_index FROM par WHERE regexp_matches(text, '^(?:(?:上一篇|下一篇|回目录|返回目录|上一页|下一页|目录){_S}*[（(]?[^）)]{{0,30}}[）)]?{_S}*)+$') OR (contains(text, '回目录') AND length(text) <= 60)")
 def _(t: Tables) -> DataFrame:
     """P5, P7."""
-    return _elements(t).where(X.navigation_line(F.col("text"))).select("chapter_id", "paragraph_index")
+    return _elements(t, X.navigation_line)
 
 
 @query("filter_heading_levels", _PAR + r", h AS (SELECT chapter_id, paragraph_index, text FROM par WHERE length(text) BETWEEN 2 AND 72 AND NOT regexp_matches(text, '[。！？；;]$') AND regexp_matches(text, '\p{L}')) SELECT chapter_id, paragraph_index, CAST(CASE WHEN regexp_matches(text, '^第[一二三四五六七八九十百0-9]+[篇章节部卷](?:[\s\x{3000}]|$)') THEN 2 WHEN regexp_matches(text, '^[一二三四五六七八九十]{1,4}[、．.]') THEN 2 WHEN regexp_matches(text, '^[（(][一二三四五六七八九十0-9]{1,4}[）)]') THEN 3 END AS INTEGER) AS level FROM h WHERE NOT regexp_matches(text, '^[0-9]') AND regexp_matches(text, '^第[一二三四五六七八九十百0-9]+[篇章节部卷](?:[\s\x{3000}]|$)|^[一二三四五六七八九十]{1,4}[、．.]|^[（(][一二三四五六七八九十0-9]{1,4}[）)]')")
 def _(t: Tables) -> DataFrame:
     """Lines that read as headings."""
-    return _elements(t).select("chapter_id", "paragraph_index", X.heading_level(F.col("text")).alias("level"), "text").where(~F.col("text").rlike("^[0-9]") & F.col("level").isNotNull()).drop("text")
+    return _elements(t, lambda x: ~x.rlike("^[0-9]"), level=X.heading_level).where("level is not null")
 
 
 @query("filter_suspicious_titles")
@@ -140,7 +139,8 @@ def _(t: Tables) -> DataFrame:
 @query("filter_copyright_pages", _PAR + "SELECT chapter_id, count(*) AS lines FROM par WHERE regexp_matches(lower(text), '(?:copyright|版权所有|©)\\s*(?:19|20)[0-9]{2}|保留所有权利') GROUP BY chapter_id")
 def _(t: Tables) -> DataFrame:
     """P12."""
-    return _elements(t).where(F.lower("text").rlike(r"(?:copyright|版权所有|©)\s*(?:19|20)[0-9]{2}|保留所有权利")).groupBy("chapter_id").agg(F.count(F.lit(1)).alias("lines"))
+    found = F.filter("content", lambda x: F.lower(x).rlike(r"(?:copyright|版权所有|©)\s*(?:19|20)[0-9]{2}|保留所有权利"))
+    return _chapters(t, F.size(found).cast("bigint").alias("lines")).where("lines > 0")
 
 
 @query("filter_valid_references", "WITH f AS (SELECT footnote_id, chapter_id, list_filter(refs, lambda r: r.start_offset >= 0 AND r.end_offset > r.start_offset) AS ok, len(content) AS n FROM (SELECT DISTINCT footnote_id, chapter_id, refs, content FROM footnotes)) SELECT footnote_id, CAST(len(ok) AS INTEGER) AS refs FROM f WHERE len(ok) > 0 OR n > 0")
@@ -165,15 +165,16 @@ def _(t: Tables) -> DataFrame:
 
 @query("a16_private_characters", CHAPTERS + ", j AS (SELECT chapter_id, array_to_string(content, chr(10)) AS body FROM chap) SELECT chapter_id, CAST(len(regexp_extract_all(body, '[\\x{E000}-\\x{F8FF}]')) AS INTEGER) AS private_use, CAST(len(regexp_extract_all(body, '\\x{FFFD}')) AS INTEGER) AS replacement FROM j WHERE regexp_matches(body, '[\\x{E000}-\\x{F8FF}\\x{FFFD}]')")
 def _(t: Tables) -> DataFrame:
-    body = _chapters(t).select("chapter_id", F.array_join("content", "\n").alias("body")).where(F.col("body").rlike(r"[\x{E000}-\x{F8FF}\x{FFFD}]"))
-    return body.select("chapter_id", F.regexp_count("body", F.lit(r"[\x{E000}-\x{F8FF}]")).alias("private_use"), F.regexp_count("body", F.lit(r"\x{FFFD}")).alias("replacement"))
+    body = F.array_join("content", "\n")
+    counts = _chapters(t, F.regexp_count(body, F.lit(r"[\x{E000}-\x{F8FF}]")).alias("private_use"), F.regexp_count(body, F.lit(r"\x{FFFD}")).alias("replacement"))
+    return counts.where("private_use > 0 or replacement > 0")
 
 
 @query("w6_merged_lines")
 def _(t: Tables) -> DataFrame:
     """Broken lines joined by a fold inside each chapter's row."""
-    c = _chapters(t).select("chapter_id", X.merge_lines(F.col("content")).alias("lines"))
-    return c.select("chapter_id", F.size("lines").alias("lines"), F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("characters"))
+    merged = t.chapters.select("chapter_id", "fetched_at", X.merge_lines(F.col("content")).alias("lines"))
+    return P.latest_chapters(merged, F.size("lines").alias("lines"), F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("characters"))
 
 
 @query("w7_sentence_packs")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, app: str = "lectern", shuffle_partitions: int | None = None) -> SparkSession:
@@ -30,14 +33,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+#: Rows (of some 50 bytes) up to which a table, counted first, is sent to every task.
+BROADCAST_ROWS = 200_000
+
+
+def sent_if_small(frame: DataFrame) -> DataFrame:
+    """The frame, to be broadcast if it has at most BROADCAST_ROWS rows, which are counted; beyond that joins shuffle."""
+    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
+
 
-    The cluster names a shared folder there; only where it is unset, as in
-    tests on one machine, a local folder is set.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which a cluster shares; where it is unset on one machine, as in tests, a folder that goes with the process."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="lectern-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
     sc = frame.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint(eager=True)
