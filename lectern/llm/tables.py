@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import table
+from lectern.session import sent_if_small, table
 
 
 def chapters(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,15 +22,6 @@ def elements(chapters: DataFrame, *keep: str) -> DataFrame:
     return chapters.select(*keep, F.posexplode("content").alias("paragraph_index", "text")).where(F.col("text").isNotNull())
 
 
-#: Rows (of some 50 bytes) up to which a table counted first is sent to every task.
-BROADCAST_ROWS = 200_000
-
-
-def sent_if_small(frame: DataFrame) -> DataFrame:
-    """The frame, to be broadcast if it has at most BROADCAST_ROWS rows, which are counted; beyond that joins shuffle."""
-    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
-
-
 def one_delivery(chapters: DataFrame) -> DataFrame:
     """chapter_id and content of one row for each chapter_id; where rows differ the least hash of content stays.
 
