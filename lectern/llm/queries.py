@@ -129,6 +129,18 @@ WITH sites AS (
 """
 
 
+_CLEANED = r"""
+, drops AS (SELECT DISTINCT chapter_id, template FROM marked JOIN repeated USING (site, template)),
+ once AS (SELECT DISTINCT ON (chapter_id) chapter_id, content FROM chapters WHERE chapter_id IS NOT NULL),
+ broken AS (SELECT chapter_id, paragraph_index, unnest(string_split(element, chr(10))) AS l, generate_subscripts(string_split(element, chr(10)), 1) AS i FROM (SELECT chapter_id, unnest(content) AS element, generate_subscripts(content, 1) AS paragraph_index FROM once)),
+ kept AS (SELECT b.*, d.template IS NOT NULL AS gone FROM (SELECT *, regexp_replace(trim(l, chr(32) || chr(9) || chr(12288) || chr(160)), '[0-9]+', chr(10), 'g') AS template FROM broken) b LEFT JOIN drops d USING (chapter_id, template)),
+ joined AS (SELECT chapter_id, paragraph_index, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '') AS element FROM kept GROUP BY ALL),
+ rebuilt AS (SELECT chapter_id, list(element ORDER BY paragraph_index) AS content FROM joined GROUP BY chapter_id),
+ counts AS (SELECT chapter_id, count(*) AS removed FROM drops GROUP BY chapter_id)
+SELECT chapter_id, CASE WHEN len(o.content) > 0 THEN r.content ELSE o.content END AS content, CAST(coalesce(removed, 0) AS INTEGER) AS removed FROM once o LEFT JOIN rebuilt r USING (chapter_id) LEFT JOIN counts USING (chapter_id)
+"""
+
+
 _WINDOWS = """
 WITH elements AS (SELECT DISTINCT chapter_id, unnest(content) AS text FROM chapters WHERE chapter_id IS NOT NULL),
  long AS (SELECT chapter_id, text, unnest(generate_series(1, length(text) - 99)) AS i FROM elements WHERE length(text) >= 100),
@@ -157,7 +169,6 @@ WITH d AS (SELECT DISTINCT doc_id, regexp_replace(lower(translate(text, '{_WIDE}
  eg AS (SELECT item_id, i, substr(t, i, 30) AS g FROM (SELECT item_id, t, unnest(generate_series(1, length(t) - 29)) AS i FROM e WHERE length(t) >= 30)),
  hits AS (SELECT doc_id, item_id, i, lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS p FROM eg JOIN dg USING (g)),
  covered AS (SELECT doc_id, item_id, sum(CASE WHEN p IS NULL THEN 30 ELSE least(30, i - p) END) AS n FROM hits GROUP BY doc_id, item_id)
-SELECT doc_id, item_id FROM covered JOIN e USING (item_id) WHERE 2 * n >= length(t)
 """
 
 _LIMITS = """
@@ -174,6 +185,8 @@ def oracle_sql() -> dict[str, str]:
         "p3_share": _SHARE,
         "p4_found": _LINES + "SELECT DISTINCT chapter_id, CAST(paragraph_index AS INTEGER) AS paragraph_index FROM marked JOIN repeated USING (site, template)",
         "p4_templates": _LINES + "SELECT site, template, chapters FROM repeated",
-        "p6_found": _LEAKS,
+        "p4_cleaned": _LINES + _CLEANED,
+        "p6_found": _LEAKS + "SELECT doc_id, item_id FROM covered JOIN e USING (item_id) WHERE 2 * n >= length(t)",
+        "p6_leaked_items": _LEAKS + "SELECT item_id, count(*) AS documents, CAST(max(n) AS INTEGER) AS most_covered FROM covered JOIN e USING (item_id) WHERE 2 * n >= length(t) GROUP BY item_id",
         "p8_limits": _LIMITS,
     }
