@@ -95,28 +95,28 @@ def _leaks_small(documents: DataFrame, items: DataFrame) -> DataFrame:
     rows = [(int(r[0]), r[1]) for r in items.collect()]  # at most BROADCAST_BYTES
     points, offsets = fold(strings(pa.array([r[1] for r in rows], pa.string())))
     marks, of = fingerprints(points, offsets)
-    by_mark: dict[int, set[int]] = defaultdict(set)
-    for m, i in zip(marks.tolist(), of.tolist()):
-        by_mark[m].add(i)
-    folded = [_text(points[offsets[i] : offsets[i + 1]]) for i in range(len(rows))]
-    known = documents.sparkSession.sparkContext.broadcast((np.unique(marks), dict(by_mark), folded, [r[0] for r in rows]))
+    # fingerprints in order with the item of each, and the folded texts end to end: arrays of the size of the texts
+    order = np.argsort(marks, kind="stable")
+    known = documents.sparkSession.sparkContext.broadcast((marks[order], of[order].astype(np.int32), points, offsets, np.array([r[0] for r in rows], np.int64)))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, by_mark, folded, ids = known.value
+        marks, of_mark, item_points, item_offsets, ids = known.value
         for batch in sliced(batches, "text"):
             out: list[tuple[int, int, int, int]] = []
             points, offsets = fold(strings(batch.column("text")))
             got, of = fingerprints(points, offsets)
-            hit = np.isin(got, marks)
-            docs = batch.column("doc_id").to_pylist() if hit.any() else []
+            first, past = np.searchsorted(marks, got, "left"), np.searchsorted(marks, got, "right")
+            hits = np.flatnonzero(past > first)
+            docs = batch.column("doc_id").to_pylist() if len(hits) else []
             found: dict[int, set[int]] = defaultdict(set)
-            for m, d in zip(got[hit].tolist(), of[hit].tolist()):
-                found[d] |= by_mark[m]
+            for k in hits.tolist():
+                found[int(of[k])].update(of_mark[first[k] : past[k]].tolist())
             for d, candidates in found.items():
                 text = _text(points[offsets[d] : offsets[d + 1]])
                 for i in candidates:
-                    if 2 * (n := covered(folded[i], text)) >= len(folded[i]):
-                        out.append((docs[d], ids[i], len(folded[i]), n))
+                    item = _text(item_points[item_offsets[i] : item_offsets[i + 1]])
+                    if 2 * (n := covered(item, text)) >= len(item):
+                        out.append((docs[d], int(ids[i]), len(item), n))
             yield _batch(out)
 
     return documents.mapInArrow(match, _COLUMNS)
