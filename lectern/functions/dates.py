@@ -36,6 +36,11 @@ def date_label(date: Column) -> Column:
     return F.concat(date.year.cast("string"), F.lit("年"), F.coalesce(F.concat(date.month.cast("string"), F.lit("月")), F.lit("")), F.coalesce(F.concat(date.day.cast("string"), F.lit("日")), F.lit("")))
 
 
+def range_label(start: Column, end: Column) -> Column:
+    """Label of a date, or of a range if there is an end."""
+    return F.concat(date_label(start), F.coalesce(F.concat(F.lit("—"), date_label(end)), F.lit("")))
+
+
 def printed_date(x: Column) -> Column:
     """The date a Chinese line begins with: (date_start, date_end, note); null if there is none or it isn't in the calendar.
 
@@ -66,16 +71,56 @@ def printed_date(x: Column) -> Column:
     return let(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), read)
 
 
+# The forms of credit lines.
+CREDIT_AUTHORS = "马克思|恩格斯|列宁|斯大林|毛泽东"
+CREDIT_FORENAMES = "(?:(?:卡(?:尔)?|弗(?:里德里希)?)[·・．.]?)?"
+CREDIT_WORD = "(?:第一次|首次|最初)?(?:发表(?:于|在)?|刊载于|载于|出版于)"
+CREDIT_BEGINNING = "^(?:写于|作于|(?:第一次|首次|最初)?(?:载于|发表于|发表在|刊载于)|[0-9]{4}年)"
+CREDIT_TRANSLATION = "(?:译成|译文|俄文全文|中译本|译本).{0,20}$"
+CREDIT_DATED = "^[0-9]{4}年(?:[0-9]{1,2}月(?:[0-9]{1,2}日)?)?(?:第一次|首次|最初)(?:发表|载于|刊载)"
+CREDIT_WRITTEN_AT = "^[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日于[^，。]{1,15}载于"
+NOTES_HEADING = r"^(?:注\s*释|尾注|原脚注)[：:]?$"
+NOTES_HEADING_AT_END = r"(?:注\s*释|原脚注)[：:]?$"
+DEFINITION_BEGINNING = r"^\s*[\[［〔【][0-9]+[\]］〕】]"
+#: Characters before a credit word, and in a credit line, at most.
+CREDIT_WITHIN, CREDIT_LONGEST = 90, 500
+
+
+def without_authors(x: Column) -> Column:
+    """A credit line without its author's name in front."""
+    return F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), rf"(?U)^{CREDIT_FORENAMES}(?:{CREDIT_AUTHORS})\s*", "")
+
+
 def publication_credit(x: Column) -> Column:
-    """The date of first publication in a credit line; null if the line credits something else, as a translation."""
-    t = F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-    begins = t.rlike("^(?:写于|作于|(?:第一次|首次|最初)?(?:载于|发表于|发表在|刊载于)|[0-9]{4}年)") & (F.length(t) <= 500)
-    dated = t.rlike("^[0-9]{4}年(?:[0-9]{1,2}月(?:[0-9]{1,2}日)?)?(?:第一次|首次|最初)(?:发表|载于|刊载)")
-    year_first = t.rlike("^[0-9]{4}年") & ~dated & ~t.rlike("^[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日于[^，。]{1,15}载于")
-    word = "(?:第一次|首次|最初)?(?:发表(?:于|在)?|刊载于|载于|出版于)"
-    found = F.regexp_extract(t, rf"^(?s)(.{{0,90}}?){word}[ ：:]*(.*)$", 1)
-    tail = F.regexp_extract(t, rf"^(?s)(.{{0,90}}?){word}[ ：:]*(.*)$", 2)
-    translation = found.rlike("(?:译成|译文|俄文全文|中译本|译本).{0,20}$")
-    before = F.regexp_extract(t, "((?:18|19|20)[0-9]{2}年)(?:第一次|首次)(?:发表|刊载|载于|出版于)", 1)
-    source = F.when(begins & dated, t).when(begins & ~year_first & t.rlike(rf"^(?s).{{0,90}}?{word}") & ~translation, F.when(tail.rlike("^(?:18|19|20)[0-9]{2}"), tail).otherwise(before))
-    return printed_date(source)
+    """The date of first publication in a credit line; null if the line credits something else, as a translation or the writing.
+
+    The line is cut before each of its credit words. A piece counts if the date
+    follows its word, or if a year stands right before 第一次; the first one holds.
+    """
+    pieces = lambda t: F.split(t, rf"(?=(?<!第一次|首次|最初){CREDIT_WORD})")
+
+    def candidates(t: Column) -> Column:
+        return let(pieces(t), lambda parts: F.filter(F.transform(parts, lambda piece, i: dated(piece, F.array_join(F.slice(parts, F.lit(1), i), ""))), lambda d: d.isNotNull()))
+
+    def dated(piece: Column, before: Column) -> Column:
+        word = F.regexp_extract(piece, f"^{CREDIT_WORD}", 0)
+        after = printed_date(F.regexp_replace(F.substring(piece, F.length(word) + 1, F.length(piece)), "^[ ：:]+", ""))
+        year = F.regexp_extract(before, "((?:18|19|20)[0-9]{2}年)$", 1)
+        first = F.when((year != "") & word.rlike("^(?:第一次|首次)"), printed_date(year))
+        return F.when((word != "") & (F.length(before) <= CREDIT_WITHIN) & ~before.rlike(CREDIT_TRANSLATION), F.coalesce(after, first))
+
+    def read(t: Column) -> Column:
+        fits = (F.length(t) <= CREDIT_LONGEST) & t.rlike(CREDIT_BEGINNING)
+        by_word = F.get(candidates(t), F.lit(0))
+        return F.when(fits & t.rlike(CREDIT_DATED), printed_date(t)).when(fits & (~t.rlike("^[0-9]{4}年") | t.rlike(CREDIT_WRITTEN_AT)), by_word)
+
+    return let(without_authors(x), read)
+
+
+def before_notes(content: Column) -> Column:
+    """The elements up to a heading of notes, one at the end of an element included, without definitions of notes."""
+    whole = F.coalesce(content, F.array().cast("array<string>"))
+    clean = lambda e: F.regexp_replace(F.coalesce(e, F.lit("")), r"(?U)^\s+|\s+$", "")
+    stops = F.transform(whole, lambda e, i: F.when(clean(e).rlike(rf"(?U){NOTES_HEADING}"), i).when(clean(e).rlike(rf"(?U){NOTES_HEADING_AT_END}"), i + 1))
+    shown = F.slice(whole, F.lit(1), F.coalesce(F.array_min(stops), F.size(whole)))
+    return F.filter(shown, lambda e: e.isNotNull() & ~e.rlike(DEFINITION_BEGINNING))

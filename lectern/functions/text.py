@@ -149,3 +149,88 @@ def merge_lines(lines: Column, full: int = 60) -> Column:
         return F.when(goes_on, F.array_append(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.concat(last, x))).otherwise(F.array_append(a, x))
 
     return F.aggregate(F.filter(lines, lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"), step)
+
+
+#: Words by which a page leads to other pages, and notices that no text holds.
+PAGE_WORDS = ("home", "index", "next", "previous", "up", "contents", "返回", "主页", "下一页", "上一页")
+PAGE_NOTICES = ("contact us", "last updated", "download:", "jump to", "privacy policy")
+
+
+def short_keep(x: Column, title: Column, notices: tuple[str, ...] = ()) -> Column:
+    """Whether a line is of the text, by the short list: two characters, not the title, no word of pages, none of the notices."""
+    low = F.lower(x)
+    keep = (F.length(x) >= 2) & (x != title) & ~low.isin(*PAGE_WORDS)
+    for word in (*PAGE_NOTICES, *notices):
+        keep = keep & ~F.contains(low, F.lit(word.lower()))
+    return keep
+
+
+def kept_line(x: Column, notices: tuple[str, ...] = ()) -> Column:
+    """Whether a line is of the text, by the long list: no word of pages, arrow or breadcrumb, none of the notices."""
+    low = F.lower(x)
+    keep = (F.length(x) >= 2) & ~low.isin(*PAGE_WORDS, "首页", "目录", "打印") & ~x.isin("->", "- >", "→", ">>", "»") & ~(x.rlike("^(?:->|→|>>) ") & (F.length(x) <= 40))
+    for word in notices:
+        keep = keep & ~F.contains(low, F.lit(word.lower()))
+    return keep
+
+
+def safe_asset(path: Column, folder: str) -> Column:
+    """Whether a path stays inside its folder and names a file."""
+    return F.startswith(path, F.lit(folder)) & ~F.contains(path, F.lit("..")) & ~F.contains(path, F.lit("\\")) & ~F.contains(path, F.lit("//")) & path.rlike("[^/]$")
+
+
+def occurrences(text: Column, needle: Column) -> Column:
+    """Starts of all occurrences, none of which overlaps the one before: prefix sums over the pieces between them."""
+    pieces = F.split(text, F.concat(F.lit(r"\Q"), needle, F.lit(r"\E")), -1)
+    start = F.struct(F.lit(0).alias("past"), F.array().cast("array<int>").alias("starts"))
+    step = lambda a, x: F.struct((a.past + F.length(x) + F.length(needle)).alias("past"), F.array_append(a.starts, a.past + F.length(x)).alias("starts"))
+    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda a: a.starts)
+
+
+def marked_spans(text: Column) -> Column:
+    """(span_start, span_end) of what stands between <b> and </b>, in the text without the marks."""
+    pieces = F.split(text, "</?b>", -1)
+    start = F.struct(F.lit(0).alias("past"), F.array().cast("array<struct<span_start:int,span_end:int>>").alias("spans"))
+    step = lambda a, x: F.struct((a.past + F.length(x)).alias("past"), F.array_append(a.spans, F.struct(a.past.alias("span_start"), (a.past + F.length(x)).alias("span_end"))).alias("spans"))
+    return F.filter(F.aggregate(pieces, start, step, lambda a: a.spans), lambda s, i: i % 2 == 1)
+
+
+def balanced_end(text: Column, start: Column, opening: str = "（", closing: str = "）") -> Column:
+    """Place after the parenthesis that closes the one at ``start``; null if none does."""
+    pieces = F.regexp_extract_all(F.substring(text, start + 1, F.length(text)), F.lit(f"[{opening}{closing}]|[^{opening}{closing}]+"), F.lit(0))
+    begin = F.struct(start.cast("int").alias("at"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("past"))
+
+    def step(a: Column, x: Column) -> Column:
+        at = a.at + F.length(x)
+        depth = a.depth + F.when(x == opening, 1).when(x == closing, -1).otherwise(0)
+        return F.struct(at.alias("at"), depth.alias("depth"), F.when(a.past.isNull() & (depth == 0), at).otherwise(a.past).alias("past"))
+
+    return F.aggregate(pieces, begin, step, lambda a: a.past)
+
+
+def common_prefix(a: Column, b: Column, most: int) -> Column:
+    """Characters that two texts have in common at the beginning, of ``most``."""
+    sizes = F.sequence(F.lit(1), F.lit(most))
+    return F.size(F.filter(sizes, lambda n: (n <= F.least(F.length(a), F.length(b))) & (F.left(a, n) == F.left(b, n))))
+
+
+def length_label(n: Column) -> Column:
+    """A number of characters, from ten thousand on with one decimal in ten thousands."""
+    return F.when(n >= 10_000, F.concat(F.format_string("%d.%d", F.floor(n / 10_000), F.floor(n % 10_000 / 1000)), F.lit(" 万字"))).otherwise(F.concat(n.cast("string"), F.lit(" 字")))
+
+
+def percent(value: Column, completed: Column) -> Column:
+    return F.when(completed, 100.0).otherwise(F.least(F.lit(99.9), value))
+
+
+def squared_distance(x: Column, y: Column) -> Column:
+    return x * x + y * y
+
+
+def normal_url(x: Column) -> Column:
+    """Without the fragment and the parameters of the path; the query stays."""
+    return F.regexp_replace(F.regexp_replace(x, "#.*$", ""), "^([^?;]*);[^?]*", "$1")
+
+
+def url_folder(x: Column) -> Column:
+    return F.regexp_extract(F.regexp_replace(x, "[?#].*$", ""), "^.*/", 0)

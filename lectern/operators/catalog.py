@@ -22,6 +22,12 @@ def title_or_id(rows: DataFrame, titles: DataFrame, key: str, title: str) -> Dat
     return rows.join(titles.select(key, title), key, "left").withColumn(title, F.coalesce(title, key))
 
 
+def in_directory(works: DataFrame, directory: DataFrame) -> DataFrame:
+    """Works (author_id, source_url, …) with their place in the author's directory (author_id, source_url, place), the first of several; null for works it doesn't list."""
+    first = directory.groupBy("author_id", "source_url").agg(F.min("place").alias("place"))
+    return works.join(first, ["author_id", "source_url"], "left")
+
+
 def placed(rows: DataFrame, *order: Column) -> DataFrame:
     """Rows numbered from 1 in the given order, which must be total: sorted by ranges, then numbered in each from the counts of those before.
 

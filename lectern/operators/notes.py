@@ -18,6 +18,10 @@ MARKER = r"[\[［〔【][0-9]{1,4}[a-z]?[\]］〕】]|[①-⑳]"
 _MARKER = re.compile(MARKER)
 _HEADING = re.compile(r"(?:注\s*释|原尾注|尾注|译者注)[：:]?$")
 _FOOTER = re.compile(r"^(?:感谢.*(?:录入|校对)|责任编辑|译自|载于|选自|来源[：:]|录入[：:]|校对[：:])")
+#: What stands before or after a marker that is no reference: another note's citation, a range of pages, a page at the end of a note.
+_CITES = re.compile(r"(?:注|注释)\s*$")
+_PAGES = re.compile(r"\s*(?:页|[－—―–-]\s*[0-9]+页)")
+_DASHES, _STOP = re.compile(r"[―—-]{2}\s*$"), re.compile(r"[。．.]?\s*$")
 _BODY = re.compile(r"^(?:附\s*录|附\s*件|后\s*记|第[一二三四五六七八九十0-9]+[章篇部])")
 
 
@@ -55,7 +59,7 @@ def defined_notes(paragraphs: list[str]) -> list[dict]:
 
 
 def printed_markers(paragraphs: list[str]) -> list[dict]:
-    """Markers inside the text that read as references: no years, page numbers, citations of other notes, or beginnings of definitions."""
+    """Markers inside the text that read as references: no years, page numbers, citations of other notes, pages after a dash at the end, or beginnings of definitions."""
     out = []
     for i, text in enumerate(paragraphs):
         for m in _MARKER.finditer(text):
@@ -63,7 +67,7 @@ def printed_markers(paragraphs: list[str]) -> list[dict]:
             number = re.search("[0-9]+", m[0])
             if not before.strip() or (number and 1000 <= int(number[0]) <= 2099):
                 continue
-            if re.search(r"(?:注|注释)\s*$", before) or re.match(r"\s*(?:页|[－—―–-]\s*[0-9]+页)", after):
+            if _CITES.search(before) or _PAGES.match(after) or (_DASHES.search(before) and _STOP.match(after)):
                 continue
             out.append({"paragraph_index": i, "start": m.start(), "end": m.end(), "marker": m[0]})
     return out
@@ -143,7 +147,3 @@ def first_definitions(rows: DataFrame, key: list[str], ordinal: str) -> DataFram
     """Of definitions with one key the first, as anchors of a page link to it."""
     w = Window.partitionBy(*key).orderBy(ordinal)
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
-
-
-def marks_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({MARKER})"), F.lit(1))

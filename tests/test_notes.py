@@ -48,3 +48,12 @@ def test_supplements(spark):
     rows = [("c", 0, 2, "[12]", h, ["注"]), ("c", 0, 1, "[12]", h, ["注"]), ("c", 0, 3, "[12]", "0", ["注"])]
     ok, refused = N.supplements(spark.createDataFrame(rows, "chapter_id string, paragraph_index int, start int, marker string, paragraph_sha256 string, content array<string>"), para)
     assert [r.start for r in ok.collect()] == [2] and refused.count() == 2
+
+
+def test_pages_at_the_end_of_a_note_are_no_references():
+    assert N.printed_markers(["见该书第一卷——[35]。", "见该书第一卷—— [35]", "见该书——[35]的说法"]) == [{"paragraph_index": 2, "start": 5, "end": 9, "marker": "[35]"}]
+
+
+def test_first_of_several_definitions(spark):
+    rows = spark.createDataFrame([("p", "a", 3, "later"), ("p", "a", 1, "first"), ("p", "b", 2, "only")], "page string, name string, ord int, text string")
+    assert {r.name: r.text for r in N.first_definitions(rows, ["page", "name"], "ord").collect()} == {"a": "first", "b": "only"}
