@@ -72,8 +72,6 @@ def printed_date(x: Column) -> Column:
 
 
 # The forms of credit lines.
-CREDIT_AUTHORS = "马克思|恩格斯|列宁|斯大林|毛泽东"
-CREDIT_FORENAMES = "(?:(?:卡(?:尔)?|弗(?:里德里希)?)[·・．.]?)?"
 CREDIT_WORD = "(?:第一次|首次|最初)?(?:发表(?:于|在)?|刊载于|载于|出版于)"
 CREDIT_BEGINNING = "^(?:写于|作于|(?:第一次|首次|最初)?(?:载于|发表于|发表在|刊载于)|[0-9]{4}年)"
 CREDIT_TRANSLATION = "(?:译成|译文|俄文全文|中译本|译本).{0,20}$"
@@ -86,12 +84,13 @@ DEFINITION_BEGINNING = r"^\s*[\[［〔【][0-9]+[\]］〕】]"
 CREDIT_WITHIN, CREDIT_LONGEST = 90, 500
 
 
-def without_authors(x: Column) -> Column:
-    """A credit line without its author's name in front."""
-    return F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), rf"(?U)^{CREDIT_FORENAMES}(?:{CREDIT_AUTHORS})\s*", "")
+def without_authors(x: Column, names: tuple[str, ...]) -> Column:
+    """A credit line without its author's name in front, which a forename or initial may precede."""
+    t = F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(t, rf"(?U)^(?:[^\s·・．.]{{1,6}}[·・．.])?(?:{'|'.join(names)})\s*", "") if names else t
 
 
-def publication_credit(x: Column) -> Column:
+def publication_credit(x: Column, names: tuple[str, ...] = ()) -> Column:
     """The date of first publication in a credit line; null if the line credits something else, as a translation or the writing.
 
     The line is cut before each of its credit words. A piece counts if the date
@@ -114,7 +113,7 @@ def publication_credit(x: Column) -> Column:
         by_word = F.get(candidates(t), F.lit(0))
         return F.when(fits & t.rlike(CREDIT_DATED), printed_date(t)).when(fits & (~t.rlike("^[0-9]{4}年") | t.rlike(CREDIT_WRITTEN_AT)), by_word)
 
-    return let(without_authors(x), read)
+    return let(without_authors(x, names), read)
 
 
 def before_notes(content: Column) -> Column:

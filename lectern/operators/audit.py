@@ -75,6 +75,7 @@ def chapters(chapters: DataFrame) -> DataFrame:
     repeats = F.size(F.filter(content, lambda x, i: (i > 0) & (x == F.get(content, i - 1)) & (x != "")))
     ids = F.transform(sections, lambda s: s.section_id)
     suspicious = F.size(F.filter(sections, lambda s: X.suspicious_title(s.title).isNotNull()))
+    damaged = F.size(F.filter(sections, lambda s: F.contains(F.coalesce(s.title, F.lit("")), F.lit("�"))))
     outside = F.size(F.filter(sections, lambda s: (s.paragraph_index < 0) | (s.paragraph_index >= F.size(content))))
     text = lambda c: c.cast("string")
     rules = (
@@ -88,6 +89,7 @@ def chapters(chapters: DataFrame) -> DataFrame:
         _finding(structure > 0, "ERROR", "DUPLICATE_STRUCTURE_HEADING", at, text(structure)),
         _finding(repeats > 0, "REVIEW", "CONSECUTIVE_DUPLICATE_PARAGRAPH", at, text(repeats)),
         _finding(F.size(F.array_distinct(ids)) < F.size(ids), "ERROR", "DUPLICATE_SECTION_ID", at),
+        _finding(damaged > 0, "ERROR", "REPLACEMENT_CHARACTER", F.concat(at, F.lit("#sections")), text(damaged)),
         _finding(suspicious > 0, "ERROR", "SUSPICIOUS_SECTION_TITLE", at, text(suspicious)),
         _finding(outside > 0, "ERROR", "SECTION_TARGET_OUT_OF_RANGE", at, text(outside)),
     )
@@ -104,14 +106,17 @@ def footnotes(footnotes: DataFrame, chapters: DataFrame) -> DataFrame:
     inside = lambda r: (r.paragraph_index >= 0) & (r.paragraph_index < F.size("_lengths"))
     off = F.size(F.filter(refs, lambda r: ~inside(r)))
     wrong = F.size(F.filter(refs, lambda r: inside(r) & ((r.start_offset < 0) | (r.end_offset <= r.start_offset) | (r.end_offset > F.get("_lengths", r.paragraph_index)))))
-    return _found(
+    damaged = F.size(F.filter("content", lambda x: F.contains(F.coalesce(x, F.lit("")), F.lit("�"))))
+    found = _found(
         f,
         _finding(_empty("footnote_id"), "ERROR", "MISSING_FOOTNOTE_ID", at),
         _finding(F.size(F.filter(F.coalesce("content", F.array().cast("array<string>")), lambda x: X.trim(F.coalesce(x, F.lit(""))) != "")) == 0, "ERROR", "EMPTY_FOOTNOTE", at),
+        _finding(damaged > 0, "ERROR", "REPLACEMENT_CHARACTER", at, damaged.cast("string")),
         _finding(F.size(refs) == 0, "ERROR", "FOOTNOTE_WITHOUT_REFERENCE", at),
         _finding(off > 0, "ERROR", "FOOTNOTE_PARAGRAPH_OUT_OF_RANGE", at, off.cast("string")),
         _finding(wrong > 0, "ERROR", "FOOTNOTE_OFFSET_OUT_OF_RANGE", at, wrong.cast("string")),
     )
+    return found.unionByName(repeated(footnotes, "footnote_id", "DUPLICATE_FOOTNOTE_ID"))
 
 
 def marker_mismatches(footnotes: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -141,6 +146,7 @@ def catalogue(authors: DataFrame, books: DataFrame, chapters: DataFrame) -> Data
         repeated(books, "book_id", "DUPLICATE_BOOK_ID"),
         repeated(books, "source_url", "DUPLICATE_SOURCE_URL"),
         repeated(chapters, "chapter_id", "DUPLICATE_CHAPTER_ID_GLOBAL"),
+        repeated(chapters.where("book_id is not null").select(F.concat_ws("/", "book_id", F.nullif("chapter_id", F.lit(""))).alias("k"), "chapter_id").where("coalesce(chapter_id, '') <> ''"), "k", "DUPLICATE_CHAPTER_ID_IN_BOOK"),
         say(unknown, "ERROR", "UNKNOWN_AUTHOR", "book_id", F.col("author_id")),
         say(empty, "ERROR", "NO_CHAPTERS", "book_id"),
         say(restricted, "ERROR", "RESTRICTED_RIGHTS_BODY", "book_id"),

@@ -123,16 +123,19 @@ def _(t: Tables) -> DataFrame:
     return R.substitute(d, records, "doc_id").select("doc_id", "outcome", F.md5("text").alias("digest"))
 
 
-@query("j26_line_differences")
+_NAV = f"(regexp_matches(x, '^(?:(?:上一篇|下一篇|回目录|返回目录|上一页|下一页|目录){_S}*[（(]?[^）)]{{0,30}}[）)]?{_S}*)+$') OR (contains(x, '回目录') AND length(x) <= 60))"
+
+
+@query(
+    "j26_line_differences",
+    CHAPTERS + f", l AS (SELECT chapter_id AS key, unnest(content) AS x, generate_subscripts(content, 1) - 1 AS i FROM chap), m AS (SELECT *, coalesce({_NAV}, false) AS gone FROM l), n AS (SELECT *, sum(CASE WHEN gone THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY i) AS kept FROM m) SELECT key, 'delete' AS op, CAST(min(i) AS INTEGER) AS a_from, CAST(max(i) + 1 AS INTEGER) AS a_to, CAST(kept AS INTEGER) AS b_from, CAST(kept AS INTEGER) AS b_to FROM n WHERE gone GROUP BY key, kept",
+)
 def _(t: Tables) -> DataFrame:
     """Chapters against themselves without navigation lines: where lines were deleted."""
     a = _texts(t).select(F.col("chapter_id").alias("key"), F.col("content").alias("a"), F.filter("content", lambda x: ~navigation_line(x)).alias("b"))
     return R.line_differences(a)
 
 
-_NAV = f"(regexp_matches(x, '^(?:(?:上一篇|下一篇|回目录|返回目录|上一页|下一页|目录){_S}*[（(]?[^）)]{{0,30}}[）)]?{_S}*)+$') OR (contains(x, '回目录') AND length(x) <= 60))"
-
-
 @query(
     "x0_missing_blocks",
     CHAPTERS + f""", b AS (SELECT DISTINCT chapter_id, unnest(content) AS block FROM chapters WHERE chapter_id IS NOT NULL),

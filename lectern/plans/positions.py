@@ -52,18 +52,21 @@ def _(t: Tables) -> DataFrame:
     _OFFSETS + _SESSIONS + """, pos AS (SELECT id, book_id, end_chapter_id, greatest(coalesce(end_paragraph_index, 0), 0) AS p FROM once),
 sizes AS (SELECT chapter_id, list_transform(content, lambda x: coalesce(length(x), 0)) AS ls FROM chap)
 SELECT id, CAST(start + coalesce(list_sum(ls[1:least(p, len(ls))]), 0) AS BIGINT) AS position, round(least(1.0, CASE WHEN book_length > 0 THEN (start + coalesce(list_sum(ls[1:least(p, len(ls))]), 0)) / book_length ELSE 0 END), 6) AS fraction
-FROM pos JOIN offs ON offs.book_id = pos.book_id AND offs.chapter_id = pos.end_chapter_id JOIN sizes ON sizes.chapter_id = pos.end_chapter_id""",
+FROM (SELECT id, p, coalesce(o.chapter_id, f.chapter_id) AS chapter_id FROM pos LEFT JOIN offs o ON o.book_id = pos.book_id AND o.chapter_id = pos.end_chapter_id LEFT JOIN offs f ON f.book_id = pos.book_id AND f.place = 0) JOIN offs USING (chapter_id) JOIN sizes USING (chapter_id)""",
 )
 def _(t: Tables) -> DataFrame:
-    """Absolute position and fraction of each session's end; an index past the chapter is clamped to its end."""
+    """Absolute position and fraction of each session's end; an index past the chapter is clamped to its end, an unknown chapter counts as the book's first one."""
     # the chapters' lengths, used for places in books and in chapters: written once, so texts are read once
     c = cut_lineage(_chapters(t, "book_id", "chapter_ord", P.element_lengths().alias("ls")))
     total = F.aggregate("ls", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    offs = P.chapter_offsets(c.withColumn("length", total)).select("book_id", F.col("chapter_id").alias("end_chapter_id"), "start", "book_length")
+    offs = cut_lineage(P.chapter_offsets(c.withColumn("length", total)).select("book_id", F.col("chapter_id").alias("end_chapter_id"), "place", "start", "book_length"))
+    first = offs.where("place = 0").select("book_id", F.col("end_chapter_id").alias("first_chapter_id"))
+    own = offs.select("book_id", "end_chapter_id").withColumn("known", F.lit(True))
     sizes = c.select(F.col("chapter_id").alias("end_chapter_id"), "ls")
     s = R.distinct_sessions(t.reading_sessions).select("id", "book_id", "end_chapter_id", F.greatest(F.coalesce("end_paragraph_index", F.lit(0)), F.lit(0)).alias("p"))
     inside = F.aggregate(F.slice("ls", F.lit(1), F.least(F.col("p"), F.size("ls"))), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    at = s.join(offs, ["book_id", "end_chapter_id"]).join(sizes, "end_chapter_id").select("id", (F.col("start") + inside).alias("position"), "book_length")
+    ends = s.join(own, ["book_id", "end_chapter_id"], "left").join(first, "book_id", "left").withColumn("end_chapter_id", F.when(F.col("known"), F.col("end_chapter_id")).otherwise(F.col("first_chapter_id"))).select("id", "p", "end_chapter_id")
+    at = ends.join(offs, "end_chapter_id").join(sizes, "end_chapter_id").select("id", (F.col("start") + inside).alias("position"), "book_length")
     return at.select("id", "position", F.round(F.least(F.lit(1.0), F.when(F.col("book_length") > 0, F.col("position") / F.col("book_length")).otherwise(0.0)), 6).alias("fraction"))
 
 

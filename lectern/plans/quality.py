@@ -12,8 +12,8 @@ from lectern.operators import catalog as C
 from lectern.operators import positions as P
 from lectern.plans.catalogue import BOOKS
 from lectern.plans.positions import CHAPTERS
-from lectern.plans.texts import _S
-from lectern.registry import Tables, query
+from lectern.plans.texts import _S, _TITLE, SUSPICIOUS
+from lectern.registry import ORACLES, Tables, query
 from lectern.session import cut_lineage
 
 
@@ -67,13 +67,14 @@ _CHAPTER_RULES = " UNION ALL ".join(
         ("structures > 0", "ERROR", "DUPLICATE_STRUCTURE_HEADING", "chapter_id", "CAST(structures AS VARCHAR)"),
         ("repeats > 0", "REVIEW", "CONSECUTIVE_DUPLICATE_PARAGRAPH", "chapter_id", "CAST(repeats AS VARCHAR)"),
         ("len(list_distinct(ids)) < len(ids)", "ERROR", "DUPLICATE_SECTION_ID", "chapter_id"),
+        ("damaged > 0", "ERROR", "REPLACEMENT_CHARACTER", "chapter_id || '#sections'", "CAST(damaged AS VARCHAR)"),
         ("outside > 0", "ERROR", "SECTION_TARGET_OUT_OF_RANGE", "chapter_id", "CAST(outside AS VARCHAR)"),
     )
 )
 _CHAPTER_FACTS = f""", r AS (SELECT chapter_id, title, array_to_string(content, chr(10)) AS body,
  len(list_filter(content, lambda x: {_trimmed('x')} = '')) AS empties, len(list_filter(content, lambda x: {_NAV})) AS navs,
  len(list_filter(content, lambda x, i: regexp_matches(x, '^第[一二三四五六七八九十百0-9]+(?:卷|篇|章|节|部)[\\s\\x{{3000}}]') AND length(x) <= 32 AND (i <= 4 OR regexp_replace(x, '{_S}+', '', 'g') = regexp_replace(coalesce(title, ''), '{_S}+', '', 'g')))) AS structures,
- len(list_filter(content, lambda x, i: i > 1 AND x = content[i - 1] AND x <> '')) AS repeats, list_transform(sections, lambda s: s.section_id) AS ids,
+ len(list_filter(content, lambda x, i: i > 1 AND x = content[i - 1] AND x <> '')) AS repeats, list_transform(sections, lambda s: s.section_id) AS ids, len(list_filter(sections, lambda s: contains(coalesce(s.title, ''), chr(65533)))) AS damaged,
  len(list_filter(sections, lambda s: s.paragraph_index < 0 OR s.paragraph_index >= len(content))) AS outside FROM chap) """
 
 
@@ -84,11 +85,12 @@ def _(t: Tables) -> DataFrame:
 
 
 _FOOTNOTES = "fn AS (SELECT DISTINCT footnote_id, book_id, chapter_id, marker, content, refs FROM footnotes)"
-_FOOTNOTE_FACTS = f", {_FOOTNOTES}, r AS (SELECT footnote_id, f.content, refs, len(list_filter(f.content, lambda x: {_trimmed('x')} <> '')) AS kept, len(list_filter(refs, lambda q: q.paragraph_index < 0 OR q.paragraph_index >= coalesce(len(c.content), 0))) AS off, len(list_filter(refs, lambda q: q.paragraph_index >= 0 AND q.paragraph_index < coalesce(len(c.content), 0) AND (q.start_offset < 0 OR q.end_offset <= q.start_offset OR q.end_offset > length(c.content[q.paragraph_index + 1])))) AS wrong FROM fn f LEFT JOIN chap c USING (chapter_id)) "
+_FOOTNOTE_FACTS = f", {_FOOTNOTES}, r AS (SELECT footnote_id, f.content, refs, len(list_filter(f.content, lambda x: {_trimmed('x')} <> '')) AS kept, len(list_filter(f.content, lambda x: contains(coalesce(x, ''), chr(65533)))) AS damaged, len(list_filter(refs, lambda q: q.paragraph_index < 0 OR q.paragraph_index >= coalesce(len(c.content), 0))) AS off, len(list_filter(refs, lambda q: q.paragraph_index >= 0 AND q.paragraph_index < coalesce(len(c.content), 0) AND (q.start_offset < 0 OR q.end_offset <= q.start_offset OR q.end_offset > length(c.content[q.paragraph_index + 1])))) AS wrong FROM fn f LEFT JOIN chap c USING (chapter_id)) "
 _FOOTNOTE_RULES = " UNION ALL ".join(
     _rule(*x)
     for x in (
         ("coalesce(kept, 0) = 0", "ERROR", "EMPTY_FOOTNOTE", "footnote_id"),
+        ("damaged > 0", "ERROR", "REPLACEMENT_CHARACTER", "footnote_id", "CAST(damaged AS VARCHAR)"),
         ("coalesce(len(refs), 0) = 0", "ERROR", "FOOTNOTE_WITHOUT_REFERENCE", "footnote_id"),
         ("off > 0", "ERROR", "FOOTNOTE_PARAGRAPH_OUT_OF_RANGE", "footnote_id", "CAST(off AS VARCHAR)"),
         ("wrong > 0", "ERROR", "FOOTNOTE_OFFSET_OUT_OF_RANGE", "footnote_id", "CAST(wrong AS VARCHAR)"),
@@ -100,7 +102,7 @@ def _footnotes(t: Tables) -> DataFrame:
     return t.footnotes.select("footnote_id", "book_id", "chapter_id", "marker", "content", "refs").distinct()
 
 
-@query("audit_footnotes", CHAPTERS + _FOOTNOTE_FACTS + _FOOTNOTE_RULES)
+@query("audit_footnotes", CHAPTERS + _FOOTNOTE_FACTS + _FOOTNOTE_RULES + " UNION ALL SELECT 'ERROR', 'DUPLICATE_FOOTNOTE_ID', footnote_id, CAST(count(*) AS VARCHAR) FROM fn WHERE coalesce(footnote_id, '') <> '' GROUP BY footnote_id HAVING count(*) > 1")
 def _(t: Tables) -> DataFrame:
     return A.footnotes(_footnotes(t), P.latest_chapters(t.chapters, P.element_lengths().alias("lengths")))
 
@@ -114,7 +116,8 @@ def _(t: Tables) -> DataFrame:
     "audit_catalogue",
     CHAPTERS + f""", {BOOKS}, rep AS (
  SELECT 'DUPLICATE_AUTHOR_ID' AS code, author_id AS k, count(*) AS n FROM authors GROUP BY author_id UNION ALL SELECT 'DUPLICATE_BOOK_ID', book_id, count(*) FROM books GROUP BY book_id
- UNION ALL SELECT 'DUPLICATE_SOURCE_URL', source_url, count(*) FROM books GROUP BY source_url UNION ALL SELECT 'DUPLICATE_CHAPTER_ID_GLOBAL', chapter_id, count(*) FROM chapters GROUP BY chapter_id)
+ UNION ALL SELECT 'DUPLICATE_SOURCE_URL', source_url, count(*) FROM books GROUP BY source_url UNION ALL SELECT 'DUPLICATE_CHAPTER_ID_GLOBAL', chapter_id, count(*) FROM chapters GROUP BY chapter_id
+ UNION ALL SELECT 'DUPLICATE_CHAPTER_ID_IN_BOOK', book_id || '/' || chapter_id, count(*) FROM chapters WHERE coalesce(chapter_id, '') <> '' GROUP BY ALL)
 SELECT 'ERROR' AS severity, code, k AS location, CAST(n AS VARCHAR) AS message FROM rep WHERE n > 1 AND coalesce(k, '') <> ''
 UNION ALL SELECT 'ERROR', 'UNKNOWN_AUTHOR', book_id, a FROM (SELECT DISTINCT book_id, unnest(author_ids) AS a FROM books) WHERE a NOT IN (SELECT author_id FROM authors)
 UNION ALL SELECT 'ERROR', 'NO_CHAPTERS', book_id, '' FROM books WHERE book_id NOT IN (SELECT book_id FROM chapters WHERE book_id IS NOT NULL)
@@ -126,7 +129,11 @@ def _(t: Tables) -> DataFrame:
     return A.catalogue(t.authors, t.books, t.chapters)
 
 
-@query("audit_counts")
+_SUSPICIOUS = CHAPTERS + f", s AS (SELECT chapter_id, unnest(sections).title AS title FROM chap), t AS (SELECT chapter_id, {_TITLE} AS t FROM s) SELECT DISTINCT 'ERROR' AS severity, 'SUSPICIOUS_SECTION_TITLE' AS code, chapter_id AS location FROM t WHERE {SUSPICIOUS} IS NOT NULL"
+_PARTS = " UNION ALL ".join(f"SELECT severity, code FROM ({sql})" for sql in (*(ORACLES[f"audit_{n}"] for n in ("books", "chapters", "footnotes", "catalogue")), _SUSPICIOUS))
+
+
+@query("audit_counts", f"SELECT severity, code, count(*) AS n FROM ({_PARTS}) GROUP BY severity, code")
 def _(t: Tables) -> DataFrame:
     """All findings by code."""
     lengths = P.latest_chapters(t.chapters, P.element_lengths().alias("lengths"))

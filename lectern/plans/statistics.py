@@ -157,9 +157,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("s7_point_lookup", "SELECT DISTINCT id, book_id, started_at, active_millis FROM reading_sessions WHERE book_id = (SELECT max(book_id) FROM books) AND active_millis > 0")
 def _(t: Tables) -> DataFrame:
-    """An equality on a key and a range, both pushed to the scan; the key is read first."""
-    key = t.books.agg(F.max("book_id")).first()[0]
-    return t.reading_sessions.where((F.col("book_id") == key) & (F.col("active_millis") > 0)).select("id", "book_id", "started_at", "active_millis").distinct()
+    """An equality on a key, which a row of another table names, and a range, which is pushed to the scan."""
+    key = t.books.agg(F.max("book_id").alias("book_id"))
+    return t.reading_sessions.where("active_millis > 0").join(key, "book_id", "left_semi").select("id", "book_id", "started_at", "active_millis").distinct()
 
 
 @query("s6_sessions_of_letters", "SELECT DISTINCT s.id, s.book_id FROM reading_sessions s WHERE s.book_id IN (SELECT book_id FROM books WHERE category = '书信')")

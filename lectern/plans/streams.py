@@ -64,6 +64,15 @@ def _(t: Tables) -> DataFrame:
     return _events(t).join(t.customer, F.col("c_custkey") == F.col("user_id")).groupBy(F.col("c_mktsegment").alias("segment"), "event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
+@query("t10_stream_joined", "SELECT event_id, c_mktsegment AS segment FROM (SELECT DISTINCT event_id, user_id FROM events) e JOIN customer ON c_custkey = user_id")
+def _(t: Tables) -> DataFrame:
+    """The events as a stream, each once, joined with a table, into a table."""
+    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    stream = R.once_each(R.event_stream(t.spark, f"{t.folder}/events.parquet*"))
+    joined = stream.join(t.customer.select("c_custkey", F.col("c_mktsegment").alias("segment")), F.col("c_custkey") == F.col("user_id")).select("event_id", "segment")
+    return R.run_to_table(joined, f"{folder}/table", f"{folder}/progress")
+
+
 @query("t_stream_tumbling", "SELECT date_trunc('hour', ts) AS started, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
 def _(t: Tables) -> DataFrame:
     """The tumbling windows run as a stream into a table: those that the watermark has closed."""

@@ -79,19 +79,52 @@ def _(t: Tables) -> DataFrame:
     return d.select("book_id", D.date_order(F.col("d")).alias("date_order"), D.date_label(F.col("d")).alias("label"))
 
 
-@query("f21_printed_dates")
-def _(t: Tables) -> DataFrame:
-    """Dates that elements begin with; the grammar with its rollovers is tested by hand."""
-    found = _elements(t, lambda x: x.rlike("^[(（]?(?:18|19|20)[0-9]{2}"), d=lambda x: D.printed_date(F.regexp_replace(x, "^[(（]", "")))
-    return found.where("d is not null").select("chapter_id", "paragraph_index", "d.*")
+_DATED = "WITH " + BOOKS + ", p AS (SELECT book_id, CAST(publication_date AS DATE) AS d FROM bk WHERE regexp_full_match(publication_date, '(18|19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}') AND try_cast(publication_date AS DATE) IS NOT NULL)"
+
+
+def _dated(t: Tables) -> DataFrame:
+    """(book_id, d, y, m, n): books with a whole date, its year, month and day."""
+    b = C.distinct_books(t.books).where(F.col("publication_date").rlike("^(18|19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}$")).select("book_id", F.try_to_date("publication_date", "yyyy-MM-dd").alias("d")).where("d is not null")
+    return b.select("book_id", "d", F.year("d").alias("y"), F.month("d").alias("m"), F.day("d").alias("n"))
 
 
-@query("f23_publication")
+@query("f21_printed_dates", _DATED + " SELECT book_id, 'whole' AS form, strftime(d, '%Y-%m-%d') AS date_start, '' AS date_end, '' AS note FROM p UNION ALL SELECT book_id, 'month', strftime(d, '%Y-%m'), '', '' FROM p UNION ALL SELECT book_id, 'styles', strftime(d + INTERVAL 13 DAY, '%Y-%m-%d'), '', 'new style' FROM p UNION ALL SELECT book_id, 'days', strftime(d, '%Y-%m-%d'), '', 'first of several' FROM p UNION ALL SELECT book_id, 'years', CAST(year(d) AS VARCHAR), CAST(year(d) + 1 AS VARCHAR), 'range of years' FROM p")
 def _(t: Tables) -> DataFrame:
-    """the least publication date in the credit lines of books of one chapter."""
-    single = _chapters(t, "book_id").groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), F.min("chapter_id").alias("chapter_id")).where("n = 1").select("book_id", "chapter_id")
-    lines = _elements(t, lambda x: D.publication_credit(x).isNotNull(), text=lambda x: x, d=D.publication_credit)
-    credit = lines.join(single, "chapter_id").select("book_id", "text", "d")
+    """printed lines made of the dates of books, in each form that a line may have, read back; impossible dates are none."""
+    day = lambda d: F.format_string("%d月%d日", F.month(d), F.day(d))
+    new = F.date_add("d", 13)
+    forms = {
+        "whole": F.concat("y", F.lit("年"), day("d"), F.lit("载于报纸")), "month": F.concat("y", F.lit("年"), "m", F.lit("月")), "styles": F.concat("y", F.lit("年"), day("d"), F.lit("（"), day(new), F.lit("）")),
+        "days": F.concat("y", F.lit("年"), "m", F.lit("月"), "n", F.lit("、"), F.col("n") + 1, F.lit("日")), "years": F.concat("y", F.lit("―"), F.col("y") + 1, F.lit("年“时报”")), "none": F.concat("y", F.lit("年13月")),
+    }
+    lines = _dated(t).select("book_id", F.explode(F.array(*(F.struct(F.lit(n).alias("form"), c.alias("line")) for n, c in forms.items()))).alias("l")).select("book_id", "l.*")
+    return lines.select("book_id", "form", D.printed_date(F.col("line")).alias("d")).where("d is not null").select("book_id", "form", "d.*")
+
+
+@query("f22_credits", _DATED + " SELECT book_id, 'first' AS form, CAST(year(d) + 1 AS VARCHAR) AS date_start FROM p UNION ALL SELECT book_id, 'after', strftime(d, '%Y-%m-%d') FROM p UNION ALL SELECT book_id, 'before', CAST(year(d) + 2 AS VARCHAR) FROM p UNION ALL SELECT book_id, 'named', strftime(d, '%Y-%m-%d') FROM p UNION ALL SELECT book_id, 'second', strftime(d, '%Y-%m-%d') FROM p")
+def _(t: Tables) -> DataFrame:
+    """Credit lines made of the dates of books: the word before the date, the year before the word, a name in front, a translation first; writings and prose credit nothing."""
+    whole = F.concat("y", F.lit("年"), F.format_string("%d月%d日", "m", "n"))
+    later = lambda k: F.concat(F.col("y") + k, F.lit("年"))
+    forms = {
+        "first": F.concat(later(1), F.lit("第一次发表")), "after": F.concat(F.lit("写于"), later(-1), F.lit("载于"), whole, F.lit("“时报”第3号")), "before": F.concat(F.lit("写于"), later(0), F.lit("6月"), later(2), F.lit("第一次载于“文集”第3卷")),
+        "named": F.concat(F.lit("弗・兰卡写于"), later(0), F.lit("载于"), whole, F.lit("“论坛报”")), "second": F.concat(F.lit("写于"), later(0), F.lit("，俄译文第一次发表于"), later(9), F.lit("某地出版的一本杂志上，原文后来才载于"), whole),
+        "none": F.concat(F.lit("写于"), later(0), F.lit("6月")), "prose": F.concat(later(0), F.lit("春，书店出版了译本。")), "translated": F.concat(F.lit("俄译文第一次发表于"), later(0)),
+    }
+    lines = _dated(t).select("book_id", F.explode(F.array(*(F.struct(F.lit(n).alias("form"), c.alias("line")) for n, c in forms.items()))).alias("l")).select("book_id", "l.*")
+    return lines.select("book_id", "form", D.publication_credit(F.col("line"), ("兰卡",)).alias("d")).where("d is not null").select("book_id", "form", "d.date_start")
+
+
+@query("f23_publication", _DATED + ", one AS (SELECT book_id FROM chapters WHERE chapter_id IS NOT NULL AND content IS NOT NULL GROUP BY book_id HAVING count(DISTINCT chapter_id) = 1) SELECT book_id, CAST(year(d) AS VARCHAR) AS date_start, '' AS date_end, '载于' || year(d) || '年“时报”' AS basis FROM p JOIN one USING (book_id)")
+def _(t: Tables) -> DataFrame:
+    """the least publication date in the credit lines of books of one chapter, before its notes; the lines are set at the end of the books' texts."""
+    single = P.latest_chapters(t.chapters.where("content is not null"), "book_id").groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), F.min("chapter_id").alias("chapter_id")).where("n = 1").select("book_id", "chapter_id")
+    printed = lambda k: F.concat(F.lit("载于"), F.col("y") + k, F.lit("年“时报”"))
+    tail = F.array(printed(3), printed(0), F.concat(F.lit("[1]"), printed(-5)), F.lit("注释："), printed(-9))
+    added = _dated(t).join(single, "book_id").select("chapter_id", "book_id", tail.alias("tail"))
+    whole = P.latest_texts(t.chapters, "content").join(added, "chapter_id")
+    lines = whole.select("book_id", F.explode(D.before_notes(F.concat(F.coalesce("content", F.array().cast("array<string>")), "tail"))).alias("text"))
+    credit = lines.select("book_id", "text", D.publication_credit(F.col("text")).alias("d")).where("d is not null")
     return credit.groupBy("book_id").agg(F.min_by(F.struct("d.date_start", "d.date_end", F.col("text").alias("basis")), F.struct("d.date_start", "text")).alias("x")).select("book_id", "x.*")
 
 
@@ -129,11 +162,22 @@ def _(t: Tables) -> DataFrame:
     return _elements(t, lambda x: ~x.rlike("^[0-9]"), level=X.heading_level).where("level is not null")
 
 
-@query("filter_suspicious_titles")
+_TITLE = f"trim(regexp_replace(title, '{_S}+', ' ', 'g'))"
+_DIGITS = "length(regexp_replace(t, '[^0-9]', '', 'g'))"
+SUSPICIOUS = (
+    "CASE WHEN t = '' THEN 'empty title' WHEN regexp_matches(t, '^[（(][0-9]{1,4}[）)]$') OR regexp_matches(t, '(?:^|[0-9][、．。.] *)(?:(?:18|19|20)[0-9]{2}年)?[0-9]{1,2}月[0-9]{1,2}日') OR regexp_matches(t, '(?:^|[0-9][、．。.] *)(?:18|19|20)[0-9]{2}年') OR regexp_matches(t, '^[0-9]{1,3} +[^0-9]') THEN NULL "
+    + f"WHEN {_DIGITS} > 0 AND regexp_matches(t, '^[0-9 .,，、:：;%％+\\-−—–/()（）]+$') THEN 'numeric-only title' WHEN regexp_matches(t, '^[0-9]') AND len(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)?')) >= 2 AND {_DIGITS} / greatest(length(t), 1) >= 0.35 AND NOT regexp_matches(t, '^[0-9]{{1,2}}[、．。)] *[^0-9]') THEN 'probable table row' END"
+)
+
+
+@query("filter_suspicious_titles", CHAPTERS + f", s AS (SELECT chapter_id, unnest(sections) AS s FROM chap), forms AS (SELECT chapter_id, s.section_id AS section_id, unnest([s.title, s.paragraph_index || ' | ' || length(s.title) || ' | 3.5', s.paragraph_index || '', '  ', s.paragraph_index || '、' || s.title, '（' || s.paragraph_index || '）']) AS title, generate_subscripts([1, 2, 3, 4, 5, 6], 1) AS form FROM s), t AS (SELECT *, {_TITLE} AS t FROM forms) SELECT chapter_id, section_id, CAST(form AS INTEGER) AS form, {SUSPICIOUS} AS reason FROM t WHERE reason IS NOT NULL")
 def _(t: Tables) -> DataFrame:
-    """Section titles that are probably data, with the reason."""
-    s = _chapters(t).select("chapter_id", F.inline("sections"))
-    return s.select("chapter_id", "section_id", X.suspicious_title(F.col("title")).alias("reason")).where("reason is not null")
+    """Titles that are probably data, with the reason: those of sections, and as titles of sections hold few such, rows and numbers made of their places."""
+    s = _chapters(t, "sections").select("chapter_id", F.inline("sections"))
+    at = F.col("paragraph_index").cast("string")
+    forms = (F.col("title"), F.concat(at, F.lit(" | "), F.length("title"), F.lit(" | 3.5")), at, F.lit("  "), F.concat(at, F.lit("、"), "title"), F.concat(F.lit("（"), at, F.lit("）")))
+    titles = s.select("chapter_id", "section_id", F.posexplode(F.array(*forms)).alias("form", "title"))
+    return titles.select("chapter_id", "section_id", (F.col("form") + 1).alias("form"), X.suspicious_title(F.col("title")).alias("reason")).where("reason is not null")
 
 
 @query("filter_copyright_pages", _PAR + "SELECT chapter_id, count(*) AS lines FROM par WHERE regexp_matches(lower(text), '(?:copyright|版权所有|©)\\s*(?:19|20)[0-9]{2}|保留所有权利') GROUP BY chapter_id")
@@ -143,11 +187,11 @@ def _(t: Tables) -> DataFrame:
     return _chapters(t, F.size(found).cast("bigint").alias("lines")).where("lines > 0")
 
 
-@query("filter_valid_references", "WITH f AS (SELECT footnote_id, chapter_id, list_filter(refs, lambda r: r.start_offset >= 0 AND r.end_offset > r.start_offset) AS ok, len(content) AS n FROM (SELECT DISTINCT footnote_id, chapter_id, refs, content FROM footnotes)) SELECT footnote_id, CAST(len(ok) AS INTEGER) AS refs FROM f WHERE len(ok) > 0 OR n > 0")
+@query("filter_valid_references", CHAPTERS + ", f AS (SELECT footnote_id, list_filter(refs, lambda r: r.start_offset >= 0 AND r.end_offset > r.start_offset AND r.paragraph_index >= 0 AND r.paragraph_index < coalesce(len(c.content), 0) AND r.end_offset <= coalesce(length(c.content[r.paragraph_index + 1]), 0)) AS ok, len(f.content) AS n FROM (SELECT DISTINCT footnote_id, chapter_id, refs, content FROM footnotes) f LEFT JOIN chap c USING (chapter_id)) SELECT footnote_id, CAST(len(ok) AS INTEGER) AS refs FROM f WHERE len(ok) > 0 OR n > 0")
 def _(t: Tables) -> DataFrame:
-    """References with a valid range; notes left without references and content drop."""
-    f = t.footnotes.select("footnote_id", "chapter_id", "refs", "content").distinct()
-    ok = F.filter("refs", lambda r: (r.start_offset >= 0) & (r.end_offset > r.start_offset))
+    """References with a range within their paragraph; notes left without references and content drop."""
+    f = t.footnotes.select("footnote_id", "chapter_id", "refs", "content").distinct().join(_chapters(t, P.element_lengths().alias("ls")), "chapter_id", "left")
+    ok = F.filter("refs", lambda r: (r.start_offset >= 0) & (r.end_offset > r.start_offset) & (r.paragraph_index >= 0) & (r.end_offset <= F.coalesce(F.get("ls", r.paragraph_index), F.lit(0))))
     return f.select("footnote_id", F.size(ok).alias("refs"), F.size("content").alias("n")).where("refs > 0 or n > 0").drop("n")
 
 
@@ -170,14 +214,29 @@ def _(t: Tables) -> DataFrame:
     return counts.where("private_use > 0 or replacement > 0")
 
 
-@query("w6_merged_lines")
+_MERGED = CHAPTERS.replace("WITH chap", "WITH RECURSIVE chap") + """, l AS (SELECT chapter_id, list_filter(content, lambda x: x IS NOT NULL AND x <> '') AS ls FROM chap WHERE content IS NOT NULL),
+ r AS (SELECT chapter_id, ls, 1 AS k, ls[1] AS last, 1 AS n FROM l WHERE len(ls) > 0
+  UNION ALL SELECT chapter_id, ls, k + 1, CASE WHEN length(last) >= 60 AND NOT regexp_matches(last, '[。！？!?”」』：:]$') THEN last || ls[k + 1] ELSE ls[k + 1] END, CASE WHEN length(last) >= 60 AND NOT regexp_matches(last, '[。！？!?”」』：:]$') THEN n ELSE n + 1 END FROM r WHERE k < len(ls))
+SELECT chapter_id, CAST(n AS INTEGER) AS lines, CAST(list_sum(list_transform(ls, lambda x: length(x))) AS BIGINT) AS characters FROM r WHERE k = len(ls)
+UNION ALL SELECT chapter_id, 0, 0 FROM l WHERE len(ls) = 0"""
+
+
+@query("w6_merged_lines", _MERGED)
 def _(t: Tables) -> DataFrame:
     """Broken lines joined by a fold inside each chapter's row."""
     merged = t.chapters.select("chapter_id", "fetched_at", X.merge_lines(F.col("content")).alias("lines"))
     return P.latest_chapters(merged, F.size("lines").alias("lines"), F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("characters"))
 
 
-@query("w7_sentence_packs")
+_PACKS = """WITH RECURSIVE d AS (SELECT doc_id, text, list_filter(list_transform(regexp_extract_all(text, '(?s)(?:.+?(?:[。！？]|[.!?]\\s+)|.+$)'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS p FROM documents WHERE length(text) > 2800),
+ r AS (SELECT doc_id, p, 1 AS k, 0 AS pack, p[1] AS cur, CAST(NULL AS BIGINT) AS done FROM d WHERE len(p) > 0
+  UNION ALL SELECT doc_id, p, k + 1, CASE WHEN length(cur) + length(p[k + 1]) > 1400 THEN pack + 1 ELSE pack END, CASE WHEN length(cur) + length(p[k + 1]) > 1400 THEN p[k + 1] ELSE cur || CASE WHEN ascii(right(cur, 1)) < 128 THEN ' ' ELSE '' END || p[k + 1] END, CASE WHEN length(cur) + length(p[k + 1]) > 1400 THEN length(cur) END FROM r WHERE k < len(p))
+SELECT doc_id, 0 AS pack, CAST(length(text) AS INTEGER) AS length FROM documents WHERE length(text) <= 2800
+UNION ALL SELECT doc_id, CAST(pack - 1 AS INTEGER), CAST(done AS INTEGER) FROM r WHERE done IS NOT NULL
+UNION ALL SELECT doc_id, CAST(pack AS INTEGER), CAST(length(cur) AS INTEGER) FROM r WHERE k = len(p)"""
+
+
+@query("w7_sentence_packs", _PACKS)
 def _(t: Tables) -> DataFrame:
     packs = t.documents.where("text is not null").select("doc_id", F.posexplode(X.pack_sentences(F.col("text"))).alias("pack", "piece"))
     return packs.select("doc_id", "pack", F.length("piece").alias("length"))
