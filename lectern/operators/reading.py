@@ -20,8 +20,8 @@ def book_rank(sessions: DataFrame) -> DataFrame:
     )
 
 
-def split_at_midnight(sessions: DataFrame, zone: str = "UTC") -> DataFrame:
-    """(id, book_id, day, millis): active time by local day, in proportion to wall time.
+def split_at_midnight(sessions: DataFrame, zone: str = "UTC", *keep: str) -> DataFrame:
+    """(id, book_id, day, millis, keep and with it nth, the part's number): active time by local day, in proportion to wall time.
 
     A session ends at least one millisecond after its start; shares are rounded
     half up and the last day takes what is left, so they add up. Midnights come
@@ -29,7 +29,7 @@ def split_at_midnight(sessions: DataFrame, zone: str = "UTC") -> DataFrame:
     active time, start or end have no days. A session's shares are taken in its
     own row.
     """
-    s = sessions.where("active_millis > 0 and started_at is not null and ended_at is not null").select("id", "book_id", "active_millis", F.col("started_at").alias("s"), F.greatest("ended_at", F.col("started_at") + 1).alias("e"))
+    s = sessions.where("active_millis > 0 and started_at is not null and ended_at is not null").select("id", "book_id", "active_millis", *keep, F.col("started_at").alias("s"), F.greatest("ended_at", F.col("started_at") + 1).alias("e"))
     local = lambda ms: F.to_date(F.from_utc_timestamp(F.timestamp_millis(ms), zone))
     midnight = lambda day: F.unix_millis(F.to_utc_timestamp(day.cast("timestamp"), zone))
     days = s.withColumn("days", F.sequence(local(F.col("s")), local(F.col("e") - 1)))
@@ -39,7 +39,10 @@ def split_at_midnight(sessions: DataFrame, zone: str = "UTC") -> DataFrame:
     rest = F.col("active_millis") - F.aggregate("before", F.lit(0).cast("bigint"), lambda a, x: a + x.millis)
     split = days.withColumn("before", F.transform(earlier, lambda day: F.struct(day.alias("day"), share(day).alias("millis"))))
     last = F.struct(F.try_element_at("days", F.lit(-1)).alias("day"), rest.alias("millis"))
-    return split.select("id", "book_id", F.inline(F.array_append("before", last)))
+    parts = F.array_append("before", last)
+    if keep:
+        return split.select("id", "book_id", *keep, F.posexplode(parts).alias("nth", "part")).select("id", "book_id", *keep, "nth", "part.*")
+    return split.select("id", "book_id", F.inline(parts))
 
 
 def daily_totals(split: DataFrame) -> DataFrame:
@@ -64,6 +67,27 @@ def current_streak(streaks: DataFrame, today: Column) -> DataFrame:
     return streaks.where((F.col("last_day") == today) | (F.col("last_day") == F.date_sub(today, 1)))
 
 
+def overview(sessions: DataFrame, zone: str = "UTC") -> DataFrame:
+    """(kind, key, millis, sessions, last): what a reader's statistics show, from one pass over the sessions.
+
+    kind is total, day, book or streak: active time with the number of sessions
+    that begin there and the latest start (of a day: its sessions' parts; of a
+    streak: the days of the run, its last day). Sessions of no book count in
+    the total and the days.
+    """
+    columns = ["id", "book_id", "started_at", "ended_at", "active_millis"]
+    once = distinct_sessions(sessions).select(*columns)
+    parts = split_at_midnight(once, zone, "started_at")
+    sums = parts.groupingSets([["day"], ["book_id"], []], "day", "book_id").agg(F.grouping("day").alias("_d"), F.grouping("book_id").alias("_b"), F.sum("millis").alias("millis"), F.sum(F.col("nth").eqNullSafe(0).cast("bigint")).alias("begun"), F.count(F.lit(1)).alias("n"), F.max("started_at").alias("last"))
+    kind = F.when(F.col("_d") == 0, "day").when(F.col("_b") == 0, "book").otherwise("total")
+    rows = sums.where("_d = 0 or _b = 1 or book_id is not null").select(kind.alias("kind"), F.coalesce(F.col("day").cast("string"), "book_id").alias("key"), "millis", F.when(F.col("_d") == 0, F.col("n")).otherwise(F.col("begun")).alias("sessions"), F.col("last").cast("string").alias("last"))
+    days = sums.where("_d = 0 and millis > 0").select("day", "millis")
+    # a row for each day of the library's life
+    island = F.date_sub("day", F.row_number().over(Window.orderBy("day")))
+    runs = days.withColumn("island", island).groupBy("island").agg(F.min("day").alias("a"), F.max("day").alias("b"), F.sum("millis").alias("millis"), F.count(F.lit(1)).alias("n"))
+    return rows.unionByName(runs.select(F.lit("streak").alias("kind"), F.col("a").cast("string").alias("key"), "millis", F.col("n").alias("sessions"), F.col("b").cast("string").alias("last")))
+
+
 def duration_label(millis: Column) -> Column:
     """Hours and minutes of a duration; below a minute, seconds."""
     minutes = F.floor(millis / 60000)

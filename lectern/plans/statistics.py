@@ -76,6 +76,23 @@ def _(t: Tables) -> DataFrame:
     return R.current_streak(R.streaks(_split(t), "book_id"), F.expr(_TODAY))
 
 
+_OVERVIEW = (
+    _SPLIT
+    + """, p AS (SELECT s.book_id, s.day, s.millis, o.started_at, row_number() OVER (PARTITION BY s.id ORDER BY s.day) = 1 AS fst FROM split s JOIN once o ON o.id = s.id),
+ read_days AS (SELECT day, sum(millis) AS millis FROM p GROUP BY day HAVING sum(millis) > 0), all_runs AS (SELECT day, millis, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM read_days)
+SELECT 'total' AS kind, CAST(NULL AS VARCHAR) AS key, CAST(sum(millis) AS BIGINT) AS millis, count(*) FILTER (fst) AS sessions, CAST(max(started_at) AS VARCHAR) AS last FROM p
+UNION ALL SELECT 'day', CAST(day AS VARCHAR), CAST(sum(millis) AS BIGINT), count(*), CAST(max(started_at) AS VARCHAR) FROM p GROUP BY day
+UNION ALL SELECT 'book', book_id, CAST(sum(millis) AS BIGINT), count(*) FILTER (fst), CAST(max(started_at) AS VARCHAR) FROM p WHERE book_id IS NOT NULL GROUP BY book_id
+UNION ALL SELECT 'streak', CAST(min(day) AS VARCHAR), CAST(sum(millis) AS BIGINT), count(*), CAST(max(day) AS VARCHAR) FROM all_runs GROUP BY island"""
+)
+
+
+@query("a_overview", _OVERVIEW)
+def _(t: Tables) -> DataFrame:
+    """All that a reader's statistics show, from one pass over the sessions."""
+    return R.overview(t.reading_sessions)
+
+
 @query(
     "a4_kpi_summary",
     _SPLIT + f"SELECT CAST(sum(millis) AS BIGINT) AS total_millis, CAST(coalesce(sum(millis) FILTER (day BETWEEN {_TODAY} - 6 AND {_TODAY}), 0) AS BIGINT) AS week_millis, CAST(coalesce(sum(millis) FILTER (day = {_TODAY}), 0) AS BIGINT) AS today_millis, (SELECT count(*) FROM (SELECT day FROM split GROUP BY day HAVING sum(millis) > 0)) AS active_days FROM split",

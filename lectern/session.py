@@ -42,6 +42,12 @@ def sent_if_small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The rows over all cores where their files have fewer parts than the cluster has cores; larger tables stay as they lie."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which a cluster shares; where it is unset on one machine, as in tests, a folder that goes with the process."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
