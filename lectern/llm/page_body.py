@@ -140,6 +140,12 @@ def _shares(sample: list[tuple[str, float]]) -> list[Counter[int]]:
     return out
 
 
+@functools.cache
+def _seed_notes() -> tuple[list[Counter[int]], list[Counter[int]]]:
+    """Counts of the seed's lines around works, and of its notes of editors."""
+    return _shares(lines(AROUND)), _shares(lines(NOTES))
+
+
 @functools.cache
 def _seed() -> tuple[Lookup, Lookup]:
     """Words and pairs of the seed's lines around works."""
@@ -152,7 +158,7 @@ def of_the_work(line: str) -> bool:
     if not any(c.isalpha() for c in line):
         return True
     score = 0.0
-    for around, work, ids in zip(_shares(lines(AROUND)), _shares(lines(NOTES)), (t.single[t.word], t.pair[1:])):
+    for around, work, ids in zip(*_seed_notes(), (t.single[t.word], t.pair[1:])):
         a, w = sum(around.values()), sum(work.values())
         score += sum(math.log((work[h] / w + 1e-4) / (around[h] / a + 1e-4)) for h in ids.tolist() if h in around or h in work)
     return score > 0

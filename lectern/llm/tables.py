@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import sent_if_small, table
+from lectern.session import sent_if_small, spread, table
 
 
 def chapters(spark: SparkSession, folder: str) -> DataFrame:
     """chapter_id, book_id, title, content of every delivered chapter; rows without an id are no record."""
-    return (
-        table(spark, folder, "chapters")
-        .select("chapter_id", "book_id", "title", "content")
-        .where(F.col("chapter_id").isNotNull())
-    )
+    return spread(table(spark, folder, "chapters").select("chapter_id", "book_id", "title", "content").where(F.col("chapter_id").isNotNull()))
 
 
 def elements(chapters: DataFrame, *keep: str) -> DataFrame:
@@ -37,7 +33,7 @@ def one_delivery(chapters: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"))
 
 
 def site_of(url: Column) -> Column:
