@@ -23,10 +23,10 @@ def _texts(t: Tables, *columns: str) -> DataFrame:
 
 
 def _pages(t: Tables) -> DataFrame:
-    """Each chapter as a page: its title as a heading, its elements as paragraphs, a menu and a script around them."""
+    """Each chapter as a page: its title as a heading, its elements as paragraphs in the main element, with a list of links into the page; a menu, a path, a script and lines around them."""
     escape = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     body = F.array_join(F.transform("content", lambda x: F.concat(F.lit("<p>"), escape(x), F.lit("</p>"))), "\n")
-    html = F.concat(F.lit("<html><head><title>t</title><script>let x = '<p>no</p>'</script></head><body><nav><a href='/'>Home</a></nav>"), F.lit("<h1>"), escape(F.coalesce("title", F.lit(""))), F.lit("</h1>"), body, F.lit("</body></html>"))
+    html = F.concat(F.lit("<html><head><title>t</title><script>let x = '<p>no</p>'</script></head><body><nav><a href='/'>Home</a></nav><div class='breadcrumbs'>You <div>are</div> here</div><p>before</p><main><ul><li><a href='#a'>I</a></li><li><a href='#b'>II</a></li><li><a href='#c'>III</a></li></ul>"), F.lit("<h1>"), escape(F.coalesce("title", F.lit(""))), F.lit("</h1>"), body, F.lit("</main><div>after</div></body></html>"))
     return _texts(t, "title").where("content is not null").select(F.col("chapter_id").alias("url"), html.alias("html"))
 
 
@@ -35,22 +35,26 @@ _CLEAN = f"trim(regexp_replace(x, '{_S}+', ' ', 'g'))"
 
 @query("x0_page_lines", CHAPTERS + f", l AS (SELECT chapter_id, list_filter(list_transform(list_prepend(coalesce(title, ''), content), lambda x: {_CLEAN}), lambda x: x <> '') AS ls FROM chap WHERE content IS NOT NULL) SELECT chapter_id AS url, CAST(len(ls) AS INTEGER) AS lines, md5(array_to_string(ls, chr(10))) AS digest FROM l WHERE len(ls) > 0")
 def _(t: Tables) -> DataFrame:
-    """Pages parsed back into lines, without menu and script."""
+    """X0.1, X0.2, X0.6: pages parsed back into the lines of their main element, without menu, path, script and lists of links into the page."""
     lines = G.page_lines(_pages(t)).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("line_index", "text"))).alias("l"))
     return lines.select("url", F.size("l").alias("lines"), F.md5(F.array_join(F.transform("l", lambda x: x.text), "\n")).alias("digest"))
 
 
-@query("s12_decoded_pages", "SELECT doc_id, CASE WHEN regexp_full_match(text, '[\\x00-\\x7F]*') THEN 'ascii' ELSE 'utf-8' END AS encoding, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
+@query("s12_decoded_pages", "SELECT doc_id, CASE WHEN lang = 'de' THEN 'utf-16-be' WHEN regexp_full_match(text, '(?s)[\\x{0}-\\x{FF}]*') THEN 'iso-8859-1' ELSE 'utf-8' END AS encoding, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
 def _(t: Tables) -> DataFrame:
-    """Bytes with a declaration that often lies."""
-    raw = t.documents.where("text is not null").select(F.col("doc_id").cast("string").alias("url"), F.encode("text", "UTF-8").alias("raw"), F.lit("ascii").alias("declared"))
+    """Bytes in three encodings, of which the declaration of the third lies."""
+    wide, narrow = F.coalesce(F.col("lang") == "de", F.lit(False)), F.col("text").rlike(r"^[\x00-\xFF]*$")
+    raw = F.when(wide, F.encode("text", "UTF-16BE")).when(narrow, F.encode(F.when(narrow, F.col("text")), "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    named = F.when(wide, "utf-16-be").when(narrow, "iso-8859-1").otherwise("ascii")
+    raw = t.documents.where("text is not null").select(F.col("doc_id").cast("string").alias("url"), raw.alias("raw"), named.alias("declared"))
     return G.decoded(raw).select(F.col("url").cast("bigint").alias("doc_id"), "encoding", F.sha2("html", 256).alias("digest"))
 
 
-@query("s10_verified_snapshots", "SELECT doc_id, octet_length(encode(text)) AS size, true AS verified FROM documents WHERE text IS NOT NULL")
+@query("s10_verified_snapshots", "SELECT doc_id, octet_length(encode(text)) AS size, NOT contains(text, '，与此同时') AS verified FROM documents WHERE text IS NOT NULL")
 def _(t: Tables) -> DataFrame:
-    """Bytes against the digest noted with them."""
-    d = t.documents.where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("raw"), F.sha2("text", 256).alias("noted"))
+    """Bytes against the digest noted with them; those that changed since, as here where a phrase was another, aren't verified."""
+    before = F.replace("text", F.lit("，与此同时"), F.lit("，同时"))
+    d = t.documents.where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("raw"), F.sha2(before, 256).alias("noted"))
     return d.select("doc_id", F.octet_length("raw").cast("bigint").alias("size"), (F.sha2("raw", 256) == F.col("noted")).alias("verified"))
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import text as X
 from lectern.operators import audit as A
 from lectern.operators import catalog as C
 from lectern.operators import positions as P
@@ -147,11 +148,12 @@ def _(t: Tables) -> DataFrame:
     return A.ordered(A.books(C.distinct_books(t.books)), 50)
 
 
-@query("j28_guarded_records", CHAPTERS + ", e AS (SELECT chapter_id, sha256(array_to_string(content, chr(10))) AS before, chapter_level FROM chapters) SELECT DISTINCT chapter_id, CASE WHEN e.before = sha256(array_to_string(chap.content, chr(10))) THEN 'applies' ELSE 'refused' END AS outcome FROM e JOIN chap USING (chapter_id)")
+@query("j28_guarded_records", CHAPTERS + ", e AS (SELECT chapter_id, sha256(array_to_string(content, chr(10))) AS before FROM chapters) SELECT DISTINCT chapter_id, CASE WHEN e.before = sha256(array_to_string(list_filter(chap.content, lambda x: NOT coalesce(" + _NAV + ", false)), chr(10))) THEN 'applies' ELSE 'refused' END AS outcome FROM e JOIN chap USING (chapter_id)")
 def _(t: Tables) -> DataFrame:
-    """Repairs bound to the digest of what they expect; here every delivery against the latest."""
+    """Repairs bound to the digest of what they expect, here of every delivery, against the latest without its navigation lines; where there were any, they are refused."""
+    kept = F.sha2(F.array_join(F.filter("content", lambda x: ~F.coalesce(X.navigation_line(x), F.lit(False))), "\n"), 256)
     body = F.sha2(F.array_join("content", "\n"), 256)
     # a digest of each delivery, used on both sides: written once, so texts are read once
-    digests = cut_lineage(t.chapters.select("chapter_id", "fetched_at", body.alias("digest")))
-    expected, now = digests.select("chapter_id", F.col("digest").alias("expected")), P.latest_chapters(digests, F.col("digest").alias("now"))
+    digests = cut_lineage(t.chapters.select("chapter_id", "fetched_at", body.alias("digest"), kept.alias("kept")))
+    expected, now = digests.select("chapter_id", F.col("digest").alias("expected")), P.latest_chapters(digests, F.col("kept").alias("now"))
     return expected.join(now, "chapter_id").select("chapter_id", F.when(F.col("expected") == F.col("now"), "applies").otherwise("refused").alias("outcome")).distinct()

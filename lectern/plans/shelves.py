@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import dates as D
 from lectern.functions import text as X
 from lectern.operators import catalog as C
+from lectern.operators import notes as N
 from lectern.operators import positions as P
 from lectern.operators import reading as R
 from lectern.operators import search as S
@@ -186,6 +187,13 @@ def _(t: Tables) -> DataFrame:
     return short.withColumn("island", island).groupBy("chapter_id", "island").agg(F.min("paragraph_index").alias("first_index"), F.max("paragraph_index").alias("last_index"), F.count(F.lit(1)).alias("size")).drop("island")
 
 
+@query("j11_first_definitions", "WITH f AS (SELECT DISTINCT chapter_id, marker, footnote_id FROM footnotes WHERE marker IS NOT NULL) SELECT chapter_id, marker, min(footnote_id) AS footnote_id FROM f GROUP BY chapter_id, marker")
+def _(t: Tables) -> DataFrame:
+    """Of the definitions of one marker in a chapter the first, to which its references lead."""
+    f = t.footnotes.where("marker is not null").select("chapter_id", "marker", "footnote_id").distinct()
+    return N.first_definitions(f, ["chapter_id", "marker"], "footnote_id").select("chapter_id", "marker", "footnote_id")
+
+
 @query("o6_by_title", _W + " SELECT book_id, row_number() OVER (ORDER BY coalesce(nullif(title_zh, ''), nullif(title_en, ''), book_id), book_id) AS place FROM bk")
 def _(t: Tables) -> DataFrame:
     """The catalogue by the title that is shown."""

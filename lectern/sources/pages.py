@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes in which a page declares its encoding.
@@ -92,38 +92,70 @@ def normal_link(base: str, href: str) -> str:
 
 _BLOCKS = frozenset("address article aside blockquote body dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _SILENT = frozenset("script style noscript template iframe svg nav header footer form button select".split())
+#: Classes and ids of what isn't the page's text, and of what is.
+_NOISE = frozenset("navbar nav footer header breadcrumbs menu".split())
+_MAIN = frozenset("content article-content main".split())
+#: A list or table of so many links into the page itself, and of fewer characters, is its own contents.
+INTERNAL_LINKS, INTERNAL_CHARS = 3, 3000
+_LISTS = frozenset("ul ol dl table".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 class _Page(HTMLParser):
-    """One pass over a page: lines of text with heading levels, links with labels, note anchors with offsets."""
+    """One pass over a page: lines of text with heading levels, links with labels, note anchors with offsets.
+
+    Elements of navigation are left out, lists of links into the page too. If
+    the page has a main element, an article or one that is marked as its
+    content, only the lines within count.
+    """
 
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
         self.base, self.lines, self.links, self.anchors = base, [], [], []
         self._text, self._level, self._silent, self._link, self._title = "", 0, [], None, False
+        self._main: list[str] = []
+        self._within: list[bool] = []
+        self._lists: list[list] = []
 
     def _break(self) -> None:
         text = re.sub(r"\s+", " ", self._text).strip()
         if text:
             self.lines.append((self._level, text))
+            self._within.append(bool(self._main))
         self._text = ""
 
+    def main_lines(self) -> list[tuple[int, str]]:
+        """The lines within the page's main element, all if it has none."""
+        return [x for x, inside in zip(self.lines, self._within) if inside] if any(self._within) else self.lines
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _SILENT:
+        values = dict(attrs)
+        names = {*(values.get("class") or "").lower().split(), (values.get("id") or "").lower()}
+        if self._silent:
+            if tag == self._silent[-1]:
+                self._silent.append(tag)
+            return
+        if tag in _SILENT or (names & _NOISE and tag not in _VOID):
             if tag not in _VOID:
                 self._silent.append(tag)
             return
+        if self._main and tag == self._main[-1] or not self._main and tag not in _VOID and (tag in ("main", "article") or names & _MAIN):
+            self._break()
+            self._main.append(tag)
+        if tag in _LISTS:
+            self._break()
+            self._lists.append([tag, len(self.lines), 0])
         if tag == "title":
             self._title = True
         if tag in _BLOCKS or tag == "br":
             self._break()
         if re.fullmatch("h[1-6]", tag):
             self._level = int(tag[1])
-        values = dict(attrs)
         if tag == "a":
             if href := values.get("href"):
                 if href.startswith("#"):
+                    for x in self._lists:
+                        x[2] += 1
                     self.anchors.append(("ref", href[1:], len(self.lines), len(re.sub(r"\s+", " ", self._text).lstrip())))
                 self._link = [normal_link(self.base, href), ""]
             if name := values.get("name") or values.get("id"):
@@ -141,6 +173,13 @@ class _Page(HTMLParser):
             self._link = None
         if tag in _BLOCKS:
             self._break()
+        if self._lists and tag == self._lists[-1][0]:
+            _, first, links = self._lists.pop()
+            if links >= INTERNAL_LINKS and sum(len(x) for _, x in self.lines[first:]) < INTERNAL_CHARS:
+                del self.lines[first:], self._within[first:]
+        if self._main and tag == self._main[-1]:
+            self._break()
+            self._main.pop()
         if re.fullmatch("h[1-6]", tag):
             self._level = 0
 
@@ -174,7 +213,7 @@ def _each(columns: str, kinds: list[pa.DataType], rows_of):
 
 
 #: (url, line_index, level, text): lines of text without scripts, navigation and forms; level is a heading's, else 0.
-page_lines = _each("url string, line_index int, level int, text string", [pa.string(), pa.int32(), pa.int32(), pa.string()], lambda p: [(i, lv, t) for i, (lv, t) in enumerate(p.lines)])
+page_lines = _each("url string, line_index int, level int, text string", [pa.string(), pa.int32(), pa.int32(), pa.string()], lambda p: [(i, lv, t) for i, (lv, t) in enumerate(p.main_lines())])
 #: (url, ord, target, label): links in the order of the page.
 page_links = _each("url string, ord int, target string, label string", [pa.string(), pa.int32(), pa.string(), pa.string()], lambda p: [(i, t, s) for i, (t, s) in enumerate(p.links)])
 #: (url, kind, name, line_index, offset): references to and definitions of anchors in the page.
@@ -197,8 +236,10 @@ def chapter_links(links: DataFrame) -> DataFrame:
     """Of index-like pages the first MOST_LINKS different targets, if there are at least LEAST_LINKS."""
     index_like = F.col("url").rlike(r"(?:/|index\.html?)$")
     first = links.where(index_like & (F.col("target") != F.col("url"))).groupBy("url", "target").agg(F.min(F.struct("ord", "label")).alias("f"))
-    listed = first.groupBy("url").agg(F.slice(F.array_sort(F.collect_list(F.struct("f.ord", "target", F.col("f.label").alias("label")))), 1, MOST_LINKS).alias("l")).where(F.size("l") >= LEAST_LINKS)
-    return listed.select("url", F.posexplode("l").alias("place", "x")).select("url", "place", "x.target", "x.label")
+    order = Window.partitionBy("url").orderBy("f.ord", "target")
+    placed = first.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < MOST_LINKS)
+    several = placed.where(F.col("place") == LEAST_LINKS - 1).select("url")
+    return placed.join(several, "url", "left_semi").select("url", "place", "target", F.col("f.label").alias("label"))
 
 
 def inventory(links: DataFrame) -> DataFrame:
