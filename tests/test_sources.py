@@ -90,3 +90,12 @@ def test_settings(spark):
     rows = spark.createDataFrame([("u", "size", "18"), ("u", "dark", "true"), ("v", "size", "big"), ("v", None, "x")], "owner string, key string, value string")
     got = {r.owner: (r.size, r.dark) for r in preferences.typed(rows, "owner", {"size": ("int", 16), "dark": ("boolean", False)}).collect()}
     assert got == {"u": (18, True), "v": (16, False)}
+
+
+def test_main_element_noise_and_lists_of_links():
+    html = """<body><div class="Menu wide">a <div>b</div> c</div><p>before</p><div id="content"><p>one</p>
+    <ul><li><a href="#x">X</a><li><a href="#y">Y</a><li><a href="#z">Z</a></ul><ul><li><a href="#x">X</a></li><li>kept</li></ul><div><p>two</p></div></div><p>after</p></body>"""
+    assert [t for _, t in pages.parse("https://a.test/", html).main_lines()] == ["one", "X", "kept", "two"]
+    assert [t for _, t in pages.parse("https://a.test/", "<p>a<p>b<nav>c</nav>").main_lines()] == ["a", "b"]
+    long = "<table>" + "".join(f"<tr><td><a href='#n{i}'>{'x' * 1000}</a></td></tr>" for i in range(3)) + "</table>"
+    assert len(pages.parse("https://a.test/", long).main_lines()) == 3
