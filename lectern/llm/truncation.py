@@ -139,7 +139,13 @@ def truncated(documents: DataFrame) -> DataFrame:
 
 
 def truncation_rates(documents: DataFrame) -> DataFrame:
-    """(source, documents, truncated, rate): how often each source truncates, the null source included."""
-    cut = truncated(documents).select("doc_id").distinct().withColumn("cut", F.lit(1))
-    known = documents.where("doc_id is not null and text is not null").select("doc_id", "source")
-    return known.join(cut, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count("cut").alias("truncated"), (F.count("cut") / F.count(F.lit(1))).alias("rate"))
+    """(source, documents, truncated, at_limit, debris, open_end, rate): how often each source truncates, and in which way, the null source included.
+
+    A document that stands several times counts for each row; without reason it
+    is whole.
+    """
+    cut = truncated(documents).groupBy("doc_id").agg(F.min("reason").alias("reason"))
+    known = documents.where("doc_id is not null and text is not null").select("doc_id", "source").join(cut, "doc_id", "left")
+    of = lambda reason: F.count_if(F.col("reason").eqNullSafe(reason))
+    counts = known.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count("reason").alias("truncated"), of("limit").alias("at_limit"), of("debris").alias("debris"), of("open end").alias("open_end"))
+    return counts.withColumn("rate", F.col("truncated") / F.col("documents"))

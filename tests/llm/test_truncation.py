@@ -30,6 +30,7 @@ def test_limits(spark):
     assert not {i for i, s, t in rows if t.endswith("。")} & set(found)
     rates = {r.source: (r.documents, r.truncated) for r in T.truncation_rates(frame).collect()}
     assert rates["cut"] == (32, len(ends)) and rates["free"] == (12, 0)
+    assert {r.source: (r.at_limit, r.debris, r.open_end) for r in T.truncation_rates(frame).collect()}["cut"] == (len(ends), 0, 0)
 
 
 def test_empty_and_repeats(spark):
