@@ -134,6 +134,17 @@ def chapter_offsets(chapters: DataFrame) -> DataFrame:
     return joined.select("book_id", "chapter_id", (F.col("place") + F.col("places_before")).cast("int").alias("place"), "length", (F.col("start") + F.col("chars_before")).alias("start"), "book_length")
 
 
+def part_of(place: Column, sizes: tuple[int, ...]) -> Column:
+    """Number, from 1, of the part that holds a place, of parts with the given sizes one after the other; null past the last."""
+    past, out = 0, F.lit(None).cast("int")
+    bounds = []
+    for n, size in enumerate(sizes, 1):
+        bounds.append((past := past + size, n))
+    for end, n in reversed(bounds):
+        out = F.when(place < end, n).otherwise(out)
+    return F.when(place >= 0, out)
+
+
 def clamp(value: Column, low: Column, high: Column) -> Column:
     return F.least(F.greatest(value, low), high)
 

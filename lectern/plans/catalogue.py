@@ -231,11 +231,20 @@ def _(t: Tables) -> DataFrame:
     return C.without(b, b.where("coalesce(translator, '') = ''"), "book_id", _notes(t))[1].select("id")
 
 
-@query("k14_migrated_notes", f"WITH {_NOTES} SELECT id, excerpt, selection_start, CAST(selection_start + length(excerpt) AS INTEGER) AS range_end, 'EXACT' AS state FROM nt")
+@query("k14_migrated_notes", f"WITH {_NOTES} SELECT id, excerpt, note_text, selection_start, CAST(coalesce(selection_start, 0) + length(excerpt) AS INTEGER) AS range_end, 'EXACT' AS state, CASE WHEN trim(coalesce(note_text, '')) = '' THEN 'HIGHLIGHT' ELSE 'ANNOTATION' END AS kind, '' AS prefix, '' AS suffix, '' AS paragraph_hash, false AS pinned, created_at, created_at AS updated_at FROM nt")
 def _(t: Tables) -> DataFrame:
-    """An older shape, without range end and state, brought to the newer by defaults."""
-    old = _notes(t).select("id", "excerpt", "selection_start")
-    return C.migrated(old, {"range_end": (F.col("selection_start") + F.length("excerpt")).cast("int"), "state": F.lit("EXACT")})
+    """The oldest shape brought to the newest step by step: ranges, then anchors, then kinds, then what is pinned and when it changed."""
+    old = _notes(t).select("id", "excerpt", "note_text", "selection_start", "created_at")
+    empty = F.lit("")
+    steps = (
+        {"range_end": (F.coalesce("selection_start", F.lit(0)) + F.length("excerpt")).cast("int")},
+        {"prefix": empty, "suffix": empty, "paragraph_hash": empty, "state": F.lit("EXACT")},
+        {"kind": F.when(F.trim(F.coalesce("note_text", empty)) == "", "HIGHLIGHT").otherwise("ANNOTATION")},
+        {"pinned": F.lit(False), "updated_at": F.col("created_at")},
+    )
+    for defaults in steps:
+        old = C.migrated(old, defaults)
+    return old
 
 
 @query(

@@ -197,13 +197,11 @@ def _(t: Tables) -> DataFrame:
 
 @query("w14_parts_by_size", _OFFSETS + ", parts(part, first, past) AS (VALUES (1, 0, 3), (2, 3, 8), (3, 8, 16)) SELECT chapter_id, CAST(part AS INTEGER) AS part FROM offs LEFT JOIN parts ON place >= first AND place < past")
 def _(t: Tables) -> DataFrame:
-    """Parts of 3, 5 and 8 chapters, by their cumulative sizes; three rows of bounds, so the range is an expression.
+    """Parts of 3, 5 and 8 chapters, by their cumulative sizes.
 
     Chapters past the last part are the appendix, which belongs to no part: theirs is null.
     """
-    place = F.col("place")
-    part = F.when(place < 3, 1).when(place < 8, 2).when(place < 16, 3)
-    return P.chapter_offsets(P.chapter_sizes(t.chapters)).select("chapter_id", part.alias("part"))
+    return P.chapter_offsets(P.chapter_sizes(t.chapters)).select("chapter_id", P.part_of(F.col("place"), (3, 5, 8)).alias("part"))
 
 
 @query("w15_ordinals", _OFFSETS + "SELECT book_id, chapter_id, 'chapter-' || lpad(CAST(place + 1 AS VARCHAR), 3, '0') AS label FROM offs")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import tags
 from lectern.operators import catalog as C
 from lectern.operators import positions as P
 from lectern.operators import search as S
@@ -91,10 +92,14 @@ def _notes(t: Tables) -> DataFrame:
     return t.notes.where("id is not null").select("id", "chapter_id", "paragraph_index", "excerpt", "selection_start", "selection_end").distinct()
 
 
-@query("x5_note_anchors", CHAPTERS + ", par AS (SELECT chapter_id, unnest(content) AS text, CAST(generate_subscripts(content, 1) - 1 AS INTEGER) AS paragraph_index FROM chap) SELECT id, substr(text, selection_start + 1, selection_end - selection_start) AS excerpt, right(left(text, selection_start), 32) AS prefix, substr(text, selection_end + 1, 32) AS suffix, sha256(text) AS paragraph_hash FROM (SELECT DISTINCT id, chapter_id, paragraph_index, selection_start, selection_end FROM notes WHERE id IS NOT NULL) JOIN par USING (chapter_id, paragraph_index) WHERE selection_start >= 0 AND selection_end > selection_start")
+@query("x5_note_anchors", CHAPTERS + ", par AS (SELECT chapter_id, unnest(content) AS text, CAST(generate_subscripts(content, 1) - 1 AS INTEGER) AS paragraph_index FROM chap) SELECT id, substr(text, selection_start + 1, selection_end - selection_start) AS excerpt, right(left(text, selection_start), 32) AS prefix, substr(text, selection_end + 1, 32) AS suffix, sha256(text) AS paragraph_hash, CASE WHEN trim(coalesce(note_text, '')) = '' THEN 'HIGHLIGHT' ELSE 'ANNOTATION' END AS kind, concat_ws('|', note_kind, highlight_color) AS tags FROM (SELECT DISTINCT id, chapter_id, paragraph_index, selection_start, selection_end, note_text, note_kind, highlight_color FROM notes WHERE id IS NOT NULL) JOIN par USING (chapter_id, paragraph_index) WHERE selection_start >= 0 AND selection_end > selection_start")
 def _(t: Tables) -> DataFrame:
-    at = _notes(t).join(_paragraphs(t), ["chapter_id", "paragraph_index"]).where("selection_start >= 0 and selection_end > selection_start")
-    return at.select("id", S.note_anchors(F.col("text"), F.col("selection_start"), F.col("selection_end")).alias("a")).select("id", "a.*")
+    """What a note stores of its place, its kind by whether it has a text, and its tags."""
+    notes = t.notes.where("id is not null and selection_start >= 0 and selection_end > selection_start").select("id", "chapter_id", "paragraph_index", "selection_start", "selection_end", "note_text", "note_kind", "highlight_color").distinct()
+    at = notes.join(_paragraphs(t), ["chapter_id", "paragraph_index"])
+    kind = F.when(F.trim(F.coalesce("note_text", F.lit(""))) == "", "HIGHLIGHT").otherwise("ANNOTATION")
+    listed = F.array_join(tags(F.concat_ws("，", "note_kind", "highlight_color")), "|")
+    return at.select("id", S.note_anchors(F.col("text"), F.col("selection_start"), F.col("selection_end")).alias("a"), kind.alias("kind"), listed.alias("tags")).select("id", "a.*", "kind", "tags")
 
 
 @query(
