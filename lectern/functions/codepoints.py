@@ -20,8 +20,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 SLICE_BYTES = 8 << 20
 
 
-def sliced(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut into slices with at most SLICE_BYTES of text in the columns (strings or lists of them), or of one row."""
+def sliced(batches: Iterator[pa.RecordBatch], *columns: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices with at most ``most`` bytes of text in the columns (strings or lists of them), or of one row."""
     for batch in batches:
         sizes = np.ones(len(batch), np.int64)
         for name in columns:
@@ -33,7 +33,7 @@ def sliced(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.Reco
                 sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
         first, total = 0, 0
         for i, n in enumerate(sizes.tolist()):
-            if total + n > SLICE_BYTES and i > first:
+            if total + n > most and i > first:
                 yield batch.slice(first, i - first)
                 first, total = i, 0
             total += n
