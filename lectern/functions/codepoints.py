@@ -20,8 +20,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 SLICE_BYTES = 8 << 20
 
 
-def sliced(batches: Iterator[pa.RecordBatch], *columns: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut into slices with at most ``most`` bytes of text in the columns (strings or lists of them), or of one row."""
+def sliced(batches: Iterator[pa.RecordBatch], *columns: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices with at most ``most`` (SLICE_BYTES) bytes of text in the columns (strings or lists of them), or of one row."""
+    most = most or SLICE_BYTES
     for batch in batches:
         sizes = np.ones(len(batch), np.int64)
         for name in columns:
