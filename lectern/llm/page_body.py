@@ -39,6 +39,8 @@ SAMPLE = 20_000
 MOSTLY, NEARLY = 0.2, 0.6
 #: Sites whose repeated lines must hold a word or pair for it to score, if the seed lacks it: names of one site are no sign.
 SITES = 2
+#: Bytes of text that are tokenised at once; tokens take some hundred times as much.
+PIECE = 2 << 20
 #: Least sum of a stretch that isn't the work, odds of some 8000 : 1; score of what the labelled lines don't hold; bounds of one score.
 LEVEL, ELSE, MOST = 9.0, -1.5, 6.0
 _BREAK = 0x0A
@@ -227,7 +229,7 @@ def counting(known: tuple[Lookup, Lookup]):
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (words, pairs), (seed_words, seed_pairs) = known, _seed()
         total = np.zeros(len(words.ids) + len(pairs.ids) + 2, np.int64)
-        for batch in sliced(batches, "content"):
+        for batch in sliced(batches, "content", most=PIECE):
             texts = strings(batch.column("content").flatten())
             t = Tokens.read(texts)
             if not len(t.of):
@@ -347,7 +349,7 @@ def page_parts(chapters: DataFrame, weights: Weights) -> DataFrame:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        for batch in sliced(batches, "content"):
+        for batch in sliced(batches, "content", most=PIECE):
             content = batch.column("content")
             texts = strings(content.flatten())
             t = Tokens.read(texts)
