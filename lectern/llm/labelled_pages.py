@@ -93,7 +93,7 @@ Next: page »
 Tags:
 Keywords:
 Print this page | Close window | Back to top
-Page views: 0
+Views of this page: 0
 Visitors since 0: 0
 Back to index
 © Library. All rights reserved, for private study only.
