@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.codepoints import sliced
 from lectern.functions.text import excerpt
 
 #: Characters of a search term that count, and terms are runs of letters, numbers and marks.
@@ -64,26 +65,36 @@ def first_hits(hits: DataFrame, most: int = 80) -> DataFrame:
     return hits.orderBy("book_id", "chapter_id", "paragraph_index").limit(most)
 
 
-def _find_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _find_all(batches: Iterator[pa.RecordBatch], keep: list[str] | None = None) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, "text"):
         at, starts = [], []
         for i, (text, needle) in enumerate(zip(batch.column("text").to_pylist(), batch.column("needle").to_pylist())):
             if text and needle:
-                low, sought, p = text.lower(), needle.lower(), 0
+                low, sought, p, here = text.lower(), needle.lower(), 0, []
                 if len(low) != len(text):  # a letter whose lower case is longer would shift positions
                     low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
                 while (p := low.find(sought, p)) >= 0:
-                    at.append(i)
-                    starts.append(p)
+                    here.append(p)
                     p += len(sought)
-        rows = batch.take(pa.array(at, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(starts, pa.int32())], [*batch.schema.names, "start"])
+                if here:
+                    at.append(i)
+                    starts.append(here)
+        rows = batch.select(keep or batch.schema.names).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(starts, pa.list_(pa.int32()))], [*rows.schema.names, "starts"])
+
+
+def occurrences(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and the starts, from 0, of each of the rows (with text and needle) that has an occurrence; those don't overlap, and case doesn't count."""
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes)
+    return rows.mapInArrow(lambda batches: _find_all(batches, [*keep]), f"{kinds}, starts array<int>")
 
 
 def find_all(rows: DataFrame) -> DataFrame:
-    """Rows (with text and needle) for each occurrence that doesn't overlap the one before, without regard to case: start from 0."""
-    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.mapInArrow(_find_all, f"{kinds}, start int")
+    """Rows (with text and needle) for each occurrence that doesn't overlap the one before, without regard to case: start from 0.
+
+    Workers send each text once; it is repeated for its occurrences row by row in the JVM.
+    """
+    return occurrences(rows, *rows.columns).select(*rows.columns, F.explode("starts").alias("start"))
 
 
 def in_book(paragraphs: DataFrame, needle: str, most: int = 500) -> DataFrame:

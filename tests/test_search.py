@@ -1,6 +1,9 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lectern import queries as core
 from lectern.operators import search as S
+from tests.oracle import connect, same
 
 CH, BK = "book_id string, chapter_id string, title string, content array<string>", "book_id string, title_zh string"
 
@@ -27,6 +30,20 @@ def test_find_all(spark):
     assert [(r.id, r.start) for r in S.find_all(f).orderBy("id", "start").collect()] == [(1, 0), (1, 2), (1, 7), (2, 0), (2, 2), (5, 1)]
 
 
+def test_texts_are_not_repeated_for_occurrences():
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "text": ["的" * 2000, "无", "的"], "needle": ["的"] * 3})
+    out = list(S._find_all(iter([batch])))
+    assert sum(b.nbytes for b in out) < 3 * batch.nbytes
+    assert [(r["id"], r["starts"]) for b in out for r in b.to_pylist()] == [(1, [*range(2000)]), (3, [0])]
+
+
+def test_f12_has_a_row_for_each_document_row(spark, tmp_path):
+    rows = [(1, "的，目的"), (1, "的，目的"), (1, "的"), (2, None), (3, "无"), (None, "的"), (4, ""), (5, "İ的的")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    plan, sql = core.queries()["f12_all_occurrences"], core.oracle_sql()["f12_all_occurrences"]
+    same(plan(spark, str(tmp_path)), connect(str(tmp_path)), sql)
+
+
 def test_in_book(spark):
     p = spark.createDataFrame([("c", 0, "Ab ab"), ("c", 1, None)], "chapter_id string, paragraph_index int, text string")
     assert [r.start for r in S.in_book(p, " AB ").collect()] == [0, 3] and S.in_book(p, "a").count() == 0
